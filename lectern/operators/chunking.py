@@ -84,7 +84,7 @@ def assemble_pages(
         "document_id",
         F.col("page_count").cast("int").alias("page_count"),
         F.substring("full_text", 1, max_chars).alias("text"),
-        F.least(F.char_length("full_text"), F.lit(max_chars)).alias("char_count"),
+        F.when(over, max_chars).otherwise(F.char_length("full_text")).alias("char_count"),
         F.coalesce(over, F.lit(False)).alias("truncated"),
         F.when(F.col("page_count") > max_pages, "too_many_pages")
         .when(F.col("text_pages") == 0, "no_text")

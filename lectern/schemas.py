@@ -1,32 +1,27 @@
-"""Declared table schemas and empty-table constructors."""
+"""Declared table schemas, as DDL, and the empty-table constructor."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+USERS = "user_id STRING, username STRING, is_admin INT"
 
-
-USERS = _struct("user_id STRING, username STRING, is_admin INT")
-
-DOCUMENTS = _struct(
+DOCUMENTS = (
     "id BIGINT, filename STRING, safe_filename STRING, upload_timestamp TIMESTAMP, content STRING, "
     "author STRING, title STRING, publication_date STRING, source STRING, doi_url STRING"
 )
 
-CHUNKS = _struct(
+CHUNKS = (
     "document_id BIGINT, chunk_index INT, chunk_text STRING, embedding ARRAY<FLOAT>"
 )
 
-CHAT_HISTORY = _struct(
+CHAT_HISTORY = (
     "id BIGINT, user_id STRING, ts TIMESTAMP, selected_text STRING, question STRING, "
     "answer STRING, rating INT, comment STRING"
 )
 
-KNOWLEDGE_BASE = _struct(
+KNOWLEDGE_BASE = (
     "id BIGINT, question STRING, original_answer STRING, corrected_answer STRING, "
     "created_at TIMESTAMP, chat_history_id BIGINT, context_text STRING, corrected_by STRING, "
     "usage_count INT, embedding ARRAY<FLOAT>"
@@ -34,20 +29,20 @@ KNOWLEDGE_BASE = _struct(
 
 SELECTIONS = "ARRAY<STRUCT<id: STRING, text: STRING, document_name: STRING>>"
 
-ASKS = _struct(
+ASKS = (
     "ask_id BIGINT, question STRING, model STRING, token STRING, selected_text STRING, "
     f"active_document_name STRING, scoped_names ARRAY<STRING>, selections {SELECTIONS}"
 )
 
-KNOWLEDGE_INSERT = _struct(
+KNOWLEDGE_INSERT = (
     "items ARRAY<STRUCT<question: STRING, answer: STRING, source: STRING>>"
 )
 
-EXTRACTION = _struct(
+EXTRACTION = (
     "text STRING, file_type STRING, page_count INT, char_count INT, truncated BOOLEAN, "
     "warnings ARRAY<STRING>"
 )
 
 
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
