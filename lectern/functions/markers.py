@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import JS_WS, squeeze, trim_ws
+from lectern.functions.text import JS_WS, let, squeeze, trim_ws
 
 # Citation and array patterns, the markers of a response stream, the site of search results.
 CITATION = r"(?i)(?<![A-Za-z0-9_])(?:page|p\.)[\t-\r\p{Z}\x{FEFF}]*([0-9]+)(?![A-Za-z0-9_])"
@@ -30,34 +30,39 @@ DEFAULT_SUGGESTIONS = (
 
 def page_citations(answer: Column, limit: int = 5) -> Column:
     """Cited pages in order of first mention: ARRAY<STRUCT<page, label>>."""
-    digits = F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1))
-    plain = F.transform(digits, lambda d: F.regexp_replace(d, "^0+(?=[0-9])", ""))
-    firsts = F.slice(F.array_distinct(plain), 1, limit)
-    return F.transform(
-        firsts,
-        lambda p: F.struct(
-            p.try_cast("bigint").alias("page"),
-            F.concat(F.lit("p."), F.element_at(digits, F.array_position(plain, p).cast("int"))).alias("label"),
-        ),
-    )
+
+    def distinct(digits):
+        plain = F.transform(digits, lambda d: F.regexp_replace(d, "^0+(?=[0-9])", ""))
+        return let(plain, lambda numbers: F.transform(
+            F.slice(F.array_distinct(numbers), 1, limit),
+            lambda p: F.struct(
+                p.try_cast("bigint").alias("page"),
+                F.concat(F.lit("p."), F.element_at(digits, F.array_position(numbers, p).cast("int"))).alias("label"),
+            ),
+        ))
+
+    return let(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)), distinct)
 
 
 def suggestions(response: Column, snippet: Column, limit: int = 4) -> Column:
     """Suggested questions: the strings of the first JSON array in a response, else defaults."""
     default = F.array(*[F.lit(s) for s in DEFAULT_SUGGESTIONS])
     found = F.try_parse_json(F.regexp_extract(strip_markers(response), FIRST_ARRAY, 0))
-    items = F.try_variant_get(found, "$", "array<variant>")
-    texts = F.transform(
-        F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string")
-    )
-    good = F.slice(F.filter(texts, lambda s: F.char_length(s) > 10), 1, limit)
     short = F.char_length(squeeze(F.coalesce(snippet, F.lit("")), JS_WS)) < 100
-    usable = ~short & items.isNotNull() & (F.size(items) > 0)
-    return F.when(usable, good).otherwise(default)
+
+    def chosen(items):
+        texts = F.transform(
+            F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string")
+        )
+        good = F.slice(F.filter(texts, lambda s: F.char_length(s) > 10), 1, limit)
+        return F.when(items.isNotNull() & (F.size(items) > 0), good).otherwise(default)
+
+    items = F.try_variant_get(found, "$", "array<variant>")
+    return F.when(short, default).otherwise(let(items, chosen))
 
 
-def strict_json(text: Column) -> Column:
-    """A JSON text as VARIANT; NULL unless the text is one whole value.
+def strict_json(text: Column, path: str = "", kind: str = "variant") -> Column:
+    """The part of a JSON text at a path; NULL unless the text is one whole value.
 
     The parser stops after the first value, so the text is also read inside an array and
     inside an object: only a single value leaves both complete.
@@ -65,7 +70,7 @@ def strict_json(text: Column) -> Column:
     inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     valued = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     single = F.size(F.try_variant_get(inside, "$", "array<variant>")) == 1
-    return F.when(valued.isNotNull() & single, F.try_variant_get(inside, "$[0]", "variant"))
+    return F.when(valued.isNotNull() & single, F.try_variant_get(inside, f"$[0]{path}", kind))
 
 
 def _group(text: Column, pattern: str) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The whitespace of Python's str.split()/strip() and of JavaScript's \s and trim().
 WS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]+"
+NOT_WS = r"[^\t-\r\x1c-\x1f\x{85}\p{Z}]"
 JS_WS = r"[\t-\r\p{Z}\x{FEFF}]+"
 
 # Words that mark a question as asking for a summary.
@@ -32,10 +35,25 @@ def or_default(col: Column, default) -> Column:
     return F.coalesce(F.nullif(col, blank), F.lit(default))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, for use inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def contains_any(col: Column, needles) -> Column:
+    hits = [F.contains(col, F.lit(n)) for n in needles]
+    return functools.reduce(lambda a, b: a | b, hits)
+
+
 def trim_ws(col: Column, ws: str = WS) -> Column:
     return F.regexp_replace(col, f"^{ws}|{ws}$", "")
 
 
+def has_text(col: Column) -> Column:
+    """Not NULL and not only whitespace; looks no further than the first other character."""
+    return F.coalesce(col.rlike(NOT_WS), F.lit(False))
+
+
 def squeeze(col: Column, ws: str = WS) -> Column:
     """Whitespace runs become one space, none at the ends."""
     return F.trim(F.regexp_replace(col, ws, " "))
@@ -69,12 +87,11 @@ def excerpts(col: Column, size: int = 4000) -> Column:
 
 def pages_of_words(col: Column, per_page: int = 350) -> Column:
     """Pages of ``per_page`` words; a text without words is one placeholder page."""
-    ws = words(col, JS_WS)
-    pages = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(ws) / per_page), F.lit(1)).cast("int") - 1),
-        lambda i: F.array_join(F.slice(ws, i * per_page + 1, F.lit(per_page)), " "),
+    page = rf"[^ ]++(?: [^ ]++){{0,{per_page - 1}}}+"
+    pages = F.regexp_extract_all(squeeze(col, JS_WS), F.lit(page), F.lit(0))
+    return let(
+        pages, lambda p: F.when(F.size(p) == 0, F.array(F.lit("(empty document)"))).otherwise(p)
     )
-    return F.when(F.size(ws) == 0, F.array(F.lit("(empty document)"))).otherwise(pages)
 
 
 def word_count(col: Column) -> Column:
@@ -94,8 +111,7 @@ def capped(col: Column, cap: int) -> Column:
 
 
 def is_summary_question(col: Column) -> Column:
-    low = F.lower(col)
-    return F.exists(F.array(*[F.lit(m) for m in SUMMARY_MARKERS]), lambda m: F.contains(low, m))
+    return contains_any(F.lower(col), SUMMARY_MARKERS)
 
 
 def ellipsis(col: Column, limit: int, mark: str = "…") -> Column:

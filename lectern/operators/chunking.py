@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import chunk_array, excerpts, pages_of_words, trim_ws
+from lectern.functions.text import chunk_array, excerpts, has_text, pages_of_words, trim_ws
 
 
 def chunk_documents(
@@ -66,14 +66,14 @@ def assemble_pages(
     """
     sized = pages.groupBy("document_id").agg(
         F.max("page_no").alias("page_count"),
-        F.count_if(trim_ws(F.col("page_text")) != "").alias("text_pages"),
+        F.count_if(has_text(F.col("page_text"))).alias("text_pages"),
     )
     fits = (F.col("page_count") <= max_pages) & (F.col("text_pages") > 0)
     tagged = F.concat(
         F.lit("\n\n[Page "), F.col("page_no").cast("string"), F.lit("]\n\n"), F.col("page_text")
     )
     texts = (
-        pages.where(trim_ws(F.col("page_text")) != "")
+        pages.where(has_text(F.col("page_text")))
         .join(sized.where(fits).select("document_id"), "document_id", "left_semi")
         .withColumn("block", tagged)
         .groupBy("document_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import is_summary_question, trim_ws
+from lectern.functions.text import has_text, is_summary_question, trim_ws
 from lectern.operators.retrieval import knowledge_matches, relevant_chunks, scoped_chunks
 
 # Texts and separators of the prompt.
@@ -83,13 +83,13 @@ def select_context(
     ``prompt_text, context_chunks, best_similarity, context_source``.
     """
     has_selections = F.size(F.coalesce("selections", F.array())) > 0
-    selected = trim_ws(F.coalesce("selected_text", F.lit("")))
+    selected = trim_ws(F.col("selected_text"))
     first_of_name = docs.groupBy("filename").agg(F.min("id").alias("active_id"))
     routed = asks.join(
         first_of_name, asks["active_document_name"] == first_of_name["filename"], "left"
     ).select(
         asks["*"], "active_id",
-        F.when(has_selections, "selections").when(selected != "", "selected_text")
+        F.when(has_selections, "selections").when(has_text(F.col("selected_text")), "selected_text")
         .when(F.col("active_id").isNotNull(), "active_document").otherwise("open").alias("_route"),
     )
     names = F.coalesce("scoped_names", F.array())
@@ -123,7 +123,7 @@ def select_context(
                 .alias("part"))
     )
     summary = parts.groupBy("ask_id").agg(
-        F.array_sort(F.collect_list(F.struct("id", "part"))).alias("parts")
+        F.sort_array(F.collect_list(F.struct("id", "part"))).alias("parts")
     ).select(
         "ask_id", F.array_join(F.col("parts.part"), SEPARATOR).alias("prompt_text"),
         F.col("parts.part").alias("context_chunks"), F.lit(1.0).alias("best_similarity"),
@@ -135,7 +135,7 @@ def select_context(
     within = scoped_chunks(docs, chunks, searched.where(F.size("scoped_names") > 0), k)
     hits = everywhere.unionByName(within).join(chunks, ["document_id", "chunk_index"])
     gathered = hits.groupBy("ask_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "chunk_text"))).alias("hits"),
+        F.sort_array(F.collect_list(F.struct("rank", "chunk_text"))).alias("hits"),
         F.max("similarity").alias("best"),
     )
     retrieved = searched.select("ask_id").join(gathered, "ask_id", "left").select(
@@ -164,7 +164,7 @@ def assemble_prompts(contexts: DataFrame, matches: DataFrame) -> DataFrame:
     entry = F.concat(F.lit("Q: "), F.col("kb_question"), F.lit("\nA: "), F.col("answer"), F.lit("\n---\n"))
     blocks = (
         matches.groupBy("ask_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "kb_id", entry.alias("entry")))).alias("fired"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "kb_id", entry.alias("entry")))).alias("fired"))
         .select(
             "ask_id", F.col("fired.kb_id").alias("kb_ids"),
             F.concat(

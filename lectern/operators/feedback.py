@@ -43,7 +43,7 @@ def rating_distribution(chat: DataFrame) -> DataFrame:
 def rating_distribution_map(chat: DataFrame) -> DataFrame:
     """The distribution as one MAP<INT, BIGINT>."""
     return rating_distribution(chat).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("rating", "n")))).alias("distribution")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("rating", "n")))).alias("distribution")
     )
 
 

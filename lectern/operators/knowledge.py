@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import or_default, trim_ws
+from lectern.functions.text import contains_any, or_default, trim_ws
 from lectern.functions.vectors import word_set
 from lectern.operators.neardup import greedy_keep, near_existing
 
@@ -23,8 +23,7 @@ ERROR_PHRASES = (
 
 def gate_reason(answer: Column, min_chars: int = 80) -> Column:
     """Why an answer is not worth saving; NULL when it is."""
-    low = F.lower(answer)
-    failed = F.exists(F.array(*[F.lit(p) for p in ERROR_PHRASES]), lambda p: F.contains(low, p))
+    failed = contains_any(F.lower(answer), ERROR_PHRASES)
     return F.when(F.char_length(trim_ws(answer)) < min_chars, "too_short").when(failed, "error_phrase")
 
 

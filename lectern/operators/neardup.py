@@ -51,7 +51,7 @@ def prefixes(items: DataFrame, ranks: DataFrame, t: Fraction) -> DataFrame:
         items.select("id", F.explode("vector").alias("feature"))
         .join(F.broadcast(ranks), "feature", "left")
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list(
+        .agg(F.sort_array(F.collect_list(
             F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("feature").alias("f"))
         )).alias("features"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import or_default, words
+from lectern.functions.text import let, or_default, words
 from lectern.functions.vectors import set_cosine, word_set
 from lectern.operators.topk import Search, top_k
 
@@ -137,26 +137,32 @@ def relevant_history(
     is scored in place, without another shuffle.
     """
     past = latest_history(chat, latest).groupBy("user_id").agg(
-        F.collect_list(F.struct("id", "ts", "selected_text", "question", "answer")).alias("past")
+        F.collect_list(F.struct(
+            "id", "ts", "selected_text", "question", "answer",
+            F.lower("question").alias("low_question"), F.lower("selected_text").alias("low_selected"),
+        )).alias("past")
     )
     who = with_user(asks, users)
-    joined = who.join(past, who["user_id"].eqNullSafe(past["user_id"])).select(
-        "ask_id", "past", words(F.lower("question")).alias("q_words"),
-        words(F.lower(F.coalesce("selected_text", F.lit("")))).alias("s_words"),
-    )
+    joined = who.join(past, who["user_id"].eqNullSafe(past["user_id"]))
 
     def found(needles, text):
-        return F.size(F.filter(needles, lambda w: F.contains(F.lower(text), w)))
-
-    scored = F.transform(
-        "past",
-        lambda h: F.struct(
-            (-(found(F.col("q_words"), h["question"]) + 2 * found(F.col("s_words"), h["selected_text"])))
-            .alias("minus_score"),
-            (-h["id"]).alias("minus_id"), h.alias("row"),
-        ),
+        return F.size(F.filter(needles, lambda w: F.contains(text, w)))
+
+    def scores(asked):
+        return F.transform(
+            "past",
+            lambda h: F.struct(
+                (-(found(asked["q"], h["low_question"]) + 2 * found(asked["s"], h["low_selected"])))
+                .alias("minus_score"),
+                (-h["id"]).alias("minus_id"), h.alias("row"),
+            ),
+        )
+
+    asked = F.struct(
+        words(F.lower("question")).alias("q"),
+        words(F.lower(F.coalesce("selected_text", F.lit("")))).alias("s"),
     )
-    best = F.slice(F.array_sort(F.filter(scored, lambda s: s["minus_score"] < 0)), 1, limit)
+    best = F.slice(F.sort_array(F.filter(let(asked, scores), lambda s: s["minus_score"] < 0)), 1, limit)
     return joined.select("ask_id", F.posexplode(best).alias("pos", "hit")).select(
         "ask_id", (F.col("pos") + 1).alias("rank"), F.col("hit.row.id").alias("id"),
         F.col("hit.row.ts").alias("ts"), F.col("hit.row.selected_text").alias("selected_text"),

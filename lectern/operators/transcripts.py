@@ -35,21 +35,21 @@ def ordered_concat(
         rows.withColumn("_seg", F.floor(F.col(order) / segment_rows))
         .groupBy(key, "_seg")
         .agg(F.array_join(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))["t"], ""
+            F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))["t"], ""
         ).alias("_text"))
     )
     return parts.groupBy(key).agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("_seg", "_text")))["_text"], "").alias(out)
+        F.array_join(F.sort_array(F.collect_list(F.struct("_seg", "_text")))["_text"], "").alias(out)
     )
 
 
 def _token(line: Column, path: str) -> Column:
-    return F.try_variant_get(markers.strict_json(line), path, "string")
+    return markers.strict_json(line, path, "string")
 
 
 def ndjson_answers(log: DataFrame) -> DataFrame:
     """``(request_id, seq, line)`` of JSON lines to one answer per request; bad lines are skipped."""
-    tokens = log.select("request_id", "seq", _token(F.col("line"), "$.response").alias("token"))
+    tokens = log.select("request_id", "seq", _token(F.col("line"), ".response").alias("token"))
     return ordered_concat(tokens.where(F.col("token") != ""), "request_id", "seq", "token", "answer")
 
 
@@ -61,7 +61,7 @@ def sse_answers(log: DataFrame) -> DataFrame:
     live = events.join(done, "request_id", "left").where(
         F.col("done_at").isNull() | (F.col("seq") < F.col("done_at"))
     )
-    tokens = live.select("request_id", "seq", _token(F.col("data"), "$.choices[0].delta.content").alias("token"))
+    tokens = live.select("request_id", "seq", _token(F.col("data"), ".choices[0].delta.content").alias("token"))
     return ordered_concat(tokens.where(F.col("token") != ""), "request_id", "seq", "token", "answer")
 
 
@@ -87,4 +87,6 @@ def write_export(messages: DataFrame, path: str) -> None:
     """Export blocks as text files in conversation order, split by range."""
     blocks = export_blocks(messages)
     ordered = blocks.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
-    ordered.select("block").write.mode("overwrite").option("lineSep", "").text(path)
+    # Every block ends in a line break, which the writer adds again.
+    lines = ordered.select(F.expr("substring(block, 1, char_length(block) - 1)").alias("block"))
+    lines.write.mode("overwrite").text(path)

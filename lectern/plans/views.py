@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables whose rows cost much work each, with a key that deals them out evenly.
+HEAVY = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
 TABLES = ("customer", "documents", "embeddings", "conversations", "benchmark", "events", "pages")
 
 VIEWS = {
@@ -166,9 +168,18 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def _read(self, name: str) -> DataFrame:
+        """A table as it lies. Only a heavy table in fewer files than there are cores is dealt
+        out first, as a single file would keep one core busy; a large table never is."""
+        df = self.spark.read.parquet(self.path(name))
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in HEAVY and len(df.inputFiles()) < cores:
+            return df.repartition(cores, *HEAVY[name])
+        return df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            make = lambda: self.spark.read.parquet(self.path(name))
+            make = lambda: self._read(name)
         elif name in VIEWS:
             make = lambda: self.spark.sql(VIEWS[name], **{n: getattr(self, n) for n in needs(name)})
         else:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.markers import strict_json
-from lectern.functions.text import or_default, sanitize_filename, trim_ws
+from lectern.functions.text import has_text, sanitize_filename
 
 MB = 1024 * 1024
 # Limits and types of the two admission checks.
@@ -55,6 +55,15 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     )
 
 
+def with_listed(found: DataFrame, listing: DataFrame) -> DataFrame:
+    """Files found plus those of ``listing(path)`` that are not: Spark's file sources leave
+    out files without bytes, and an ingest has to report them."""
+    return listing.select("path").join(found, "path", "left").select(
+        "path", F.regexp_extract("path", r"[^/]*$", 0).alias("filename"),
+        F.coalesce("size_bytes", F.lit(0)).cast("bigint").alias("size_bytes"), "content",
+    )
+
+
 def looks_like_text(content: Column, sample_bytes: int = 4096, least_printable: float = 0.85) -> Column:
     """No NUL in the first bytes, and they are valid UTF-8 or mostly printable ASCII."""
     sample = F.substring(content, 1, sample_bytes)
@@ -150,7 +159,7 @@ def extract(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_chars: int =
         .when(F.col("file_type") == "text", decode_text(F.col("content")))
     )
     found = found.withColumn("full", full)
-    blank = trim_ws(F.coalesce("full", F.lit(""))) == ""
+    blank = ~has_text(F.col("full"))
     code = (
         F.when(F.col("size_bytes") == 0, "empty")
         .when(F.col("size_bytes") > max_bytes, "too_large")
