@@ -66,9 +66,11 @@ def assemble_pages(
     """
     sized = pages.groupBy("document_id").agg(
         F.max("page_no").alias("page_count"),
+        F.count("*").alias("rows"),
         F.count_if(has_text(F.col("page_text"))).alias("text_pages"),
     )
-    fits = (F.col("page_count") <= max_pages) & (F.col("text_pages") > 0)
+    over_limit = F.greatest("page_count", "rows") > max_pages
+    fits = ~over_limit & (F.col("text_pages") > 0)
     tagged = F.concat(
         F.lit("\n\n[Page "), F.col("page_no").cast("string"), F.lit("]\n\n"), F.col("page_text")
     )
@@ -86,7 +88,7 @@ def assemble_pages(
         F.substring("full_text", 1, max_chars).alias("text"),
         F.when(over, max_chars).otherwise(F.char_length("full_text")).alias("char_count"),
         F.coalesce(over, F.lit(False)).alias("truncated"),
-        F.when(F.col("page_count") > max_pages, "too_many_pages")
+        F.when(over_limit, "too_many_pages")
         .when(F.col("text_pages") == 0, "no_text")
         .alias("error_code"),
     )

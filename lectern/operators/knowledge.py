@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lectern.functions.text import contains_any, or_default, trim_ws
 from lectern.functions.vectors import word_set
 from lectern.operators.neardup import greedy_keep, near_existing
+from lectern.session import cut_lineage
 
 # Phrases that mark an answer as a failure.
 ERROR_PHRASES = (
@@ -39,6 +40,7 @@ def auto_save(
     good = chat.where(gate_reason(F.col("answer")).isNull())
     asked = good.select("id", word_set(F.col("question")).alias("vector"))
     known = kb.select("id", word_set(F.col("question")).alias("vector"))
+    asked = cut_lineage(asked)
     fresh = asked.join(near_existing(asked, known, threshold), "id", "left_anti")
     saved = greedy_keep(fresh, threshold).where("kept").select("id")
     return good.join(saved, "id", "left_semi").select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import let, or_default, words
-from lectern.functions.vectors import set_cosine, word_set
+from lectern.functions.vectors import word_set
 from lectern.operators.topk import Search, top_k
 
 CHUNK_STRIDE = 10_000_000
@@ -23,37 +23,33 @@ def relevant_chunks(chunks: DataFrame, asks: DataFrame, k: int = 3) -> DataFrame
     ``(ask_id, rank, document_id, chunk_index, similarity)``."""
     corpus = chunks.select(chunk_key().alias("corpus_id"), word_set(F.col("chunk_text")).alias("vector"))
     queries = asks.select(F.col("ask_id").alias("query_id"), word_set(F.col("question")).alias("vector"))
-    found = top_k(corpus, queries, Search("cosine", k))
-    return found.select(
-        F.col("query_id").alias("ask_id"), "rank",
-        F.floor(F.col("corpus_id") / CHUNK_STRIDE).cast("bigint").alias("document_id"),
-        (F.col("corpus_id") % CHUNK_STRIDE).cast("int").alias("chunk_index"),
-        F.col("score").alias("similarity"),
-    )
+    return _chunk_hits(top_k(corpus, queries, Search("cosine", k)))
 
 
 def scoped_chunks(docs: DataFrame, chunks: DataFrame, asks: DataFrame, k: int = 3) -> DataFrame:
     """As :func:`relevant_chunks`, but each ask only sees documents named in its
-    ``scoped_names``. Equality joins; the rank limit prunes before its shuffle."""
-    wanted = asks.select(
-        "ask_id", word_set(F.col("question")).alias("asked"),
-        F.explode(F.array_distinct("scoped_names")).alias("filename"),
+    ``scoped_names``. Only chunks of documents that some ask names are searched."""
+    names = asks.select(F.explode("scoped_names").alias("filename")).distinct()
+    named = docs.join(names, "filename", "left_semi").select(
+        F.col("id").alias("document_id"), F.xxhash64("filename").alias("scope")
     )
-    scope = wanted.join(docs.select("filename", F.col("id").alias("document_id")), "filename")
-    named = docs.join(wanted.select("filename").distinct(), "filename", "left_semi").select(
-        F.col("id").alias("document_id")
+    corpus = chunks.join(named, "document_id").select(
+        chunk_key().alias("corpus_id"), word_set(F.col("chunk_text")).alias("vector"), "scope"
     )
-    vectors = chunks.join(named, "document_id", "left_semi").select(
-        "document_id", "chunk_index", word_set(F.col("chunk_text")).alias("vector")
+    queries = asks.select(
+        F.col("ask_id").alias("query_id"), word_set(F.col("question")).alias("vector"),
+        F.transform(F.array_distinct("scoped_names"), lambda n: F.xxhash64(n)).alias("scopes"),
     )
-    scored = (
-        scope.join(vectors, "document_id")
-        .select("ask_id", "document_id", "chunk_index", set_cosine("asked", "vector").alias("similarity"))
-        .where(F.col("similarity").isNotNull())
+    return _chunk_hits(top_k(corpus, queries, Search("cosine", k, scoped=True)))
+
+
+def _chunk_hits(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.col("query_id").alias("ask_id"), "rank",
+        F.floor(F.col("corpus_id") / CHUNK_STRIDE).cast("bigint").alias("document_id"),
+        (F.col("corpus_id") % CHUNK_STRIDE).cast("int").alias("chunk_index"),
+        F.col("score").alias("similarity"),
     )
-    order = Window.partitionBy("ask_id").orderBy(F.desc("similarity"), "document_id", "chunk_index")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("ask_id", "rank", "document_id", "chunk_index", "similarity")
 
 
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:

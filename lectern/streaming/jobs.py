@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 from lectern.functions.vectors import word_set
 from lectern.operators.chunking import chunk_documents
@@ -37,7 +37,9 @@ def ingest_chunks(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

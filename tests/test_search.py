@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import vectors
 from lectern.operators import neardup, retrieval
 from lectern.operators.embedding import ColumnEmbedder, DenseWordSets, GivenVectors
-from lectern.operators.topk import Search, top_k
+from lectern.operators.topk import Limits, Search, top_k
 
 
 def cosine(a, b):
@@ -23,9 +23,9 @@ def sets():
     return {i: draw() for i in range(400)}, {i: draw() for i in range(90)}
 
 
-def frame(spark, rows, key, stamp=None):
-    data = [(k, sorted(v)) + ((stamp(k),) if stamp else ()) for k, v in rows.items()]
-    return spark.createDataFrame(data, f"{key} BIGINT, vector ARRAY<BIGINT>" + (", seen_at BIGINT" if stamp else ""))
+def frame(spark, rows, key, extra=None, schema=""):
+    data = [(k, sorted(v)) + ((extra(k),) if extra else ()) for k, v in rows.items()]
+    return spark.createDataFrame(data, f"{key} BIGINT, vector ARRAY<BIGINT>{schema}")
 
 
 def brute(corpus, queries, k, score, allowed=lambda c, q: True, positive=False):
@@ -41,17 +41,33 @@ def found(df):
     return {(r["query_id"], r["corpus_id"], r["rank"], r["score"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("bound", [10**9, 1])
-def test_top_k_is_exact_under_ties_on_both_paths(spark, sets, bound):
+PATHS = {
+    "queries broadcast": Limits(),
+    "corpus broadcast": Limits(rows=10**6, values=1_000),
+    "grid": Limits(rows=40, cell_corpus=150),
+}
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_top_k_is_exact_under_ties_on_every_path(spark, sets, path):
     corpus, queries = sets
-    run = lambda search, stamp=None: found(top_k(
-        frame(spark, corpus, "corpus_id", stamp).repartition(3), frame(spark, queries, "query_id", stamp), search,
-        broadcast_values=bound, grid_rows=(150, 40)))
+    if path == "corpus broadcast":
+        corpus, queries = queries, corpus
+        assert sum(map(len, corpus.values())) < 1_000 < sum(map(len, queries.values()))
+
+    def run(search, extra=None, schema="", asked=None, asked_schema=None):
+        return found(top_k(
+            frame(spark, corpus, "corpus_id", extra, schema).repartition(3),
+            frame(spark, queries, "query_id", asked or extra, asked_schema or schema), search, PATHS[path]))
+
     assert run(Search("cosine", 3)) == brute(corpus, queries, 3, cosine)
     overlap = lambda a, b: float(len(a & b))
     assert run(Search("overlap", 4, positive=True)) == brute(corpus, queries, 4, overlap, positive=True)
     before = brute(corpus, queries, 3, cosine, lambda c, q: c % 50 < q % 50)
-    assert run(Search("cosine", 3, before=True), lambda i: i % 50) == before
+    assert run(Search("cosine", 3, before=True), lambda i: i % 50, ", seen_at BIGINT") == before
+    scoped = brute(corpus, queries, 3, cosine, lambda c, q: c % 7 in (q % 7, q % 5))
+    assert run(Search("cosine", 3, scoped=True), lambda c: c % 7, ", scope BIGINT",
+               lambda q: [q % 7, q % 5], ", scopes ARRAY<BIGINT>") == scoped
 
 
 def test_dense_top_k_leaves_out_zero_vectors_and_refuses_other_dimensions(spark):
