@@ -13,10 +13,12 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.session import cut_lineage
 
 HOT_FEATURES = 20_000
+HEADS = 8
 
 
 def _above(dot: Column, a: Column, b: Column, t: Fraction) -> Column:
@@ -95,34 +97,33 @@ def greedy_keep(items: DataFrame, threshold: float = 0.92) -> DataFrame:
     """First-come duplicate suppression over ``items(id, vector)``: an item stays unless an
     earlier item that stayed is above the threshold. Returns ``(id, kept)``.
 
-    Equal vectors collapse first, so a group of copies costs one row. Items without any
-    near neighbour stay at once. The others go through rounds: those without an undecided
-    earlier neighbour stay, their neighbours go. All tests are semi joins, which stop at the
-    first neighbour found, so the pairs of a group are never listed.
+    Equal vectors collapse first, so a group of copies costs one row. Then rounds: rows
+    without an undecided earlier neighbour stay, and the rows near them go. All tests are
+    semi joins, which stop at the first neighbour found, so the pairs of a group are never
+    listed. A row is first tested against the earliest few rows of each group, which settles
+    nearly all rows of a large group of near copies.
     """
     t = Fraction(str(threshold))
     items = items.select("id", "vector")
     blank = items.where(F.size("vector") == 0).select("id", F.lit(True).alias("kept"))
     sets = items.where(F.size("vector") > 0)
     first = cut_lineage(sets.groupBy("vector").agg(F.min("id").alias("id")))
-    rows = _with_vectors(prefixes(first, _feature_ranks(first), t), first)
-    rows = cut_lineage(rows)
+    undecided = cut_lineage(_with_vectors(prefixes(first, _feature_ranks(first), t), first))
 
-    def reached(a, b, order):
-        on = (F.col("a.feature") == F.col("b.feature")) & order & _meet("a", "b", t)
+    def near_earlier(a, b):
+        on = (F.col("a.feature") == F.col("b.feature")) & (F.col("b.id") < F.col("a.id")) & _meet("a", "b", t)
         return a.alias("a").join(b.alias("b"), on, "left_semi").select("id").distinct()
 
-    any_other = F.col("a.id") != F.col("b.id")
-    earlier = F.col("b.id") < F.col("a.id")
-    undecided = cut_lineage(
-        rows.join(reached(rows, rows, any_other), "id", "left_semi")
-    )
     dropped = []
     while not undecided.isEmpty():
-        held = cut_lineage(reached(undecided, undecided, earlier))
+        place = F.row_number().over(Window.partitionBy("feature").orderBy("id"))
+        heads = undecided.withColumn("place", place).where(F.col("place") <= HEADS)
+        soon = cut_lineage(near_earlier(undecided, heads))
+        later = near_earlier(undecided.join(soon, "id", "left_anti"), undecided)
+        held = cut_lineage(soon.union(later))
         stays = undecided.join(held, "id", "left_anti")
         rest = undecided.join(held, "id", "left_semi")
-        gone = cut_lineage(reached(rest, stays, earlier))
+        gone = cut_lineage(near_earlier(rest, stays))
         dropped.append(gone)
         undecided = cut_lineage(rest.join(gone, "id", "left_anti"))
 
