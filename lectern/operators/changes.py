@@ -61,7 +61,7 @@ def apply_corrections(
     Each new row keeps the answer it replaced, which for a second correction of the same
     chat row is the first correction.
     """
-    segment = F.date_trunc("day", "ts") if segment is None else segment
+    segment = F.date_trunc("hour", "ts") if segment is None else segment
     known = corrections.join(chat.select(F.col("id").alias("chat_id")), "chat_id", "left_semi")
     rejects = corrections.join(
         chat.select(F.col("id").alias("chat_id")), "chat_id", "left_anti"

@@ -68,6 +68,15 @@ def document_candidates(pairs: DataFrame, docs: DataFrame, min_answer: int = 20)
     )
 
 
+def pair_counts(pairs: DataFrame, saved: DataFrame) -> DataFrame:
+    """Pairs parsed and rows saved per document."""
+    parsed = pairs.groupBy("document_id").agg(F.count("*").alias("n_parsed"))
+    kept = saved.groupBy("document_id").agg(F.count("*").alias("n_saved"))
+    return parsed.join(kept, "document_id", "left").select(
+        "document_id", "n_parsed", F.coalesce("n_saved", F.lit(0)).alias("n_saved")
+    )
+
+
 def bulk_load(requests: DataFrame) -> DataFrame:
     """Rows from records with ``items ARRAY<STRUCT<question, answer, source>>``."""
     return requests.select("*", F.inline("items")).drop("items").select(

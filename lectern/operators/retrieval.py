@@ -10,18 +10,18 @@ from lectern.functions.text import let, or_default, words
 from lectern.functions.vectors import word_set
 from lectern.operators.topk import Search, top_k
 
-CHUNK_STRIDE = 10_000_000
 
-
-def chunk_key(document_id="document_id", chunk_index="chunk_index"):
-    """One ordered BIGINT per chunk; a document never has this many chunks."""
-    return F.col(document_id) * CHUNK_STRIDE + F.col(chunk_index)
+def _chunk_vectors():
+    return (
+        F.col("document_id").alias("corpus_id"), F.col("chunk_index").alias("corpus_part"),
+        word_set(F.col("chunk_text")).alias("vector"),
+    )
 
 
 def relevant_chunks(chunks: DataFrame, asks: DataFrame, k: int = 3) -> DataFrame:
     """Best k chunks of the whole corpus per ``asks(ask_id, question)``:
     ``(ask_id, rank, document_id, chunk_index, similarity)``."""
-    corpus = chunks.select(chunk_key().alias("corpus_id"), word_set(F.col("chunk_text")).alias("vector"))
+    corpus = chunks.select(*_chunk_vectors())
     queries = asks.select(F.col("ask_id").alias("query_id"), word_set(F.col("question")).alias("vector"))
     return _chunk_hits(top_k(corpus, queries, Search("cosine", k)))
 
@@ -34,7 +34,7 @@ def scoped_chunks(docs: DataFrame, chunks: DataFrame, asks: DataFrame, k: int =
         F.col("id").alias("document_id"), F.xxhash64("filename").alias("scope")
     )
     corpus = chunks.join(named, "document_id").select(
-        chunk_key().alias("corpus_id"), word_set(F.col("chunk_text")).alias("vector"), "scope"
+        *_chunk_vectors(), "scope"
     )
     queries = asks.select(
         F.col("ask_id").alias("query_id"), word_set(F.col("question")).alias("vector"),
@@ -46,8 +46,7 @@ def scoped_chunks(docs: DataFrame, chunks: DataFrame, asks: DataFrame, k: int =
 def _chunk_hits(found: DataFrame) -> DataFrame:
     return found.select(
         F.col("query_id").alias("ask_id"), "rank",
-        F.floor(F.col("corpus_id") / CHUNK_STRIDE).cast("bigint").alias("document_id"),
-        (F.col("corpus_id") % CHUNK_STRIDE).cast("int").alias("chunk_index"),
+        F.col("corpus_id").alias("document_id"), F.col("corpus_part").cast("int").alias("chunk_index"),
         F.col("score").alias("similarity"),
     )
 

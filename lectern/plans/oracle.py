@@ -294,6 +294,9 @@ def _build():
         SELECT document_id, part, pos, question, answer AS original_answer, answer AS corrected_answer, filename AS context_text,
                'Auto-generated from: ' || filename AS corrected_by, 0 AS usage_count
         FROM firsts JOIN v_docs d ON d.id = document_id""")
+    _add("pairs_saved", ["qa_lines", "docs"], f"""WITH {QA}
+        SELECT document_id, count(*) AS n_parsed,
+               count(DISTINCT CASE WHEN length(answer) >= 20 THEN lower(question) END) AS n_saved FROM pairs GROUP BY document_id""")
     _add("bulk_kb_load", ["kb"], """SELECT id - id % 5 AS request_id, question, '' AS original_answer, corrected_answer,
         coalesce(context_text, '') AS context_text, 'Manual Entry' AS corrected_by, 0 AS usage_count FROM v_kb""")
     _add("excerpts", ["docs"], f"""WITH e AS (
@@ -433,6 +436,9 @@ def _build():
             'application/vnd.openxmlformats-officedocument.wordprocessingml.document') THEN 'unsupported_type' END AS refused FROM v_form_files""")
     _add("json_documents", ["json_texts"], """SELECT event_id, json_valid(text) AS valid,
         CASE WHEN json_valid(text) THEN json(text)::VARCHAR END AS canonical FROM v_json_texts""")
+    _add("table_counts", ["docs", "chat", "kb"], f"""WITH {CHUNKS}
+        SELECT 'ratings' AS what, count(rating) AS n FROM v_chat UNION ALL SELECT 'kb_entries', count(*) FROM v_kb
+        UNION ALL SELECT 'documents', count(*) FROM v_docs UNION ALL SELECT 'chunks', count(*) FROM chunks""")
     _add("vector_guard", [], """SELECT count(*) FILTER (WHERE vec_id % 50 <> 1) AS n_vectors, count(*) FILTER (WHERE vec_id % 50 = 1) AS n_missing,
         count(*) FILTER (WHERE vec_id % 50 = 0) AS n_wrong_dim, count(*) FILTER (WHERE vec_id % 50 = 0) > 0 AS rebuild FROM embeddings""")
     _add("schema_evolution", ["kb"], """SELECT id, question, corrected_answer, NULL::VARCHAR AS corrected_by, 0 AS usage_count FROM v_kb""")

@@ -267,6 +267,14 @@ def kb_candidates(t):
     return knowledge.document_candidates(transcripts.parse_qa(_qa(t)), docs)
 
 
+@query
+def pairs_saved(t):
+    """Pairs parsed and pairs saved per document."""
+    parsed = transcripts.parse_qa(_qa(t))
+    docs = t.docs.withColumn("safe_filename", text.sanitize_filename(F.col("filename")))
+    return knowledge.pair_counts(parsed, knowledge.document_candidates(parsed, docs))
+
+
 @query
 def bulk_kb_load(t):
     item = F.struct(
@@ -559,6 +567,18 @@ def json_documents(t):
     return files.json_documents(t.json_texts).select("event_id", "valid", "canonical")
 
 
+@query
+def table_counts(t):
+    """Totals a display shows: ratings, base rows, documents, chunks."""
+    def total(df, name):
+        return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+
+    return (
+        total(feedback.rating_filter(t.chat), "ratings").unionByName(total(t.kb, "kb_entries"))
+        .unionByName(total(t.docs, "documents")).unionByName(total(_chunks(t), "chunks"))
+    )
+
+
 @query
 def vector_guard(t):
     cut = F.when(F.col("vec_id") % 50 == 0, F.slice("embedding", 1, 32)).when(

@@ -169,11 +169,11 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def _read(self, name: str) -> DataFrame:
-        """A table as it lies. Only a heavy table in fewer files than there are cores is dealt
-        out first, as a single file would keep one core busy; a large table never is."""
+        """A table as it lies. Only a heavy table read in fewer splits than there are cores is
+        dealt out first, as it would keep few cores busy; a large table never is."""
         df = self.spark.read.parquet(self.path(name))
         cores = self.spark.sparkContext.defaultParallelism
-        if name in HEAVY and len(df.inputFiles()) < cores:
+        if name in HEAVY and df.rdd.getNumPartitions() < cores:
             return df.repartition(cores, *HEAVY[name])
         return df
 

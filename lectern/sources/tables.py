@@ -24,6 +24,14 @@ def evolve(df: DataFrame, schema: str, defaults: dict | None = None) -> DataFram
     return out
 
 
+def ensure_vectors(df: DataFrame, embedder, text: str, dim: int, vector: str = "embedding") -> DataFrame:
+    """The table as it is, or embedded again when the vector column is missing or any vector
+    has another dimension."""
+    if vector in df.columns and not vector_guard(df, dim, vector).first()["rebuild"]:
+        return df
+    return embedder.transform(df.drop(vector), text, vector)
+
+
 def vector_guard(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
     """Counts of vectors, missing vectors and vectors of another dimension, and whether the
     table has to be embedded again."""

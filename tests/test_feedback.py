@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import changes, feedback, knowledge
+from lectern.operators.embedding import DenseWordSets
 from lectern.sources import tables
 
 CHAT = "id BIGINT, user_id STRING, question STRING, answer STRING, rating INT, comment STRING"
@@ -91,6 +92,10 @@ def test_schema_evolution_guard_and_append(spark, tmp_path):
     assert tuple(new.first()) == (1, "q", None, 0)
     vectors = spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,)], "embedding ARRAY<FLOAT>")
     assert tuple(tables.vector_guard(vectors, 2).first()) == (2, 1, 1, True)
+    texts = vectors.withColumn("t", F.lit("one two"))
+    again = tables.ensure_vectors(texts, DenseWordSets(4), "t", 4).collect()
+    assert {len(r["embedding"]) for r in again} == {4}
+    assert tables.ensure_vectors(old.withColumn("embedding", F.array(F.lit(1.0))), None, "question", 1).first()["embedding"] == [1.0]
     for _ in range(2):
         tables.append(old, str(tmp_path / "t"))
     assert tables.scan(spark, str(tmp_path / "t"), "id").count() == 2

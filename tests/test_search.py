@@ -70,6 +70,14 @@ def test_top_k_is_exact_under_ties_on_every_path(spark, sets, path):
                lambda q: [q % 7, q % 5], ", scopes ARRAY<BIGINT>") == scoped
 
 
+def test_chunk_hits_with_ids_of_any_size(spark):
+    rows = [(2**62, 1, "b a"), (2**62, 0, "a b"), (-(2**62), 5, "a b"), (7, 0, "zz")]
+    chunks = spark.createDataFrame(rows, "document_id BIGINT, chunk_index INT, chunk_text STRING")
+    asks = spark.createDataFrame([(1, "b a")], "ask_id BIGINT, question STRING")
+    got = sorted((r["rank"], r["document_id"], r["chunk_index"]) for r in retrieval.relevant_chunks(chunks, asks, 3).collect())
+    assert got == [(1, -(2**62), 5), (2, 2**62, 0), (3, 2**62, 1)]
+
+
 def test_dense_top_k_leaves_out_zero_vectors_and_refuses_other_dimensions(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0]), (4, [-1.0, 0.0]), (5, [2.0, 0.0])]
     corpus = spark.createDataFrame(rows, "corpus_id BIGINT, vector ARRAY<FLOAT>")
