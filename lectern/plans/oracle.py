@@ -271,7 +271,7 @@ def _build():
         FROM v_asks LEFT JOIN tasks ON i = ask_id % 7""")
 
     _add("kb_listing", ["kb"], """SELECT id, question, coalesce(nullif(original_answer, ''), '') AS original_answer,
-        corrected_answer AS answer, created_s AS created_at, chat_history_id,
+        corrected_answer AS answer, created_s AS created_at, chat_history_id::VARCHAR AS chat_history_id,
         coalesce(nullif(corrected_by, ''), 'User') AS corrected_by, coalesce(usage_count, 0) AS usage_count FROM v_kb""")
     _add("kb_search", ["kb"], """SELECT id, question, corrected_answer FROM v_kb
         WHERE question ILIKE '%than%' OR corrected_answer ILIKE '%than%'""")
@@ -328,7 +328,7 @@ def _build():
 
     last = "SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY ts DESC, seq DESC) AS n FROM {v} QUALIFY n = 1"
     _add("apply_rating_changes", ["chat", "rating_changes"], f"""WITH l AS ({last.format(k='id', v='v_rating_changes')})
-        SELECT c.id, CASE WHEN l.id IS NULL THEN c.rating ELSE l.rating END AS rating,
+        SELECT c.id, (CASE WHEN l.id IS NULL THEN c.rating ELSE l.rating END)::VARCHAR AS rating,
                CASE WHEN l.id IS NULL THEN c.comment ELSE l.comment END AS comment FROM v_chat c LEFT JOIN l ON l.id = c.id""")
     _add("apply_corrections", ["chat", "corrections"], f"""WITH l AS ({last.format(k='chat_id', v='v_corrections')})
         SELECT c.id, CASE WHEN l.chat_id IS NULL THEN c.answer ELSE l.corrected_answer END AS answer,
@@ -349,7 +349,7 @@ def _build():
     deleted = f"""{CHUNKS}, wanted AS (SELECT DISTINCT coalesce(name1, 'gone_' || ask_id::VARCHAR) AS filename FROM v_routed_asks),
         target AS (SELECT filename, (SELECT min(id) FROM v_docs d WHERE d.filename = w.filename) AS document_id FROM wanted w)"""
     _add("cascade_delete", ["docs", "routed_asks"], f"""WITH {deleted}
-        SELECT filename, document_id, (SELECT count(*) FROM chunks c WHERE c.document_id = t.document_id) AS chunks_deleted,
+        SELECT filename, document_id::VARCHAR AS document_id, (SELECT count(*) FROM chunks c WHERE c.document_id = t.document_id) AS chunks_deleted,
                CASE WHEN document_id IS NULL THEN 'not_found' ELSE 'deleted' END AS status FROM target t""")
     _add("cascade_delete_left", ["docs", "routed_asks"], f"""WITH {deleted}
         SELECT id, filename, (SELECT count(*) FROM chunks c WHERE c.document_id = d.id) AS n_chunks FROM v_docs d
@@ -370,7 +370,7 @@ def _build():
                       list_filter(list_transform(list_filter(arr::JSON[], lambda e: json_type(e) = 'VARCHAR'), lambda e: e ->> '$'),
                                   lambda s: length(s) > 10) AS good FROM j)
         SELECT doc_id, CASE WHEN usable THEN array_to_string(good[1:4], '|') ELSE '{default}' END AS suggestions FROM ok""")
-    _add("transcript_demux", ["streams", "chat"], """SELECT s.id, CASE WHEN s.id % 10 IN (2, 3) THEN NULL ELSE s.id END AS entry_id,
+    _add("transcript_demux", ["streams", "chat"], """SELECT s.id, CASE WHEN s.id % 10 IN (2, 3) THEN NULL ELSE s.id::VARCHAR END AS entry_id,
         '{"similarity_score": 0.5, "context_source": "retrieval", "row": ' || s.id::VARCHAR || '}' AS context_json,
         CASE WHEN s.id % 10 = 3 THEN 'Request ' || s.id::VARCHAR || ' failed' END AS error,
         CASE WHEN s.id % 10 = 3 THEN '' ELSE c.answer END AS answer FROM v_streams s JOIN v_chat c ON c.id = s.id""")
@@ -405,7 +405,7 @@ def _build():
                     FILTER (WHERE (document_id + page_no) % 5 <> 0) AS full_text FROM paged GROUP BY document_id),
         b AS (SELECT *, CASE WHEN page_count > 150 THEN 'too_many_pages' WHEN full_text IS NULL THEN 'no_text' END AS error_code FROM a)
         SELECT document_id, page_count::INT AS page_count, CASE WHEN error_code IS NULL THEN full_text[1:300000] END AS text,
-               CASE WHEN error_code IS NULL THEN least(length(full_text), 300000) END AS char_count,
+               CASE WHEN error_code IS NULL THEN least(length(full_text), 300000)::VARCHAR END AS char_count,
                coalesce(error_code IS NULL AND length(full_text) > 300000, false) AS truncated, error_code FROM b""")
     _add("text_stats", ["docs"], f"""SELECT id, len({_words('content', JS_WS)}) AS n_words,
         ceil(len({_words('content', JS_WS)}) / 350.0)::BIGINT AS text_pages,
@@ -425,9 +425,9 @@ def _build():
         SELECT page_id, coalesce(nullif(substr(regexp_replace(CASE WHEN base = '.' THEN '' ELSE base END,
             '[\\p{C}\\p{Zl}\\p{Zp}/\\\\<>:"|?*]', '', 'g'), 1, 255), ''), 'untitled') AS safe_filename FROM b""")
     _add("extract_text", ["docs"], f"""WITH {UPLOADS} SELECT id, file_type,
-        CASE WHEN error_code IS NULL THEN least(length(body) + has_nul::INT, 300000) END AS char_count,
-        CASE WHEN error_code IS NULL THEN length(body) + has_nul::INT > 300000 END AS truncated, error_code,
-        CASE error_code WHEN 'empty' THEN 422 WHEN 'unsupported' THEN 415 WHEN 'pdf_unavailable' THEN 500 WHEN 'blank_text' THEN 422 END AS http_status
+        CASE WHEN error_code IS NULL THEN least(length(body) + has_nul::INT, 300000)::VARCHAR END AS char_count,
+        CASE WHEN error_code IS NULL THEN (length(body) + has_nul::INT > 300000)::VARCHAR END AS truncated, error_code,
+        CASE error_code WHEN 'empty' THEN '422' WHEN 'unsupported' THEN '415' WHEN 'pdf_unavailable' THEN '500' WHEN 'blank_text' THEN '422' END AS http_status
         FROM extracted""")
     _add("attach_metadata", ["docs", "metadata"], """SELECT d.filename, d.id, m.author, m.title, m.publication_date, m.source, m.doi_url
         FROM v_docs d LEFT JOIN v_metadata m ON m.filename = d.filename""")
@@ -459,7 +459,7 @@ def _build():
             CASE error_code WHEN 'empty' THEN 'Uploaded file is empty.' WHEN 'pdf_unavailable' THEN 'PDF processing is not available on the server.'
                  WHEN 'unsupported' THEN 'Unsupported file type. Please upload a PDF, DOCX, or plain text file.'
                  WHEN 'blank_text' THEN 'Uploaded text file is empty.' END AS error,
-            count(*) AS n_files, sum(CASE WHEN error_code IS NULL THEN coalesce(n, 0) END)::BIGINT AS n_chunks
+            count(*) AS n_files, (sum(CASE WHEN error_code IS NULL THEN coalesce(n, 0) END)::BIGINT)::VARCHAR AS n_chunks
         FROM extracted LEFT JOIN counted USING (id) GROUP BY ALL""")
 
 

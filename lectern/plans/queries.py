@@ -87,6 +87,11 @@ def _qa(t):
     ).select("key.document_id", "key.part", "raw")
 
 
+def _as_text(df, *columns):
+    """Whole numbers that may be NULL, as text: result frames turn them into floats otherwise."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 # Chunking, vectors and retrieval
 
 @query
@@ -224,7 +229,8 @@ def task_prefix(t):
 
 @query
 def kb_listing(t):
-    return knowledge.listing(_kb(t)).withColumn("created_at", F.unix_seconds("created_at"))
+    listed = knowledge.listing(_kb(t)).withColumn("created_at", F.unix_seconds("created_at"))
+    return _as_text(listed, "chat_history_id")
 
 
 @query
@@ -338,7 +344,7 @@ def rating_filter_counts(t):
 
 @query
 def apply_rating_changes(t):
-    return changes.apply_ratings(t.chat, t.rating_changes).select("id", "rating", "comment")
+    return _as_text(changes.apply_ratings(t.chat, t.rating_changes).select("id", "rating", "comment"), "rating")
 
 
 @query
@@ -387,7 +393,7 @@ def _delete_requests(t):
 
 @query
 def cascade_delete(t):
-    return changes.delete_documents(t.docs, _chunks(t), _delete_requests(t))[2]
+    return _as_text(changes.delete_documents(t.docs, _chunks(t), _delete_requests(t))[2], "document_id")
 
 
 @query
@@ -415,7 +421,7 @@ def suggestion_parse(t):
 
 @query
 def transcript_demux(t):
-    return transcripts.demux(t.streams)
+    return _as_text(transcripts.demux(t.streams), "entry_id")
 
 
 def _tokens(t, line):
@@ -491,7 +497,8 @@ def text_pages(t):
 def page_assembly(t):
     pages = chunking.text_pages(t.docs)
     blank = (F.col("document_id") + F.col("page_no")) % 5 == 0
-    return chunking.assemble_pages(pages.withColumn("page_text", F.when(blank, " ").otherwise(F.col("page_text"))))
+    made = chunking.assemble_pages(pages.withColumn("page_text", F.when(blank, " ").otherwise(F.col("page_text"))))
+    return _as_text(made, "char_count")
 
 
 @query
@@ -536,9 +543,10 @@ def sanitize_names(t):
 @query
 def extract_text(t):
     got = files.extract(_files(t))
-    return got.select(
+    got = got.select(
         F.col("path").cast("bigint").alias("id"), "file_type", "char_count", "truncated", "error_code", "http_status"
     )
+    return _as_text(got, "char_count", "truncated", "http_status")
 
 
 @query
@@ -546,9 +554,10 @@ def ingest_report(t):
     got = files.extract(_files(t)).where(F.col("path").isNotNull())
     docs = files.to_documents(got, F.lit("2024-01-01").cast("timestamp"))
     report = files.ingest_report(got, chunking.chunk_documents(docs))
-    return report.groupBy("filename", "message", "error").agg(
+    counted = report.groupBy("filename", "message", "error").agg(
         F.count("*").alias("n_files"), F.sum("chunks_count").alias("n_chunks")
     )
+    return _as_text(counted, "n_chunks")
 
 
 @query

@@ -45,6 +45,9 @@ def compare(spark, con, name, folder):
     t2 = time.time()
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}", t1 - t0, t2 - t1
+    kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in got.columns}
+    if any(x != y for x, y in kinds.values()):
+        return f"types {kinds}", t1 - t0, t2 - t1
     a, b = rows(got), rows(want)
     if a == b:
         return None, t1 - t0, t2 - t1
