@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import has_text, is_summary_question, trim_ws
 from lectern.operators.retrieval import knowledge_matches, relevant_chunks, scoped_chunks
+from lectern.session import cut_lineage
 
 # Texts and separators of the prompt.
 TRUNCATION_NOTE = "\n\n[Truncated to keep the prompt responsive.]"
@@ -130,7 +131,7 @@ def select_context(
         F.lit("summary_document").alias("context_source"),
     )
 
-    searched = opened.join(summary.select("ask_id"), "ask_id", "left_anti")
+    searched = cut_lineage(opened.join(summary.select("ask_id"), "ask_id", "left_anti"))
     everywhere = relevant_chunks(chunks, searched.where(F.size("scoped_names") == 0), k)
     within = scoped_chunks(docs, chunks, searched.where(F.size("scoped_names") > 0), k)
     hits = everywhere.unionByName(within).join(chunks, ["document_id", "chunk_index"])

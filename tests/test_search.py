@@ -79,7 +79,7 @@ def test_chunk_hits_with_ids_of_any_size(spark):
 
 
 def test_dense_top_k_leaves_out_zero_vectors_and_refuses_other_dimensions(spark):
-    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0]), (4, [-1.0, 0.0]), (5, [2.0, 0.0])]
+    rows = [(0, None), (6, []), (1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0]), (4, [-1.0, 0.0]), (5, [2.0, 0.0])]
     corpus = spark.createDataFrame(rows, "corpus_id BIGINT, vector ARRAY<FLOAT>")
     asked = spark.createDataFrame([(9, [3.0, 0.0])], "query_id BIGINT, vector ARRAY<FLOAT>")
     got = sorted((r["rank"], r["corpus_id"], round(r["score"], 6)) for r in retrieval.vector_top_k(corpus, asked, 5).collect())
