@@ -92,7 +92,7 @@ def runs(batches: Iterable[pa.RecordBatch], keys: int, limit: int) -> Iterator[t
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over ``edges`` (a, b), for every node that has one.
+    """(node, root): the smallest node reachable over ``edges`` (a, b), for every node but the smallest ones themselves.
 
     Alternating stars: each node is hung on its smallest neighbour until nothing moves, in
     logarithmically many rounds. Minima are aggregated before the shuffle; joins are plain

@@ -203,56 +203,54 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.int32)))
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, spans: begin id, pieces, end id; the (start, end) source bytes of every id.
+    """doc_id, ids, ends, decoded: begin id, pieces, end id; the source byte where each id ends; the text decoded again.
 
-    A null text counts as empty: begin and end only. Begin and end have empty spans. Several byte
-    pieces of one character each cover their own byte.
+    An id starts where the one before it ends, the first at 0, so begin and end have empty spans and
+    the last end is the length of the text. A null text counts as empty: begin and end only. Byte
+    pieces cover one byte each.
     """
     def task(batches):
         m = model(model_path)
         for ids, texts in text_slices(batches, 1 << 20):
-            pieces, spans = [], []
+            pieces, ends, decoded = [], [], []
             for t in texts:
                 got, cuts = m.encode(t or b"")
-                cuts = [0, *cuts.tolist(), int(cuts[-1])]
-                pieces.append([m.begin, *got.tolist(), m.end])
-                spans.append([{"start": a, "end": b} for a, b in zip(cuts, cuts[1:], strict=False)])
+                pieces.append(np.r_[m.begin, got, m.end])
+                ends.append(np.r_[cuts, cuts[-1]])
+                decoded.append(m.decode(got))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(pieces, pa.list_(pa.int32())),
-                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "ids", "spans"])
+                [ids, _lists(pieces), _lists(ends), pa.array(decoded, pa.binary()).cast(pa.string())], names=["doc_id", "ids", "ends", "decoded"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        task, schema_of(docs, "ids array<int>, spans array<struct<start: bigint, end: bigint>>", id_col))
+        task, schema_of(docs, "ids array<int>, ends array<int>, decoded string", id_col))
 
 
 def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (piece ends as 32-bit integers), decoded.
-
-    The same encoding as ``encode``, its ids decoded again; null counts as empty.
-    """
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (piece ends after a leading 0) of what ``encode`` gives."""
     def task(batches):
         m = model(model_path)
         begin, end = (np.array([i], "<u4").tobytes() for i in (m.begin, m.end))
         sha = hashlib.sha256
         for ids, texts in text_slices(batches, 1 << 20):
-            count, hashed, plain, spans, out = [], [], [], [], []
+            count, hashed, plain, spans = [], [], [], []
             for t in texts:
                 got, cuts = m.encode(t or b"")
-                text = m.decode(got)
                 count.append(len(got) + 2)
                 hashed.append(sha(begin + got.tobytes() + end).hexdigest())
-                plain.append(sha(text).hexdigest())
+                plain.append(sha(m.decode(got)).hexdigest())
                 spans.append(sha(cuts.astype("<u4").tobytes()).hexdigest())
-                out.append(text)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(count, pa.int64()), pa.array(hashed, pa.string()), pa.array(plain, pa.string()),
-                 pa.array(spans, pa.string()), pa.array(out, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "decoded"])
+                 pa.array(spans, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        task, schema_of(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, decoded string", id_col))
+        task, schema_of(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", id_col))
 
 
 def decode(ids: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lm, maxscore, pieces, shards, simhash, toxicity
+from lectern.llm import decontam, lines, lm, maxscore, pieces, secrets, shards, simhash, toxicity, warc
 from lectern.llm.common import id_bucket
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -26,6 +26,14 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.repeats(table(spark, folder, "documents")).drop("key")
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.assign(table(spark, folder, "documents"), 40)
 
@@ -34,6 +42,13 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_warc_audit(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    records = warc.layout(pages)
+    found = warc.audit(records, warc.damaged(pages, records))
+    return found.join(records.select("archive", "offset", "page_id"), ["archive", "offset"], "left").select("page_id", *found.columns)
+
+
 def op7_maxscore(spark: SparkSession, folder: str) -> DataFrame:
     vectors = maxscore.integer_vectors(table(spark, folder, "embeddings"), 256)
     return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
@@ -44,6 +59,10 @@ def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
@@ -52,7 +71,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op4_sharding, op5_simhash, op7_maxscore, op8_sentencepiece, op10_toxicity)
+    f.__name__: f for f in (
+        op1_lm_scoring, op2_secret_scan, op3_line_dedup, op4_sharding, op5_simhash, op6_warc_audit, op7_maxscore, op8_sentencepiece,
+        op9_decontamination, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {

@@ -10,6 +10,7 @@ meet under such a key, however large the corpus.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import chain, combinations
 
 import numpy as np
@@ -76,12 +77,13 @@ def _fingerprint_batches(batches):
         hashed = [shingle_hashes(words(t)) for t in texts]
         lengths = np.array([len(h) for h in hashed], np.int64)
         flat = np.fromiter(chain.from_iterable(hashed), np.uint64, int(lengths.sum()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(fold(flat, lengths).view(np.int64))], names=["doc_id", "fp"])
+        keys = [hashlib.md5(t or b"").digest() for t in texts]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(fold(flat, lengths).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "fp", "key"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (64 bits as a signed long). A text without words, or null, has fingerprint zero."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprint_batches, schema_of(docs, "fp long", id_col))
+    """doc_id, fp (64 bits as a signed long), key (md5 of the text). A text without words, or null, has fingerprint zero."""
+    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprint_batches, schema_of(docs, "fp long, key binary", id_col))
 
 
 def _forest(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,18 +166,35 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found.where("mask < 0").select("a", "b").union(grouped(again, None, 1 << 12).select("a", "b"))
 
 
+def _components(rows: DataFrame, pick) -> DataFrame:
+    """(fp, picked): the aggregate ``pick`` over all rows of the component of each different fingerprint."""
+    unique = stored(rows.groupBy("fp").agg(pick.alias("least")), "fingerprint-ids")
+    roots = components(links(unique.select("fp")))
+    rooted = unique.join(roots, unique.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted, "fingerprint-roots")
+    least = rooted.groupBy("root").agg(F.min("least").alias("picked"))
+    return stored(rooted.join(least, "root").select("fp", "picked"), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links of at most three bits; a component
     without any id has null. Rows of equal id or text each get their row; no rows give none.
     """
-    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    unique = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-ids")
-    roots = components(links(unique.select("fp")))
-    rooted = unique.join(roots, unique.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "fingerprint-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-components")
+    rows = stored(fingerprints(docs, id_col, text_col).select("doc_id", "fp"), "fingerprints")
+    named = _components(rows, F.min("doc_id"))
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("picked").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns as they are: the one of smallest id (null ids last), then of smallest text hash."""
+    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    named = _components(rows, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")))
+    stay = named.select("picked.*").distinct().select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    key = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
+    mine = docs.withColumn("_own", key)
+    stay = stored(stay, "simhash-stay")
+    kept = mine.join(stay, (mine["_own"] == stay["_key"]) & mine[id_col].eqNullSafe(stay["_id"]))
+    return kept.dropDuplicates(["_key", "_id"]).select(*[kept[c] for c in docs.columns])

@@ -29,8 +29,11 @@ SAMPLE = 20_000
 LEXICON = 4_000
 EXCEPTIONS = 4_000
 MIN_DOCS = 5
+MIN_SHARE = 0.005
 MIN_ODDS = 2.5
-STEM = 3, 10
+LOOSE_ODDS = 1.0
+STEM = 4, 10
+EDGE = 160
 THRESHOLD = 0.3
 
 # Characters that look like Latin letters, and digits or signs that stand for them.
@@ -82,6 +85,11 @@ class Lexicon:
         if not self.empty:
             self.automaton.make_automaton()
 
+    def terms(self, folded: str) -> set[str]:
+        """Every term found, words inside exceptions left out."""
+        places = {start for start, _ in self.hits(folded)}
+        return {folded[end - size + 1:end + 1] for end, (size, weight) in self.automaton.iter(folded) if weight is not None and end - size + 1 in places} if places else set()
+
     def hits(self, folded: str) -> list[tuple[int, float]]:
         """(place of the word, weight) of each hit: per word its heaviest term, none inside an exception."""
         if self.empty:
@@ -158,6 +166,21 @@ def _count_phrases(weights: dict[str, float]):
     return task
 
 
+def _count_left(weights: dict[str, float], exceptions: list[str]):
+    """(term, pos, neg): labelled documents with each term outside all exceptions."""
+    def task(batches):
+        lexicon = Lexicon(weights, exceptions)
+        for labels, texts in text_slices(batches):
+            pos, neg = Counter(), Counter()
+            for y, t in zip(labels.to_pylist(), texts, strict=True):
+                (pos if y else neg).update(lexicon.terms(fold((t or b"").decode())))
+            keys = list(pos.keys() | neg.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array([pos[k] for k in keys], pa.int64()), pa.array([neg[k] for k in keys], pa.int64())],
+                names=["term", "pos", "neg"])
+    return task
+
+
 def _measure(weights, exceptions):
     def task(batches):
         lexicon = Lexicon(weights, exceptions)
@@ -184,12 +207,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60
     return w
 
 
+def _concise(found: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Stems that stand for several words, the longest of those that say the same, and words that no stem kept stands for."""
+    longest: dict[str, int] = {}
+    word: dict[str, int] = {}
+    for term, (pos, _) in found.items():
+        body = term.rstrip()
+        for k in range(STEM[0] + 1, len(body) + 1):
+            if term.endswith(" "):
+                word[body[:k]] = max(pos, word.get(body[:k], 0))
+            elif k < len(body):
+                longest[body[:k]] = max(pos, longest.get(body[:k], 0))
+    stems = {t for t, (pos, _) in found.items() if not t.endswith(" ") and word.get(t, 0) < 0.5 * pos and longest.get(t, 0) < 0.95 * pos}
+    return {t: round(odds, 6) for t, (_, odds) in sorted(found.items())
+            if (t in stems or t.endswith(" ")) and not any(t[:k] in stems for k in range(STEM[0] + 1, len(t)))}
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         sample: int = SAMPLE) -> tuple[dict[str, float], list[str], list[float]]:
     """Lexicon weights, exception phrases and curve from the labelled rows whose crc32 of the id mod 4 is not 2.
 
     Rows with a null label or id teach nothing; an id with several labels counts as toxic if one is.
-    At most ``sample`` ids are used, those of smallest hash; equal texts teach once. Without any label the lexicon is empty
+    At most ``sample`` ids are used, those of smallest hash; texts that begin or end alike for ``EDGE`` code points, as copies
+    do, teach once. Without any label the lexicon is empty
     and every score is the same.
     """
     rows = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("y")).dropna()
@@ -199,22 +239,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     small = spark.createDataFrame(picked, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("y", T.IntegerType())]))
     train = id_and_text(docs, id_col, text_col).join(F.broadcast(small), "doc_id").select("y", "text")
-    train = stored(train.groupBy("text").agg(F.max("y").alias("y")).select("y", "text"), "toxicity-train")
+    for edge in (F.substring("text", 1, EDGE), F.substring("text", -EDGE, EDGE)):
+        train = train.groupBy(edge.alias("edge")).agg(F.max(F.struct("y", "text")).alias("row")).select("row.*")
+    train = stored(train.where("text IS NOT NULL"), "toxicity-train")
 
     n_pos, n_neg = (max(1, train.where(F.col("y") == v).count()) for v in (1, 0))
-    odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    counted = train.mapInArrow(_count_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    found = (counted.withColumn("odds", odds).where((F.col("pos") >= MIN_DOCS) & (F.col("odds") >= MIN_ODDS) & (F.col("neg") * 20 <= F.col("pos")))
-             .orderBy(F.desc("pos"), F.length("term"), "term").limit(LEXICON).collect())
-    weights: dict[str, float] = {}
-    for r in sorted(found, key=lambda r: (len(r["term"]), r["term"])):
-        term = r["term"]
-        if not any(term[:k] in weights for k in range(STEM[0] + 1, len(term))):
-            weights[term] = round(r["odds"], 6)
+    def summed(rows):
+        sums = rows.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        return sums.withColumn("odds", F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1)))
+
+    schema = "term string, pos long, neg long"
+    least = max(MIN_DOCS, math.ceil(MIN_SHARE * n_pos))
+    # Words and stems that toxic texts favour; phrases of them that only clean texts have; what is left without these.
+    found = summed(train.mapInArrow(_count_terms, schema)).where((F.col("pos") >= least) & (F.col("odds") >= LOOSE_ODDS))
+    rough = {r["term"]: r["odds"] for r in found.orderBy(F.desc(F.col("odds") * F.least("pos", F.lit(50))), F.length("term"), "term").limit(LEXICON).collect()}
     exceptions: list[str] = []
-    if weights:
-        pairs = train.mapInArrow(_count_phrases(weights), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        exceptions = [r["term"] for r in pairs.where((F.col("neg") >= MIN_DOCS) & (F.col("neg") > 4 * F.col("pos"))).orderBy(F.desc("neg"), "term").limit(EXCEPTIONS).collect()]
+    weights: dict[str, float] = {}
+    if rough:
+        pairs = summed(train.mapInArrow(_count_phrases(rough), schema)).where((F.col("neg") >= MIN_DOCS) & (F.col("neg") > 4 * F.col("pos")))
+        exceptions = [r["term"] for r in pairs.orderBy(F.desc("neg"), "term").limit(EXCEPTIONS).collect()]
+        left = summed(train.mapInArrow(_count_left(rough, exceptions), schema)).where(
+            (F.col("pos") >= least) & (F.col("odds") >= MIN_ODDS) & (F.col("neg") * 20 <= F.col("pos"))).collect()  # at most LEXICON rows
+        weights = _concise({r["term"]: (r["pos"], r["odds"]) for r in left})
+        exceptions = [e for e in exceptions if Lexicon(weights).hits(e)]
     known = train.mapInArrow(_measure(weights, exceptions), "y int, x array<double>").collect()
     known.sort(key=lambda r: (r["y"], r["x"]))
     if not known:

@@ -194,12 +194,13 @@ def test_pieces_odd_rows(spark):
         want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
     assert sorted(got, key=key) == sorted(want, key=key)
     full = pieces.encode(documents(spark, rows), PATH)
-    for r in full.join(documents(spark, rows).select("doc_id", "text"), "doc_id").where("doc_id NOT IN (2)").collect():
-        source, ends = (r["text"] or "").encode(), [s["end"] for s in r["spans"]]
-        assert len(r["ids"]) == len(r["spans"]) and ends[-1] == len(source) and ends == sorted(ends)
-        for i, s in zip(r["ids"][1:-1], r["spans"][1:-1]):
+    sources = dict(rows)
+    for r in full.where("doc_id NOT IN (2)").collect():
+        source, ends = (sources[r["doc_id"]] or "").encode(), r["ends"]
+        assert len(r["ids"]) == len(ends) and ends[-1] == len(source) and ends == sorted(ends) and ends[0] == 0
+        for i, start, end in zip(r["ids"][1:-1], ends, ends[1:]):
             piece = library.id_to_piece(i)
-            part = source[s["start"]:s["end"]]
+            part = source[start:end]
             assert part == bytes([int(piece[3:5], 16)]) if library.is_byte(i) else part.decode().replace(" ", "▁") in (piece, piece[1:])
     plain = pieces.decode(full, PATH)
     assert dict(plain.where("doc_id > 100").collect()) == {i: library.decode(library.encode(t or "")) for i, t in rows if i and i > 100}
