@@ -24,13 +24,6 @@ def dense(word_hashes: Column, dim: int) -> Column:
     )
 
 
-def set_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two 0/1 vectors given as distinct feature arrays; NULL for an empty one."""
-    dot = F.size(F.array_intersect(a, b)).cast("double")
-    norm = F.sqrt(F.size(a).cast("double") * F.size(b).cast("double"))
-    return F.try_divide(dot, norm)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two dense vectors in DOUBLE; NULL when either has no length.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.knowledge import knowledge_id, knowledge_rows
+
 
 def latest_changes(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last change per key as struct ``new``. An aggregate, so a key that holds much of
@@ -53,7 +55,7 @@ def previous_value(
 
 
 def apply_corrections(
-    chat: DataFrame, corrections: DataFrame, segment: Column | None = None
+    chat: DataFrame, corrections: DataFrame, segment: Column | None = None, embedder=None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``corrections(seq, chat_id, corrected_answer, comment, ts)`` to the updated chat rows,
     the new knowledge-base rows and the rejected corrections.
@@ -62,33 +64,38 @@ def apply_corrections(
     chat row is the first correction.
     """
     segment = F.date_trunc("hour", "ts") if segment is None else segment
-    known = corrections.join(chat.select(F.col("id").alias("chat_id")), "chat_id", "left_semi")
-    rejects = corrections.join(
-        chat.select(F.col("id").alias("chat_id")), "chat_id", "left_anti"
-    ).withColumn("reason", F.lit("chat_not_found"))
+    asked = chat.select(F.col("id").alias("chat_id"), "question", "answer", F.lit(True).alias("_there"))
+    matched = corrections.join(asked, "chat_id", "left")
+    known = matched.where("_there")
+    rejects = matched.where("_there IS NULL").select(*corrections.columns, F.lit("chat_not_found").alias("reason"))
     chain = previous_value(known, "chat_id", ["ts", "seq"], segment, "corrected_answer", "replaced")
-    rows = chain.join(
-        chat.select(F.col("id").alias("chat_id"), "question", "answer"), "chat_id"
-    ).select(
-        "seq", "question", F.coalesce("replaced", "answer").alias("original_answer"), "corrected_answer",
+    rows = chain.select(
+        knowledge_id("correction", "chat_id", "seq").alias("id"), "seq", "question", F.coalesce("replaced", "answer").alias("original_answer"), "corrected_answer",
         F.col("ts").alias("created_at"), F.col("chat_id").alias("chat_history_id"),
         F.lit("User").alias("corrected_by"), F.lit(0).alias("usage_count"),
     )
+    rows = knowledge_rows(rows, embedder)
     updated = apply_changes(
-        chat, known.withColumnRenamed("chat_id", "id"), "id", ["ts", "seq"],
+        chat, corrections.withColumnRenamed("chat_id", "id"), "id", ["ts", "seq"],
         {"answer": "corrected_answer", "comment": "comment"},
     )
     return updated, rows, rejects
 
 
-def edit_knowledge(kb: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``edits(id, question, answer, ts, seq)`` replace question and answer; vectors of edited
-    rows are dropped so that they are embedded again. Second result: ids not found."""
+def edit_knowledge(
+    kb: DataFrame, edits: DataFrame, embedder=None, vector: str = "embedding"
+) -> tuple[DataFrame, DataFrame]:
+    """``edits(id, question, answer, ts, seq)`` replace question and answer. Edited rows are embedded
+    again by ``embedder``; without one their vectors are dropped. Second result: ids not found."""
     edited = apply_changes(kb, edits, "id", ["ts", "seq"], {"question": "question", "corrected_answer": "answer"})
-    if "embedding" in kb.columns:
+    if vector in kb.columns:
         ids = edits.select("id").distinct().withColumn("_edited", F.lit(True))
-        edited = edited.join(ids, "id", "left").withColumn(
-            "embedding", F.when(F.col("_edited").isNull(), F.col("embedding"))
+        edited = edited.join(ids, "id", "left")
+        again = F.lit(None)
+        if embedder is not None:
+            edited, again = embedder.transform(edited, "question", "_again"), F.col("_again")
+        edited = edited.withColumn(
+            vector, F.when(F.col("_edited").isNull(), F.col(vector)).otherwise(again)
         ).select(*kb.columns)
     missing = edits.join(kb.select("id"), "id", "left_anti").select("id").distinct()
     return edited, missing

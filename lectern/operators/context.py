@@ -134,7 +134,9 @@ def select_context(
     searched = cut_lineage(opened.join(summary.select("ask_id"), "ask_id", "left_anti"))
     everywhere = relevant_chunks(chunks, searched.where(F.size("scoped_names") == 0), k)
     within = scoped_chunks(docs, chunks, searched.where(F.size("scoped_names") > 0), k)
-    hits = everywhere.unionByName(within).join(chunks, ["document_id", "chunk_index"])
+    hits = cut_lineage(everywhere.unionByName(within))
+    texts = chunks.join(hits.select("document_id").distinct(), "document_id", "left_semi")
+    hits = hits.join(texts, ["document_id", "chunk_index"])
     gathered = hits.groupBy("ask_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "chunk_text"))).alias("hits"),
         F.max("similarity").alias("best"),

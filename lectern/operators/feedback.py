@@ -62,10 +62,12 @@ def rating_filter(chat: DataFrame, star: int | None = None) -> DataFrame:
 
 
 def rating_filter_counts(chat: DataFrame) -> DataFrame:
-    """'Showing x of y' for every star filter."""
-    per_star = rating_distribution(chat)
-    total = F.sum("n").over(Window.partitionBy())
-    return per_star.select("rating", F.col("n").alias("showing"), total.alias("of_total"))
+    """'Showing x of y' for every choice of the star filter: ``all``, then one to five stars."""
+    rated = chat.where(F.col("rating").isNotNull())
+    showing = [F.count("*").alias("all"), *[F.count_if(F.col("rating") == s).alias(str(s)) for s in range(1, 6)]]
+    counts = rated.agg(*showing)
+    rows = F.array(*[F.struct(F.lit(c).alias("stars"), F.col(f"`{c}`").alias("showing")) for c in ("all", "1", "2", "3", "4", "5")])
+    return counts.select(F.inline(rows), F.col("all").alias("of_total"))
 
 
 def rating_display(feed: DataFrame) -> DataFrame:

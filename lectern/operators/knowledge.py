@@ -8,8 +8,11 @@ from pyspark.sql.window import Window
 
 from lectern.functions.text import contains_any, or_default, trim_ws
 from lectern.functions.vectors import word_set
+from lectern.operators.embedding import WordSets
 from lectern.operators.neardup import greedy_keep, near_existing
+from lectern.schemas import ENTRY
 from lectern.session import cut_lineage
+from lectern.sources.tables import evolve
 
 # Phrases that mark an answer as a failure.
 ERROR_PHRASES = (
@@ -23,11 +26,24 @@ ERROR_PHRASES = (
 
 
 def gate_reason(answer: Column, min_chars: int = 80) -> Column:
-    """Why an answer is not worth saving; NULL when it is."""
+    """Why an answer is not worth saving; NULL when it is. A missing answer is too short."""
+    answer = F.coalesce(answer, F.lit(""))
     failed = contains_any(F.lower(answer), ERROR_PHRASES)
     return F.when(F.char_length(trim_ws(answer)) < min_chars, "too_short").when(failed, "error_phrase")
 
 
+def knowledge_id(source: str, *keys: str) -> Column:
+    """The id of a new row: a hash of where it comes from and its key there, the same on every run."""
+    return F.xxhash64(F.lit(source), *keys)
+
+
+def knowledge_rows(rows: DataFrame, embedder=None) -> DataFrame:
+    """``rows`` with every column of the knowledge base, missing ones NULL, the question's vector
+    made by ``embedder`` (word sets unless given); further columns stay."""
+    rows = evolve(rows, ENTRY)
+    return (embedder or WordSets()).transform(rows, "question", "vector")
+
+
 def quality_gate(chat: DataFrame, min_chars: int = 80) -> DataFrame:
     return chat.withColumn("gate_reason", gate_reason(F.col("answer"), min_chars))
 
@@ -39,18 +55,20 @@ def auto_save(
     questions with no near duplicate in the base or among the rows saved before them."""
     good = chat.where(gate_reason(F.col("answer")).isNull())
     asked = good.select("id", word_set(F.col("question")).alias("vector"))
-    known = kb.select("id", word_set(F.col("question")).alias("vector"))
+    known = kb.select(word_set(F.col("question")).alias("vector"))
     asked = cut_lineage(asked)
     fresh = asked.join(near_existing(asked, known, threshold), "id", "left_anti")
     saved = greedy_keep(fresh, threshold).where("kept").select("id")
-    return good.join(saved, "id", "left_semi").select(
-        F.col("id").alias("chat_history_id"), "question", F.col("answer").alias("original_answer"),
+    return knowledge_rows(good.join(saved, "id", "left_semi").select(
+        knowledge_id(source, "id").alias("id"), F.col("id").alias("chat_history_id"), "question", F.col("answer").alias("original_answer"),
         F.col("answer").alias("corrected_answer"), F.col("ts").alias("created_at"),
         F.lit("").alias("context_text"), F.lit(source).alias("corrected_by"), F.lit(1).alias("usage_count"),
-    )
+    ))
 
 
-def document_candidates(pairs: DataFrame, docs: DataFrame, min_answer: int = 20) -> DataFrame:
+def document_candidates(
+    pairs: DataFrame, docs: DataFrame, min_answer: int = 20, created_at: Column | None = None
+) -> DataFrame:
     """Rows from Q/A pairs ``(document_id, part, pos, question, answer)`` a model wrote for
     documents: the first pair per question and document, answers long enough."""
     usable = pairs.select(
@@ -60,12 +78,12 @@ def document_candidates(pairs: DataFrame, docs: DataFrame, min_answer: int = 20)
     order = Window.partitionBy("document_id", F.lower("question")).orderBy("part", "pos")
     first = usable.withColumn("n", F.row_number().over(order)).where("n = 1")
     named = docs.select(F.col("id").alias("document_id"), F.col("safe_filename"))
-    return first.join(named, "document_id").select(
-        "document_id", "part", "pos", "question", F.col("answer").alias("original_answer"),
+    return knowledge_rows(first.join(named, "document_id").select(
+        knowledge_id("document", "document_id", "part", "pos").alias("id"), _at(created_at), "document_id", "part", "pos", "question", F.col("answer").alias("original_answer"),
         F.col("answer").alias("corrected_answer"), F.col("safe_filename").alias("context_text"),
         F.concat(F.lit("Auto-generated from: "), "safe_filename").alias("corrected_by"),
         F.lit(0).alias("usage_count"),
-    )
+    ))
 
 
 def pair_counts(pairs: DataFrame, saved: DataFrame) -> DataFrame:
@@ -77,14 +95,25 @@ def pair_counts(pairs: DataFrame, saved: DataFrame) -> DataFrame:
     )
 
 
-def bulk_load(requests: DataFrame) -> DataFrame:
-    """Rows from records with ``items ARRAY<STRUCT<question, answer, source>>``."""
-    return requests.select("*", F.inline("items")).drop("items").select(
-        *[c for c in requests.columns if c != "items"],
-        "question", F.lit("").alias("original_answer"), F.col("answer").alias("corrected_answer"),
+def bulk_load(requests: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """Rows from records with ``items ARRAY<STRUCT<question, answer, source>>``. The id follows
+    from the record's other columns and the place in ``items``."""
+    keys = [c for c in requests.columns if c != "items"]
+    return knowledge_rows(requests.select(*keys, F.posexplode("items").alias("_at", "_item")).select(*keys, "_at", "_item.*").select(
+        *keys, knowledge_id("bulk", *keys, "_at").alias("id"), _at(created_at), "question", F.lit("").alias("original_answer"), F.col("answer").alias("corrected_answer"),
         or_default(F.col("source"), "").alias("context_text"),
         F.lit("Manual Entry").alias("corrected_by"), F.lit(0).alias("usage_count"),
-    )
+    ))
+
+
+def items_added(rows: DataFrame) -> DataFrame:
+    """The message of a bulk load: how many rows it added."""
+    n = F.count("*")
+    return rows.agg(n.alias("n"), F.concat(n.cast("string"), F.lit(" knowledge items added")).alias("message"))
+
+
+def _at(created_at: Column | None) -> Column:
+    return (F.current_timestamp() if created_at is None else created_at).alias("created_at")
 
 
 def listing(kb: DataFrame) -> DataFrame:

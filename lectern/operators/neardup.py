@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 
 from lectern.session import cut_lineage
 
-HOT_FEATURES = 20_000
 HEADS = 8
 
 
@@ -33,14 +32,12 @@ def _at_least(size: Column, ratio: Fraction) -> Column:
 
 
 def _feature_ranks(items: DataFrame) -> DataFrame:
-    """Frequencies of the commonest features. Features left out rank as rare, which
-    affects speed only, so this table is bounded and safe to broadcast."""
+    """How many items have each feature that more than one has. The table grows with the
+    vocabulary, so it is joined on the feature."""
     return (
         items.select(F.explode("vector").alias("feature"))
         .groupBy("feature").count()
         .where(F.col("count") > 1)
-        .orderBy(F.desc("count"), "feature")
-        .limit(HOT_FEATURES)
     )
 
 
@@ -51,7 +48,7 @@ def prefixes(items: DataFrame, ranks: DataFrame, t: Fraction) -> DataFrame:
     """
     ordered = (
         items.select("id", F.explode("vector").alias("feature"))
-        .join(F.broadcast(ranks), "feature", "left")
+        .join(ranks, "feature", "left")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(
             F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("feature").alias("f"))
@@ -81,11 +78,13 @@ def _with_vectors(prefix: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def near_existing(items: DataFrame, existing: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """Ids of ``items(id, vector)`` that have a row of ``existing(id, vector)`` above the threshold."""
+    """Ids of ``items(id, vector)`` that have a row of ``existing(vector)`` above the threshold.
+
+    Existing rows are told apart by their vectors alone, so rows of several sources may share ids."""
     t = Fraction(str(threshold))
     items = items.where(F.size("vector") > 0).select("id", "vector")
-    existing = existing.where(F.size("vector") > 0).select("id", "vector")
-    existing = existing.groupBy("vector").agg(F.min("id").alias("id"))
+    existing = existing.where(F.size("vector") > 0).select("vector").distinct()
+    existing = existing.withColumn("id", F.md5(F.array_join(F.col("vector").cast("array<string>"), ",")))
     ranks = _feature_ranks(existing)
     left = _with_vectors(prefixes(items, ranks, t), items)
     right = _with_vectors(prefixes(existing, ranks, t), existing)

@@ -299,6 +299,7 @@ def _build():
                count(DISTINCT CASE WHEN length(answer) >= 20 THEN lower(question) END) AS n_saved FROM pairs GROUP BY document_id""")
     _add("bulk_kb_load", ["kb"], """SELECT id - id % 5 AS request_id, question, '' AS original_answer, corrected_answer,
         coalesce(context_text, '') AS context_text, 'Manual Entry' AS corrected_by, 0 AS usage_count FROM v_kb""")
+    _add("items_added", ["kb"], "SELECT count(*) AS n, count(*)::VARCHAR || ' knowledge items added' AS message FROM v_kb")
     _add("excerpts", ["docs"], f"""WITH e AS (
             SELECT id AS document_id, 1 AS part, {_trim('content[1:4000]')} AS excerpt FROM v_docs WHERE length({_trim('content')}) >= 200
             UNION ALL
@@ -323,8 +324,9 @@ def _build():
             SELECT r::INT AS rating, coalesce(n, 0) AS n FROM range(1, 6) t(r) LEFT JOIN d ON d.rating = r)
         SELECT rating, n, n::DOUBLE / greatest((SELECT max(n) FROM s), 1) AS share_of_max FROM s""")
     _add("rating_filter", ["chat"], "SELECT id, rating, comment FROM v_chat WHERE rating = 5")
-    _add("rating_filter_counts", ["chat"], """SELECT rating, count(*) AS showing,
-        (SELECT count(rating) FROM v_chat)::BIGINT AS of_total FROM v_chat WHERE rating IS NOT NULL GROUP BY rating""")
+    _add("rating_filter_counts", ["chat"], """SELECT s AS stars,
+        (SELECT count(*) FROM v_chat WHERE rating IS NOT NULL AND (s = 'all' OR rating::VARCHAR = s)) AS showing,
+        (SELECT count(rating) FROM v_chat)::BIGINT AS of_total FROM (SELECT unnest(['all', '1', '2', '3', '4', '5']) AS s)""")
 
     last = "SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY ts DESC, seq DESC) AS n FROM {v} QUALIFY n = 1"
     _add("apply_rating_changes", ["chat", "rating_changes"], f"""WITH l AS ({last.format(k='id', v='v_rating_changes')})

@@ -259,7 +259,8 @@ def greedy_dedupe(t):
 @query
 def auto_save(t):
     """Questions of chat, saved unless near a base row or an earlier save."""
-    return knowledge.auto_save(_chat(t), _kb(t)).withColumn("created_at", F.unix_seconds("created_at"))
+    saved = knowledge.auto_save(_chat(t), _kb(t)).withColumn("created_at", F.unix_seconds("created_at"))
+    return saved.drop("id", "vector")
 
 
 @query
@@ -270,7 +271,8 @@ def qa_pairs_parse(t):
 @query
 def kb_candidates(t):
     docs = t.docs.withColumn("safe_filename", text.sanitize_filename(F.col("filename")))
-    return knowledge.document_candidates(transcripts.parse_qa(_qa(t)), docs)
+    made = knowledge.document_candidates(transcripts.parse_qa(_qa(t)), docs)
+    return made.drop("id", "created_at", "chat_history_id", "vector")
 
 
 @query
@@ -287,7 +289,14 @@ def bulk_kb_load(t):
         F.col("question"), F.col("corrected_answer").alias("answer"), F.col("context_text").alias("source")
     )
     requests = t.kb.groupBy((F.col("id") - F.col("id") % 5).alias("request_id")).agg(F.collect_list(item).alias("items"))
-    return knowledge.bulk_load(requests)
+    return knowledge.bulk_load(requests).drop("id", "created_at", "chat_history_id", "vector")
+
+
+@query
+def items_added(t):
+    item = F.struct("question", F.col("corrected_answer").alias("answer"), F.col("context_text").alias("source"))
+    requests = t.kb.select(F.col("id").alias("request_id"), F.array(item).alias("items"))
+    return knowledge.items_added(knowledge.bulk_load(requests))
 
 
 @query
@@ -356,7 +365,7 @@ def apply_corrections(t):
 @query
 def corrections_to_kb(t):
     _, rows, _ = changes.apply_corrections(t.chat, t.corrections)
-    return rows.drop("created_at")
+    return rows.drop("id", "created_at", "context_text", "vector")
 
 
 @query
@@ -552,8 +561,7 @@ def extract_text(t):
 @query
 def ingest_report(t):
     got = files.extract(_files(t)).where(F.col("path").isNotNull())
-    docs = files.to_documents(got, F.lit("2024-01-01").cast("timestamp"))
-    report = files.ingest_report(got, chunking.chunk_documents(docs))
+    report = files.ingest_report(got)
     counted = report.groupBy("filename", "message", "error").agg(
         F.count("*").alias("n_files"), F.sum("chunks_count").alias("n_chunks")
     )
@@ -622,11 +630,19 @@ def stream_ingest(t):
     return t.spark.read.parquet(f"{out}/rows").select("document_id", "chunk_index", "chunk_text")
 
 
+def _thirds(rows, part):
+    ends = [float("-inf"), *rows.approxQuantile("id", [0.33, 0.66], 0.01), float("inf")]
+    return ends[part], ends[part + 1]
+
+
 @query
 def stream_learning(t):
     out = scratch_path(t.spark, "learn")
-    _chat(t).write.parquet(f"{out}/chat")
-    chat = jobs.table_stream(t.spark, f"{out}/chat")
+    rows = _chat(t)
+    for part in range(3):  # one batch each, in order of id
+        low, high = (F.lit(f"{x}").cast("double") for x in _thirds(rows, part))
+        rows.where((F.col("id") > low) & (F.col("id") <= high)).coalesce(1).write.mode("append").parquet(f"{out}/chat")
+    chat = jobs.table_stream(t.spark, f"{out}/chat", files_per_batch=1)
     _finish(jobs.learn(chat, _kb(t), f"{out}/rows", f"{out}/state"))
     return t.spark.read.parquet(f"{out}/rows").select("chat_history_id", "question", "corrected_answer")
 

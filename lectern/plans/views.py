@@ -13,7 +13,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 # Tables whose rows cost much work each, with a key that deals them out evenly.
-HEAVY = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
 TABLES = ("customer", "documents", "embeddings", "conversations", "benchmark", "events", "pages")
 
 VIEWS = {
@@ -42,10 +41,10 @@ VIEWS = {
                question,
                CASE WHEN id % 11 = 0 THEN 'I CANNOT say more. ' || answer
                     WHEN id % 13 = 0 THEN '  Too short.  ' ELSE answer END AS answer,
-               CASE WHEN id % 4 = 0 THEN NULL ELSE CAST(id % 5 + 1 AS INT) END AS rating,
+               CASE WHEN id % 4 = 0 THEN NULL ELSE CAST((conv_id + turn) % 5 + 1 AS INT) END AS rating,
                CASE WHEN id % 3 = 0 THEN NULL ELSE 'comment ' || CAST(id AS STRING) END AS comment
         FROM (
-            SELECT u.conv_id * 1000 + u.turn AS id, u.conv_id, u.text AS question, a.text AS answer,
+            SELECT u.conv_id * 1000 + u.turn AS id, u.conv_id, u.turn, u.text AS question, a.text AS answer,
                    s.text AS system_text
             FROM {conversations} u
             JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
@@ -168,18 +167,9 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
-    def _read(self, name: str) -> DataFrame:
-        """A table as it lies. Only a heavy table read in fewer splits than there are cores is
-        dealt out first, as it would keep few cores busy; a large table never is."""
-        df = self.spark.read.parquet(self.path(name))
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in HEAVY and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores, *HEAVY[name])
-        return df
-
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            make = lambda: self._read(name)
+            make = lambda: self.spark.read.parquet(self.path(name))
         elif name in VIEWS:
             make = lambda: self.spark.sql(VIEWS[name], **{n: getattr(self, n) for n in needs(name)})
         else:

@@ -1,10 +1,7 @@
-"""Declared table schemas, as DDL, and the empty-table constructor."""
+"""Declared table schemas, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-
 USERS = "user_id STRING, username STRING, is_admin INT"
 
 DOCUMENTS = (
@@ -27,6 +24,11 @@ KNOWLEDGE_BASE = (
     "usage_count INT, embedding ARRAY<FLOAT>"
 )
 
+ENTRY = (
+    "id BIGINT, question STRING, original_answer STRING, corrected_answer STRING, "
+    "created_at TIMESTAMP, chat_history_id BIGINT, context_text STRING, corrected_by STRING, usage_count INT"
+)
+
 SELECTIONS = "ARRAY<STRUCT<id: STRING, text: STRING, document_name: STRING>>"
 
 ASKS = (
@@ -42,7 +44,3 @@ EXTRACTION = (
     "text STRING, file_type STRING, page_count INT, char_count INT, truncated BOOLEAN, "
     "warnings ARRAY<STRING>"
 )
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

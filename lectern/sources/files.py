@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.markers import strict_json
-from lectern.functions.text import has_text, sanitize_filename
+from lectern.functions.text import chunk_array, has_text, sanitize_filename
 
 MB = 1024 * 1024
 # Limits and types of the two admission checks.
@@ -44,15 +44,22 @@ ERRORS = {
 }
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per file: ``path, filename, size_bytes, content``."""
+def read_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """One row per file: ``path, filename, size_bytes, content``.
+
+    Files above ``max_bytes`` come without content: the size is tested by the scan, before it
+    reads any of them.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(
-        "path", F.regexp_extract("path", r"[^/]*$", 0).alias("filename"),
-        F.col("length").alias("size_bytes"), "content",
+    found = reader.load(path)
+    name = F.regexp_extract("path", r"[^/]*$", 0).alias("filename")
+    small = found.where(F.col("length") <= max_bytes).select("path", name, F.col("length").alias("size_bytes"), "content")
+    large = found.where(F.col("length") > max_bytes).select(
+        "path", name, F.col("length").alias("size_bytes"), F.lit(None).cast("binary").alias("content")
     )
+    return small.unionByName(large)
 
 
 def with_listed(found: DataFrame, listing: DataFrame) -> DataFrame:
@@ -214,9 +221,9 @@ def to_documents(
     extracted: DataFrame, uploaded_at: Column, metadata: DataFrame | None = None, **same: str | None
 ) -> DataFrame:
     """Accepted files as document rows. Citation metadata is the same for the whole batch
-    (keyword arguments) or joined by file name. Ids follow from the path."""
+    (keyword arguments) or joined by file name. Ids follow from the path, 128 bits as text."""
     docs = extracted.where(F.col("error_code").isNull()).select(
-        F.xxhash64("path").alias("id"), "filename", "safe_filename",
+        F.md5("path").alias("id"), "filename", "safe_filename",
         uploaded_at.alias("upload_timestamp"), F.col("text").alias("content"),
     )
     if metadata is not None:
@@ -224,12 +231,11 @@ def to_documents(
     return docs.select("*", *[F.lit(same.get(f)).cast("string").alias(f) for f in CITATION_FIELDS])
 
 
-def ingest_report(extracted: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per file: what was stored, or why not."""
-    counts = chunks.groupBy("document_id").agg(F.count("*").alias("n"))
-    rows = extracted.withColumn("document_id", F.when(F.col("error_code").isNull(), F.xxhash64("path")))
-    return rows.join(counts, "document_id", "left").select(
-        F.col("safe_filename").alias("filename"), "document_id",
-        F.when(F.col("error_code").isNull(), "Uploaded").alias("message"), "error",
-        F.when(F.col("error_code").isNull(), F.coalesce("n", F.lit(0))).alias("chunks_count"),
+def ingest_report(extracted: DataFrame, max_chars: int = 500) -> DataFrame:
+    """Per file: what was stored, or why not. Chunks are counted in the row, in the same pass."""
+    stored = F.col("error_code").isNull()
+    return extracted.select(
+        F.col("safe_filename").alias("filename"), F.when(stored, F.md5("path")).alias("document_id"),
+        F.when(stored, "Uploaded").alias("message"), "error",
+        F.when(stored, F.size(chunk_array(F.col("text"), max_chars)).cast("bigint")).alias("chunks_count"),
     )

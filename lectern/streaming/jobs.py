@@ -51,11 +51,11 @@ def learn(chat: DataFrame, kb: DataFrame, root: str, checkpoint: str) -> Streami
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        known = kb.select("id", "question")
+        known = kb.select("question")
         before = _read_or_none(batch.sparkSession, root)
         if before is not None:
             before = before.where(F.col("batch_id") < batch_id)
-            known = known.unionByName(before.select(F.col("chat_history_id").alias("id"), "question"))
+            known = known.unionByName(before.select("question"))
         auto_save(batch, known).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
     return (
