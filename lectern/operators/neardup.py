@@ -31,20 +31,22 @@ def _at_least(size: Column, ratio: Fraction) -> Column:
     return F.floor(size * ratio.numerator / ratio.denominator + F.lit(1e-9)).cast("int") + 1
 
 
-def _feature_ranks(items: DataFrame) -> DataFrame:
-    """How many items have each feature that more than one has. The table grows with the
+def _feature_ranks(items: DataFrame, least: int) -> DataFrame:
+    """How many items have each feature that at least ``least`` have. The table grows with the
     vocabulary, so it is joined on the feature."""
     return (
         items.select(F.explode("vector").alias("feature"))
         .groupBy("feature").count()
-        .where(F.col("count") > 1)
+        .where(F.col("count") >= least)
     )
 
 
 def prefixes(items: DataFrame, ranks: DataFrame, t: Fraction) -> DataFrame:
     """``items(id, vector, …)`` to one row per prefix feature.
 
-    ``small`` marks the features that suffice when the item is the smaller of a pair.
+    ``small`` marks the features that suffice when the item is the smaller of a pair. Features
+    without a rank have no partner: they come first in the order and take up their place in the
+    prefix, but no row is made for them, and so no vector is copied.
     """
     ordered = (
         items.select("id", F.explode("vector").alias("feature"))
@@ -60,6 +62,7 @@ def prefixes(items: DataFrame, ranks: DataFrame, t: Fraction) -> DataFrame:
     return (
         ordered.withColumn("as_small", as_small)
         .select("id", "as_small", F.posexplode(F.slice("features", F.lit(1), as_large)).alias("pos", "e"))
+        .where("e.n > 0")
         .select("id", F.col("e.f").alias("feature"), (F.col("pos") < F.col("as_small")).alias("small"))
     )
 
@@ -85,7 +88,7 @@ def near_existing(items: DataFrame, existing: DataFrame, threshold: float = 0.92
     items = items.where(F.size("vector") > 0).select("id", "vector")
     existing = existing.where(F.size("vector") > 0).select("vector").distinct()
     existing = existing.withColumn("id", F.md5(F.array_join(F.col("vector").cast("array<string>"), ",")))
-    ranks = _feature_ranks(existing)
+    ranks = _feature_ranks(existing, 1)
     left = _with_vectors(prefixes(items, ranks, t), items)
     right = _with_vectors(prefixes(existing, ranks, t), existing)
     on = (F.col("a.feature") == F.col("b.feature")) & _meet("a", "b", t)
@@ -107,7 +110,7 @@ def greedy_keep(items: DataFrame, threshold: float = 0.92) -> DataFrame:
     blank = items.where(F.size("vector") == 0).select("id", F.lit(True).alias("kept"))
     sets = items.where(F.size("vector") > 0)
     first = cut_lineage(sets.groupBy("vector").agg(F.min("id").alias("id")))
-    undecided = cut_lineage(_with_vectors(prefixes(first, _feature_ranks(first), t), first))
+    undecided = cut_lineage(_with_vectors(prefixes(first, _feature_ranks(first, 2), t), first))
 
     def near_earlier(a, b):
         on = (F.col("a.feature") == F.col("b.feature")) & (F.col("b.id") < F.col("a.id")) & _meet("a", "b", t)

@@ -409,6 +409,23 @@ def _build():
         SELECT document_id, page_count::INT AS page_count, CASE WHEN error_code IS NULL THEN full_text[1:300000] END AS text,
                CASE WHEN error_code IS NULL THEN least(length(full_text), 300000)::VARCHAR END AS char_count,
                coalesce(error_code IS NULL AND length(full_text) > 300000, false) AS truncated, error_code FROM b""")
+    _add("pdf_ingest", ["docs"], f"""WITH {pages}, {UPLOADS},
+        timed AS (SELECT *, CASE WHEN document_id % 39 = 0 THEN 200 WHEN document_id % 65 = 0 THEN 149 ELSE 1 END AS times FROM paged
+                  WHERE document_id % 39 = 0 OR document_id % 65 <> 0 OR page_no = 1),
+        more AS (SELECT document_id, page_text, (page_no - 1) * times + unnest(range(1, times + 1)) AS page_no FROM timed),
+        a AS (SELECT document_id, max(page_no) AS page_count,
+                string_agg({NL} || {NL} || '[Page ' || page_no::VARCHAR || ']' || {NL} || {NL} || page_text, '' ORDER BY page_no)
+                    FILTER (WHERE (document_id + page_no) % 5 <> 0) AS full_text FROM more GROUP BY document_id),
+        b AS (SELECT *, CASE WHEN page_count > 150 THEN 'too_many_pages' WHEN full_text IS NULL THEN 'no_text' END AS error_code FROM a)
+        SELECT e.id, CASE WHEN b.error_code IS NULL THEN page_count ELSE 0 END::INT AS page_count,
+            CASE WHEN b.error_code IS NULL THEN least(length(full_text), 300000)::VARCHAR END AS char_count,
+            CASE WHEN b.error_code IS NULL THEN (length(full_text) > 300000)::VARCHAR END AS truncated,
+            CASE WHEN b.error_code IS NULL THEN md5(full_text[1:300000]) END AS text_md5,
+            CASE WHEN b.error_code IS NULL AND length(full_text) > 300000 THEN 1 ELSE 0 END::INT AS n_warnings, b.error_code,
+            CASE WHEN b.error_code IS NOT NULL THEN '422' END AS http_status,
+            CASE b.error_code WHEN 'too_many_pages' THEN 'PDF exceeds the 150-page limit. Please upload a shorter document.'
+                WHEN 'no_text' THEN 'This PDF appears to be scanned or image-based. Text extraction is not supported for image-only PDFs.' END AS error
+        FROM extracted e JOIN b ON b.document_id = e.id WHERE e.file_type = 'pdf'""")
     _add("text_stats", ["docs"], f"""SELECT id, len({_words('content', JS_WS)}) AS n_words,
         ceil(len({_words('content', JS_WS)}) / 350.0)::BIGINT AS text_pages,
         greatest(1, ceil(strlen(content) / 3000.0))::BIGINT AS docx_pages FROM v_docs""")

@@ -558,6 +558,23 @@ def extract_text(t):
     return _as_text(got, "char_count", "truncated", "http_status")
 
 
+@query
+def pdf_ingest(t):
+    """PDF uploads with their page texts: some of too many pages, some of too many characters."""
+    i = F.col("document_id")
+    times = F.when(i % 39 == 0, 200).when(i % 65 == 0, 149).otherwise(1)
+    pages = chunking.text_pages(t.docs.where("id % 13 = 0")).where((i % 39 == 0) | (i % 65 != 0) | (F.col("page_no") == 1))
+    pages = pages.select("document_id", "page_no", "page_text", times.alias("times"), F.explode(F.sequence(F.lit(1), times)).alias("k"))
+    pages = pages.withColumn("page_no", (F.col("page_no") - 1) * F.col("times") + F.col("k"))
+    blank = (i + F.col("page_no")) % 5 == 0
+    pages = pages.select(i.cast("string").alias("path"), "page_no", F.when(blank, " ").otherwise(F.col("page_text")).alias("page_text"))
+    got = files.with_pages(files.extract(_files(t)), pages).where("file_type = 'pdf'")
+    return _as_text(got.select(
+        F.col("path").cast("bigint").alias("id"), "page_count", "char_count", "truncated", F.md5("text").alias("text_md5"),
+        F.size("warnings").alias("n_warnings"), "error_code", "http_status", "error",
+    ), "char_count", "truncated", "http_status")
+
+
 @query
 def ingest_report(t):
     got = files.extract(_files(t)).where(F.col("path").isNotNull())

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from lectern.functions.markers import strict_json
 from lectern.functions.text import chunk_array, has_text, sanitize_filename
+from lectern.operators.chunking import assemble_pages
 
 MB = 1024 * 1024
 # Limits and types of the two admission checks.
@@ -41,6 +42,11 @@ ERRORS = {
     "blank_docx": (422, "This Word document appears to be empty or contains only images."),
     "blank_text": (422, "Uploaded text file is empty."),
     "pdf_unavailable": (500, "PDF processing is not available on the server."),
+    "too_many_pages": (422, "PDF exceeds the 150-page limit. Please upload a shorter document."),
+    "no_text": (
+        422,
+        "This PDF appears to be scanned or image-based. Text extraction is not supported for image-only PDFs.",
+    ),
 }
 
 
@@ -157,8 +163,7 @@ def detect(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
 def extract(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_chars: int = MAX_CHARS) -> DataFrame:
     """Files to text with ``error_code``, ``http_status`` and ``error`` where there is none.
 
-    PDF bytes have no parser here: their page texts come in as a table, see
-    :func:`lectern.operators.chunking.assemble_pages`.
+    PDF bytes have no parser here: their page texts come in as a table, see :func:`with_pages`.
     """
     found = detect(files, max_bytes)
     full = (
@@ -176,8 +181,6 @@ def extract(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_chars: int =
         .when(blank & (F.col("file_type") == "docx"), "blank_docx")
         .when(blank, "blank_text")
     )
-    codes = F.create_map(*[F.lit(x) for k, v in ERRORS.items() for x in (k, v[0])])
-    texts = F.create_map(*[F.lit(x) for k, v in ERRORS.items() for x in (k, v[1])])
     ok = F.col("error_code").isNull()
     truncated = F.char_length("full") > max_chars
     return found.withColumn("error_code", code).select(
@@ -187,10 +190,37 @@ def extract(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_chars: int =
         F.when(ok, F.least(F.char_length("full"), F.lit(max_chars))).alias("char_count"),
         F.when(ok, truncated).alias("truncated"),
         F.when(ok & truncated, F.array(F.lit(TRUNCATED_WARNING))).otherwise(F.array().cast("array<string>")).alias("warnings"),
-        "error_code", codes[F.col("error_code")].alias("http_status"), texts[F.col("error_code")].alias("error"),
+        "error_code", _told(0).alias("http_status"), _told(1).alias("error"),
     )
 
 
+def _told(part: int) -> Column:
+    """Status or message of ``error_code``."""
+    return F.create_map(*[F.lit(x) for k, v in ERRORS.items() for x in (k, v[part])])[F.col("error_code")]
+
+
+def with_pages(
+    extracted: DataFrame, pages: DataFrame, max_pages: int = 150, max_chars: int = MAX_CHARS
+) -> DataFrame:
+    """``extracted`` with its PDFs filled in from ``pages(path, page_no, page_text)``, the page texts
+    that a PDF parser elsewhere has found. A PDF with no row there stays unavailable."""
+    made = assemble_pages(pages.withColumnRenamed("path", "document_id"), max_pages, max_chars)
+    made = made.select(F.col("document_id").alias("path"), *[F.col(c).alias(f"_{c}") for c in made.columns[1:]], F.lit(True).alias("_made"))
+    joined = extracted.join(made, "path", "left")
+    here = (F.col("file_type") == "pdf") & F.col("_made") & (F.col("error_code") == "pdf_unavailable")
+    ok = F.col("_error_code").isNull()
+    new = {
+        "text": F.when(ok, F.col("_text")), "page_count": F.when(ok, F.col("_page_count")).otherwise(0),
+        "char_count": F.when(ok, F.col("_char_count")), "truncated": F.when(ok, F.col("_truncated")),
+        "warnings": F.when(ok & F.col("_truncated"), F.array(F.lit(TRUNCATED_WARNING))).otherwise(F.array().cast("array<string>")),
+        "error_code": F.col("_error_code"),
+    }
+    filled = joined.select(*[
+        F.when(here, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in extracted.columns
+    ])
+    return filled.withColumns({"http_status": _told(0), "error": _told(1)})
+
+
 def ui_admission(
     files: DataFrame, max_bytes: int = UI_MAX_FILE_BYTES, allowed: tuple[str, ...] = UI_TYPES
 ) -> DataFrame:

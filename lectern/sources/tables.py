@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scan(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -17,8 +18,8 @@ def append(df: DataFrame, path: str) -> None:
 
 def evolve(df: DataFrame, schema: str, defaults: dict | None = None) -> DataFrame:
     """``df`` with the columns of ``schema`` it lacks, NULL or defaulted; extra ones stay."""
-    target = df.sparkSession.createDataFrame([], schema)
-    out = df.unionByName(target, allowMissingColumns=True)
+    fields = T.StructType.fromDDL(schema).fields
+    out = df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields if f.name not in df.columns])
     for name, value in (defaults or {}).items():
         out = out.withColumn(name, F.coalesce(name, F.lit(value)))
     return out

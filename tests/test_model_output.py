@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import schemas
 from lectern.functions import markers
 from lectern.operators import context, knowledge, transcripts
 
@@ -173,3 +174,27 @@ def test_search_results(evaluate):
     body = json.dumps({"results": [{"caseName": "", "case_name": "B", "court_id": "a_b", "dateFiled": "2001-02-03", "absolute_url": "/x/"}, {}]})
     got = [tuple(r) for r in evaluate(markers.search_results(C), s=body)]
     assert got == [("B", "a b", "2001", markers.RESULT_SITE + "/x/", ""), ("Unknown Case", "", "", None, "")]
+
+
+def test_a_missing_answer_is_not_saved(spark):
+    chat = spark.createDataFrame([(1, "a question of some words", None, None)], "id BIGINT, question STRING, answer STRING, ts TIMESTAMP")
+    kb = spark.createDataFrame([], "id BIGINT, question STRING")
+    assert knowledge.quality_gate(chat).first()["gate_reason"] == "too_short"
+    assert knowledge.auto_save(chat, kb).count() == 0
+
+
+def test_new_rows_are_whole_knowledge_rows(spark):
+    """What the writers give can be searched and checked for duplicates again."""
+    answer = "an answer that is long enough to be saved, as it has more than eighty characters in all of it"
+    chat = spark.createDataFrame([(7, "how do herons sleep", answer)], "id BIGINT, question STRING, answer STRING").selectExpr("*", "timestamp_seconds(5) AS ts")
+    kb = spark.createDataFrame([], "id BIGINT, question STRING")
+    saved = knowledge.auto_save(chat, kb)
+    loaded = knowledge.bulk_load(spark.createDataFrame([(1, [("where do storks nest", "on roofs", None)])], "request INT, items ARRAY<STRUCT<question: STRING, answer: STRING, source: STRING>>"))
+    names = [f.split()[0] for f in schemas.ENTRY.split(", ")]
+    grown = saved.select(*names, "vector").unionByName(loaded.select(*names, "vector"))
+    rows = grown.collect()
+    assert len({r["id"] for r in rows}) == 2 and all(r["vector"] and r["created_at"] for r in rows)
+    assert knowledge.auto_save(chat, grown).count() == 0
+    assert [r["question"] for r in knowledge.search(grown, "storks").collect()] == ["where do storks nest"]
+    again = knowledge.auto_save(chat, kb).collect()
+    assert [r["id"] for r in again] == [r["id"] for r in rows if r["chat_history_id"] == 7]

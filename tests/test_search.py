@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import vectors
+from lectern.functions.vectors import word_set
 from lectern.operators import neardup, retrieval
 from lectern.operators.embedding import ColumnEmbedder, DenseWordSets, GivenVectors
 from lectern.operators.topk import Limits, Search, top_k
@@ -188,3 +189,12 @@ def test_history_of_known_unknown_and_anonymous_users(spark):
     requests = asks.select(F.col("ask_id").alias("request_id"), "token")
     lately = retrieval.history_for(requests, users, chat).groupBy("request_id").count().collect()
     assert {r["request_id"]: r["count"] for r in lately} == {1: 20, 2: 2, 3: 2}
+
+
+def test_existing_rows_that_share_an_id_stay_apart(spark):
+    """Rows of two sources with one id are two rows."""
+    words = [[f"w{i}_{j}" for j in range(40)] for i in range(30)]
+    sets = lambda rows: spark.createDataFrame(rows, "id BIGINT, text STRING").select("id", word_set(F.col("text")).alias("vector"))
+    known = sets([(i, " ".join(words[i])) for i in range(15)] + [(i, " ".join(words[15 + i])) for i in range(15)])
+    asked = sets([(100 + i, " ".join(words[i]) + " more") for i in range(30)] + [(500, "none of these words")])
+    assert sorted(r["id"] for r in neardup.near_existing(asked, known).collect()) == list(range(100, 130))

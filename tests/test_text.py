@@ -1,6 +1,7 @@
 """Text rules against plain restatements, on hand-made rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,12 @@ def test_small_rules(evaluate):
     nothing = F.lit(None).cast("string")
     assert evaluate(text.citation_line(C, nothing, nothing, F.lit("S"), F.lit("")), s="T") == 'Citation: "T" - S'
     assert evaluate(text.citation_line(nothing, nothing, C, C, C), s="x") is None
+
+
+def test_trim_takes_no_time_for_blanks_inside(spark):
+    inside = "a" + " " * 300_000 + "b"
+    rows = spark.createDataFrame([("\u3000\x85\t" + inside + "\u00a0 \n",), ("\ufeffx",), ("",), (None,)], "x STRING")
+    start = time.time()
+    got = [r[0] for r in rows.select(text.trim_ws(F.col("x"))).collect()]
+    assert got == [inside, "\ufeffx", "", None] and time.time() - start < 20
+    assert rows.select(text.trim_ws(F.col("x"), text.JS_WS)).collect()[1][0] == "x"
