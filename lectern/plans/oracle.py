@@ -181,6 +181,22 @@ UPLOADS = f"""uploads AS (
         SELECT *, CASE WHEN is_empty THEN 'empty' WHEN file_type = 'unknown' THEN 'unsupported' WHEN is_pdf THEN 'pdf_unavailable'
                        WHEN {_trim('body')} = '' AND NOT has_nul THEN 'blank_text' END AS error_code FROM judged)"""
 
+# Task prompts and suggestions, written out again so that a change in the code shows.
+TASKS = (
+    ("research", "llama3.1:8b", "You are a document assistant. Answer only from the provided context when possible. If insufficient, say what is missing instead of guessing."),
+    ("argument", "gemma4:31b", "You are a legal research assistant. Structure every argument in IRAC format: Issue, Rule, Application, Conclusion. Cite specific page numbers for every claim. Flag weaknesses opposing counsel might exploit."),
+    ("precedents", "gemma4:31b", "You are a legal research assistant. Identify and explain relevant legal precedents from the document. Note applicable jurisdictions and how they relate to the case."),
+    ("risk", "gemma4:31b", "You are a legal risk analyst. Identify ambiguous language, missing standard clauses, unfavorable terms, and jurisdiction risks. Rate each risk High/Medium/Low with page citations."),
+    ("clause", "llama3.1:8b", "You are a contract analysis assistant. Extract the requested clause type precisely. Return: exact clause text, plain English explanation, and risk level (Low/Medium/High). If missing, state explicitly."),
+    ("summarize", "gemma4:31b", "You are a legal document analyst. Provide a structured summary covering: parties involved, key dates, main obligations, and notable clauses or findings."),
+)
+DEFAULT_SUGGESTIONS = (
+    "What are the key parties and their obligations?",
+    "What are the main legal risks in this document?",
+    "What are the important dates and deadlines?",
+    "Are there any unusual or concerning clauses?",
+)
+
 ORACLE: dict[str, str] = {}
 
 
@@ -263,7 +279,6 @@ def _build():
             WHEN route = 3 THEN coalesce(name1, '') ELSE '' END AS names FROM v_routed_asks""")
     _add("context_mode", ["routed_asks"], """SELECT ask_id, CASE WHEN route = 2 THEN 'selected_text'
         WHEN route IN (0, 4) AND (name1 IS NOT NULL OR name2 IS NOT NULL) THEN 'all_documents' ELSE 'general_chat' END AS mode FROM v_routed_asks""")
-    from lectern.operators.context import TASKS
     rows = ", ".join("({}, '{}', '{}', '{}')".format(i, *(x.replace("'", "''") for x in task)) for i, task in enumerate(TASKS))
     _add("task_prefix", ["asks"], f"""WITH tasks(i, task, model, prompt) AS (VALUES {rows})
         SELECT ask_id, task, coalesce(model, 'llama3.1:8b') AS model,
@@ -285,6 +300,12 @@ def _build():
     _add("auto_save", ["chat", "kb"], f"""WITH RECURSIVE {auto}
         SELECT id AS chat_history_id, question, answer AS original_answer, answer AS corrected_answer, ts_s AS created_at,
                '' AS context_text, 'auto-query' AS corrected_by, 1 AS usage_count FROM v_chat WHERE id IN (SELECT id FROM kept)""")
+    _add("knowledge_growth", ["chat", "kb", "corrections"], f"""WITH RECURSIVE {auto}, g AS (
+            SELECT 'auto-query' AS corrected_by, question, answer AS corrected_answer FROM v_chat WHERE id IN (SELECT id FROM kept)
+            UNION ALL SELECT 'User', question, corrected_answer FROM v_corrections k JOIN v_chat c ON c.id = k.chat_id
+            UNION ALL SELECT 'Manual Entry', question, corrected_answer FROM v_kb)
+        SELECT corrected_by, question, corrected_answer, len({_set('question')})::INT AS n_words FROM g
+        WHERE contains(lower(question), 'than') OR contains(lower(corrected_answer), 'than')""")
     _add("stream_learning", ["chat", "kb"], f"""WITH RECURSIVE {auto}
         SELECT id AS chat_history_id, question, answer AS corrected_answer FROM v_chat WHERE id IN (SELECT id FROM kept)""")
     _add("qa_pairs_parse", ["qa_lines"], f"WITH {QA} SELECT document_id, part, pos, question, answer FROM pairs")
@@ -362,7 +383,6 @@ def _build():
                 SELECT doc_id, regexp_extract_all(answer, '(?i)\\b(?:page|p\\.)[\\t-\\r\\p{{Z}}\\x{{FEFF}}]*([0-9]+)\\b', 1) AS ds FROM v_cited) t),
         firsts AS (SELECT doc_id, d::BIGINT AS page, min(k) AS k, min_by(d, k) AS raw FROM found GROUP BY doc_id, d::BIGINT)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, page, 'p.' || raw AS label FROM firsts QUALIFY pos < 5""")
-    from lectern.functions.markers import DEFAULT_SUGGESTIONS
     default = "|".join(DEFAULT_SUGGESTIONS)
     _add("suggestion_parse", ["suggested"], f"""WITH m AS (
             SELECT doc_id, snippet, regexp_extract(response, '\\[(?s:.)*?\\]') AS arr FROM v_suggested),

@@ -299,6 +299,19 @@ def items_added(t):
     return knowledge.items_added(knowledge.bulk_load(requests))
 
 
+@query
+def knowledge_growth(t):
+    """Saved answers, corrections and bulk loads as one base, searched."""
+    _, corrected, _ = changes.apply_corrections(t.chat, t.corrections)
+    item = F.struct("question", F.col("corrected_answer").alias("answer"), F.col("context_text").alias("source"))
+    loaded = knowledge.bulk_load(t.kb.select(F.col("id").alias("request_id"), F.array(item).alias("items")))
+    columns = ("id", "question", "corrected_answer", "corrected_by", "vector")
+    grown = knowledge.auto_save(_chat(t), _kb(t)).select(*columns)
+    for more in (corrected, loaded):
+        grown = grown.unionByName(more.select(*columns))
+    return knowledge.search(grown, "than").select("corrected_by", "question", "corrected_answer", F.size("vector").alias("n_words"))
+
+
 @query
 def excerpts(t):
     return chunking.excerpt_rows(t.docs)

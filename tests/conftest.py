@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -9,7 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from lectern.session import local_session
 
 # Columns need a session, and test modules build some when they are imported.
-SPARK = local_session("tests", 4, spark__ui__showConsoleProgress="false")
+SPARK = local_session("tests", 4, spark__ui__showConsoleProgress="false",
+                      spark__checkpoint__dir=tempfile.mkdtemp(prefix="tests-"))
 
 
 @pytest.fixture(scope="session")
