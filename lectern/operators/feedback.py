@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import or_default, star_bar, star_colour
+from lectern.operators.joins import left_join_present
 
 
 def ratings_feed(chat: DataFrame, users: DataFrame) -> DataFrame:
     """Rated rows with user names, newest first."""
     named = users.select("user_id", "username")
     return (
-        chat.where(F.col("rating").isNotNull()).join(named, "user_id", "left")
+        left_join_present(chat.where(F.col("rating").isNotNull()), named, "user_id")
         .select(
             "id", "user_id", or_default(F.col("username"), "Anonymous").alias("username"), "ts",
             "question", "answer", "rating", "comment", "selected_text",
@@ -82,6 +83,6 @@ def rating_display(feed: DataFrame) -> DataFrame:
 def admin_flags(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Whether each request's token belongs to an administrator; false when unknown."""
     known = users.groupBy("token").agg(F.max("is_admin").alias("is_admin"))
-    return requests.join(known, "token", "left").select(
-        requests["*"], F.coalesce(F.col("is_admin").cast("boolean"), F.lit(False)).alias("is_admin")
+    return left_join_present(requests, known, "token").select(
+        *requests.columns, F.coalesce(F.col("is_admin").cast("boolean"), F.lit(False)).alias("is_admin")
     )

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions.text import let, or_default, words
 from lectern.functions.vectors import word_set
+from lectern.operators.joins import left_join_present
 from lectern.operators.topk import Search, top_k
 
 
@@ -103,7 +104,16 @@ def knowledge_keyword_matches(kb: DataFrame, asks: DataFrame, limit: int = 3) ->
 def with_user(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Requests with the ``user_id`` of their token; NULL when absent or unknown."""
     known = users.groupBy("token").agg(F.min("user_id").alias("user_id"))
-    return requests.join(known, "token", "left")
+    return left_join_present(requests, known, "token")
+
+
+def _with_past(who: DataFrame, past: DataFrame) -> DataFrame:
+    """Requests with the history of their user. Anonymous requests, however many, meet the few
+    anonymous rows by broadcast (at most the latest ones); all others join on real users."""
+    past = past.withColumnRenamed("user_id", "past_user")
+    same = F.col("user_id").eqNullSafe(F.col("past_user"))
+    nobody = who.where("user_id IS NULL").join(F.broadcast(past.where("past_user IS NULL")), same)
+    return who.where("user_id IS NOT NULL").join(past, F.col("user_id") == F.col("past_user")).unionByName(nobody)
 
 
 def latest_history(chat: DataFrame, latest: int = 20) -> DataFrame:
@@ -114,12 +124,9 @@ def latest_history(chat: DataFrame, latest: int = 20) -> DataFrame:
 
 def history_for(requests: DataFrame, users: DataFrame, chat: DataFrame, latest: int = 20) -> DataFrame:
     """What each request's user asked lately: ``(request_id, recency, id, …)``."""
-    who = with_user(requests, users)
-    past = latest_history(chat, latest)
-    return who.join(past, who["user_id"].eqNullSafe(past["user_id"])).select(
-        who["request_id"], past["recency"], past["id"], past["ts"], past["selected_text"],
-        past["question"], past["answer"],
-    )
+    who = with_user(requests, users).select("request_id", "user_id")
+    past = latest_history(chat, latest).select("user_id", "recency", "id", "ts", "selected_text", "question", "answer")
+    return _with_past(who, past).drop("user_id", "past_user")
 
 
 def relevant_history(
@@ -137,8 +144,7 @@ def relevant_history(
             F.lower("question").alias("low_question"), F.lower("selected_text").alias("low_selected"),
         )).alias("past")
     )
-    who = with_user(asks, users)
-    joined = who.join(past, who["user_id"].eqNullSafe(past["user_id"]))
+    joined = _with_past(with_user(asks, users), past)
 
     def found(needles, text):
         return F.size(F.filter(needles, lambda w: F.contains(text, w)))
