@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,22 +12,33 @@ from lectern.operators.joins import left_join_present
 from lectern.operators.topk import Search, top_k
 
 
-def _chunk_vectors():
+def _vector(text: str, stored: str | None) -> Column:
+    """The stored vector column, or the word set of ``text`` made on the spot."""
+    return (F.col(stored) if stored else word_set(F.col(text))).alias("vector")
+
+
+def _chunk_vectors(stored: str | None):
     return (
-        F.col("document_id").alias("corpus_id"), F.col("chunk_index").alias("corpus_part"),
-        word_set(F.col("chunk_text")).alias("vector"),
+        F.col("document_id").alias("corpus_id"), F.col("chunk_index").alias("corpus_part"), _vector("chunk_text", stored),
     )
 
 
-def relevant_chunks(chunks: DataFrame, asks: DataFrame, k: int = 3) -> DataFrame:
+def relevant_chunks(
+    chunks: DataFrame, asks: DataFrame, k: int = 3, vector: str | None = None, kind: str = "cosine"
+) -> DataFrame:
     """Best k chunks of the whole corpus per ``asks(ask_id, question)``:
-    ``(ask_id, rank, document_id, chunk_index, similarity)``."""
-    corpus = chunks.select(*_chunk_vectors())
-    queries = asks.select(F.col("ask_id").alias("query_id"), word_set(F.col("question")).alias("vector"))
-    return _chunk_hits(top_k(corpus, queries, Search("cosine", k)))
+    ``(ask_id, rank, document_id, chunk_index, similarity)``.
 
+    ``vector`` names a column that both sides hold, made by any embedder and stored beside the
+    text; ``kind`` is ``dense`` for dense ones. Without it word sets are made for this search."""
+    corpus = chunks.select(*_chunk_vectors(vector))
+    queries = asks.select(F.col("ask_id").alias("query_id"), _vector("question", vector))
+    return _chunk_hits(top_k(corpus, queries, Search(kind, k)))
 
-def scoped_chunks(docs: DataFrame, chunks: DataFrame, asks: DataFrame, k: int = 3) -> DataFrame:
+
+def scoped_chunks(
+    docs: DataFrame, chunks: DataFrame, asks: DataFrame, k: int = 3, vector: str | None = None, kind: str = "cosine"
+) -> DataFrame:
     """As :func:`relevant_chunks`, but each ask only sees documents named in its
     ``scoped_names``. Only chunks of documents that some ask names are searched."""
     names = asks.select(F.explode("scoped_names").alias("filename")).distinct()
@@ -35,13 +46,13 @@ def scoped_chunks(docs: DataFrame, chunks: DataFrame, asks: DataFrame, k: int =
         F.col("id").alias("document_id"), F.xxhash64("filename").alias("scope")
     )
     corpus = chunks.join(named, "document_id").select(
-        *_chunk_vectors(), "scope"
+        *_chunk_vectors(vector), "scope"
     )
     queries = asks.select(
-        F.col("ask_id").alias("query_id"), word_set(F.col("question")).alias("vector"),
+        F.col("ask_id").alias("query_id"), _vector("question", vector),
         F.transform(F.array_distinct("scoped_names"), lambda n: F.xxhash64(n)).alias("scopes"),
     )
-    return _chunk_hits(top_k(corpus, queries, Search("cosine", k, scoped=True)))
+    return _chunk_hits(top_k(corpus, queries, Search(kind, k, scoped=True)))
 
 
 def _chunk_hits(found: DataFrame) -> DataFrame:
@@ -75,21 +86,22 @@ def _attach_kb(found: DataFrame, kb: DataFrame) -> DataFrame:
 
 
 def knowledge_matches(
-    kb: DataFrame, asks: DataFrame, limit: int = 3, min_similarity: float = 0.5, as_of: bool = False
+    kb: DataFrame, asks: DataFrame, limit: int = 3, min_similarity: float = 0.5, as_of: bool = False,
+    vector: str | None = None, kind: str = "cosine",
 ) -> DataFrame:
     """Best ``limit`` knowledge-base rows per ask, then only those similar enough.
 
     With ``as_of`` an ask (``asked_at``) sees only rows created before it, as when a
-    log of asks is replayed.
+    log of asks is replayed. ``vector`` and ``kind`` as for :func:`relevant_chunks`.
     """
     def timed(df, stamp, *cols):
         extra = [F.unix_micros(F.col(stamp)).alias("seen_at")] if as_of else []
         return df.select(*cols, *extra)
 
-    vector = word_set(F.col("question")).alias("vector")
-    corpus = timed(kb, "created_at", F.col("id").alias("corpus_id"), vector)
-    queries = timed(asks, "asked_at", F.col("ask_id").alias("query_id"), vector)
-    found = top_k(corpus, queries, Search("cosine", limit, before=as_of))
+    compared = _vector("question", vector)
+    corpus = timed(kb, "created_at", F.col("id").alias("corpus_id"), compared)
+    queries = timed(asks, "asked_at", F.col("ask_id").alias("query_id"), compared)
+    found = top_k(corpus, queries, Search(kind, limit, before=as_of))
     return _attach_kb(found.where(F.col("score") >= min_similarity), kb)
 
 

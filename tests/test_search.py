@@ -198,3 +198,16 @@ def test_existing_rows_that_share_an_id_stay_apart(spark):
     known = sets([(i, " ".join(words[i])) for i in range(15)] + [(i, " ".join(words[15 + i])) for i in range(15)])
     asked = sets([(100 + i, " ".join(words[i]) + " more") for i in range(30)] + [(500, "none of these words")])
     assert sorted(r["id"] for r in neardup.near_existing(asked, known).collect()) == list(range(100, 130))
+
+
+def test_stored_vectors_give_the_same_matches(spark):
+    texts = [(i, 0, " ".join(f"w{(i * k) % 17}" for k in range(1, 9))) for i in range(40)]
+    chunks = spark.createDataFrame(texts, "document_id BIGINT, chunk_index INT, chunk_text STRING")
+    asks = spark.createDataFrame([(i, f"w{i} w{i + 1} w{2 * i}") for i in range(8)], "ask_id BIGINT, question STRING")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    made = rows(retrieval.relevant_chunks(chunks, asks))
+    stored = lambda df, text: df.withColumn("v", word_set(F.col(text)))
+    assert rows(retrieval.relevant_chunks(stored(chunks, "chunk_text"), stored(asks, "question"), vector="v")) == made
+    dense = DenseWordSets(64)
+    found = retrieval.relevant_chunks(dense.transform(chunks, "chunk_text", "e"), dense.transform(asks, "question", "e"), vector="e", kind="dense")
+    assert found.count() == 24
