@@ -2,8 +2,9 @@
 
 A query's terms are its dimensions. In a shard of candidates each dimension has a posting column
 with its smallest and largest value, which bound what it can add to a query's score. Dimensions
-are taken by falling width of these bounds; the essential ones are those without which a candidate
-could still reach the query's threshold, its k-th best score so far. Essential postings are
+are taken by falling bound; the last ones, whose bounds together stay below a quarter of the
+query's threshold, its k-th best score so far, are non-essential, the others essential. The
+product of the lengths of query and candidate bounds them too. Essential postings are
 traversed for all candidates (one matrix product for many queries); the others are probed one at a
 time, and only for candidates that can still compete. Shards run in parallel and keep k rows a
 query, which are merged at the end. Queries come in blocks of bounded size, each sent to every
@@ -23,6 +24,7 @@ from lectern.llm.common import stored
 QUERY_BLOCK = 8192
 SHARD_ROWS = 2048
 QUERY_ROWS = 256
+SPLIT = 4
 EXACT = float(1 << 53)
 
 
@@ -69,14 +71,14 @@ def _scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, best:
     floor = best.floor[at:at + len(q)]
     low, high = x.min(0), x.max(0)
     top = np.maximum(q * low, q * high)
-    width = top - np.minimum(q * low, q * high)
-    order = np.argsort(-width, axis=1, kind="stable")
+    order = np.argsort(-top, axis=1, kind="stable")
     tops = np.take_along_axis(top, order, 1)
-    after = np.cumsum(tops[:, ::-1], 1)[:, ::-1]  # the most that this dimension and all later ones add
-    widths = np.cumsum(np.take_along_axis(width, order, 1)[:, ::-1], 1)[:, ::-1]
-    least = top.sum(1) - width.sum(1)
-    # A dimension is non-essential if it and the narrower ones together cannot lift a candidate over the threshold.
-    essential = (least[:, None] + widths >= floor[:, None]).sum(1)
+    # The most that this dimension and all later ones add: the sum of their bounds, or the product of lengths.
+    lengths = np.sqrt(np.cumsum(np.take_along_axis(q, order, 1)[:, ::-1] ** 2, 1)[:, ::-1])
+    longest = np.sqrt((x * x).sum(1).max())
+    after = np.minimum(np.cumsum(tops[:, ::-1], 1)[:, ::-1], np.ceil(lengths * longest * (1 + 1e-9)))
+    # Non-essential: together they stay below a part of the threshold; a candidate gains the rest from the others.
+    essential = (np.maximum(after, 0) >= floor[:, None] / SPLIT).sum(1)
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.broadcast_to(np.arange(q.shape[1]), order.shape), 1)
     after = np.c_[after, np.zeros(len(q))]
