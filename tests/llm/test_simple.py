@@ -294,3 +294,13 @@ def test_language_model_without_rows(spark):
     model = lm.fit(documents(spark, []))
     assert lm.score(documents(spark, []), model).count() == 0
     assert lm.score(documents(spark, [(1, "a b")]), model).first()["n_known"] == 0
+
+
+def test_registered_oracles(spark):
+    import __spark_entry__ as entry
+    from lectern.llm.queries import ORACLES
+    from tests.check_oracle import compare, connect
+
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and len(QUERIES) == 10
+    for name in ORACLES:
+        assert compare(spark, connect(FOLDER), name, FOLDER)[0] is None

@@ -271,7 +271,7 @@ def test_leaks_against_all_windows(spark):
         at = rng.randrange(len(words) + 1)
         rows.append((n, " ".join(words[:at] + leak + words[at:])))
     rows += [(900, "x two Words, y"), (901, "four short words here"), (902, items[0][1].upper().replace(" ", " , ")), (903, " ".join(items[2][1].split()[:-2]))]
-    rows += odd_rows()
+    rows += [(None if i is None else i + 10_000, t) for i, t in odd_rows()]
     want = brute_leaks(rows, items)
     docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id", "2 AS gram", "3 AS n")
     got = sorted(((r["doc_id"], r["item_id"], round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in decontam.find(docs, bench).collect()), key=key)
@@ -344,10 +344,10 @@ def test_toxicity_learns_words_and_exceptions(spark):
     rows = toxic_rows()
     labels = [(i, 1, int(i % 5 == 0)) for i, _ in rows] + [(None, 1, 1), (9999, 0, None), (10_000, 0, 0)]
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    docs = documents(spark, rows + [(5000, "Grubn1k GRUBNIK"), *odd_rows()])
+    docs = documents(spark, rows + [(5000, "Grubn1k GRUBNIK"), *((i and i + 10_000, t) for i, t in odd_rows())])
     model = toxicity.fit(docs, labels)
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
-    assert all(got[i] == int(i % 5 == 0) for i, _ in rows) and got[5000] == 1 and got[4] == 0
+    assert all(got[i] == int(i % 5 == 0) for i, _ in rows) and got[5000] == 1 and got[10_004] == 0
     left = toxicity.clean(docs, model)
     assert left.columns == docs.columns
     assert {r["doc_id"] for r in left.collect()} == {i for i, p in got.items() if not p}
@@ -366,7 +366,7 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     rows = toxic_rows()[:100]
     rows += [(i, t + "\n" + footer) for i, t in clean_rows[:40]] + clean_rows[40:]
     rows += [(2000 + i, t) for i, t in clean_rows[60:70]]  # exact copies of 1060 to 1069
-    rows += [(3000 + i, prose(90_000 + i, 50) + " " + bench[i % 5][1]) for i in range(10)] + odd_rows()[:12]
+    rows += [(3000 + i, prose(90_000 + i, 50) + " " + bench[i % 5][1]) for i in range(10)] + [(i and i + 10_000, t) for i, t in odd_rows()[:12]]
     docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
