@@ -90,6 +90,12 @@ class Vocabulary:
         return {t: i for i, t in enumerate(self.tokens)}
 
 
+def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by row number."""
+    flat = (rows[:, None] * DIM + np.arange(DIM)).ravel()
+    return np.bincount(flat, values.ravel(), n * DIM).reshape(n, DIM).astype(np.float32)
+
+
 class Bilinear:
     """Parameters: context vectors (one more class: before the text), target vectors, position weights, biases."""
 
@@ -100,21 +106,23 @@ class Bilinear:
         self.w = np.stack([np.ones(DIM), np.full(DIM, 0.5)])
         self.noise = (mass + 0.5) / (mass + 0.5).sum()
         self.b = np.log(self.noise)
+        for name in ("r", "q", "w", "b"):
+            setattr(self, name, getattr(self, name).astype(np.float32))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.w, self.b)])
+        return np.concatenate([x.ravel() for x in (self.r, self.q, self.w, self.b)]).astype(np.float64)
 
     def load(self, flat: np.ndarray) -> Bilinear:
         at = 0
         for name in ("r", "q", "w", "b"):
             x = getattr(self, name)
-            setattr(self, name, flat[at:at + x.size].reshape(x.shape).copy())
+            setattr(self, name, flat[at:at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return self
 
     def train(self, near: np.ndarray, far: np.ndarray, target: np.ndarray, rng, square: dict) -> None:
         """One pass of noise-contrastive estimation with AdaGrad over (two context classes, class)."""
-        log_noise = np.log(NOISE * self.noise)
+        log_noise = np.log(NOISE * self.noise).astype(np.float32)
         cumulative = np.cumsum(self.noise)
         for at in range(0, len(target), BATCH):
             h1, h2, t = near[at:at + BATCH], far[at:at + BATCH], target[at:at + BATCH]
@@ -126,22 +134,20 @@ class Bilinear:
             gz = -1 / (1 + np.exp(-np.clip(p @ qz.T + self.b[z] - log_noise[z], -30, 30)))
             dp = gt[:, None] * qt + gz @ qz
             grads = {k: np.zeros_like(getattr(self, k)) for k in ("r", "q", "w", "b")}
-            np.add.at(grads["r"], h1, dp * self.w[0])
-            np.add.at(grads["r"], h2, dp * self.w[1])
-            np.add.at(grads["q"], t, gt[:, None] * p)
-            np.add.at(grads["q"], z, gz.T @ p)
+            grads["r"] += _scatter(h1, dp * self.w[0], len(self.r)) + _scatter(h2, dp * self.w[1], len(self.r))
+            grads["q"] += _scatter(t, gt[:, None] * p, len(self.q)) + _scatter(z, gz.T @ p, len(self.q))
             grads["w"][:] = (dp * a).sum(0), (dp * c).sum(0)
             grads["b"] += np.bincount(t, gt, len(self.b)) + np.bincount(z, gz.sum(0), len(self.b))
             for k, g in grads.items():
-                g /= len(t)
-                square[k] = square.get(k, 1e-8) + g * g
-                setattr(self, k, getattr(self, k) + RATE * g / np.sqrt(square[k]))
+                g /= np.float32(len(t))
+                square[k] = square.get(k, np.float32(1e-8)) + g * g
+                setattr(self, k, getattr(self, k) + np.float32(RATE) * g / np.sqrt(square[k]))
 
     def table(self) -> np.ndarray:
         """log10 probability of each class after each pair of context classes (far * (n + 1) + near), normalised."""
         rows = []
         for far in self.r:
-            s = (self.r * self.w[0] + far * self.w[1]) @ self.q.T + self.b
+            s = ((self.r * self.w[0] + far * self.w[1]) @ self.q.T + self.b).astype(np.float64)
             s -= s.max(1, keepdims=True)
             rows.append((s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10))
         return np.concatenate(rows).astype(np.float32)
