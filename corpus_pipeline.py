@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each reading what the one before wrote.
 
-Toxic documents go; lines that repeat go (documents that are mostly copies stay whole for the next
-stage); one document of each near-duplicate group stays; documents that contain a benchmark item
+Toxic documents go; lines that repeat go (equal texts lose the same lines, so the next stage finds
+them equal); one document of each near-duplicate group stays; documents that contain a benchmark item
 go; what is left is encoded. SQL can express none of the stages, so there is no oracle; a test
 compares the pipeline with a brute-force version.
 """
@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.clean(docs)
+    return lines.clean(docs, copies="alike")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

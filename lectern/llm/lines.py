@@ -341,43 +341,35 @@ def links(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col:
     return stored(few.union(crowded).distinct(), "line-links")
 
 
-def _occurrences(batches):
+def _occurrences(alike: bool):
     """(doc_id, key, n, at, line, size): a row for each text (at -1, size all its code points), and for each of its lines of MIN_CHARS."""
-    for ids, texts in text_slices(batches):
-        names = ids.to_pylist()
-        out: list[list] = [[], [], [], [], [], []]
-        for who, (i, t) in enumerate(zip(names, texts, strict=True)):
-            t = t or b""
-            key = hashlib.md5(b"%s\0%s" % (b"-" if i is None else str(i).encode(), t)).digest()
-            lines = t.split(b"\n")
-            found = [(n, line_hash(x), size) for n, x in enumerate(lines) if len(x) >= MIN_CHARS and (size := len(x.decode())) >= MIN_CHARS]
-            for n, h, size in [(-1, 0, len(t.decode())), *found]:
-                for column, value in zip(out, (who, key, len(lines), n, h, size), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()),
-             _signed(out[4]), pa.array(out[5], pa.int64())], names=["doc_id", "key", "n", "at", "line", "size"])
-
-
-def repeats(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, n_lines, copy, repeated, removed: one row per row of ``docs``.
+    def task(batches):
+        for ids, texts in text_slices(batches):
+            names = ids.to_pylist()
+            out: list[list] = [[], [], [], [], [], []]
+            for who, (i, t) in enumerate(zip(names, texts, strict=True)):
+                t = t or b""
+                key = hashlib.md5(t if alike else b"%s\0%s" % (b"-" if i is None else str(i).encode(), t)).digest()
+                lines = t.split(b"\n")
+                found = [(n, line_hash(x), size) for n, x in enumerate(lines) if len(x) >= MIN_CHARS and (size := len(x.decode())) >= MIN_CHARS]
+                for n, h, size in [(-1, 0, len(t.decode())), *found]:
+                    for column, value in zip(out, (who, key, len(lines), n, h, size), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()),
+                 _signed(out[4]), pa.array(out[5], pa.int64())], names=["doc_id", "key", "n", "at", "line", "size"])
+    return task
 
-    Lines are near if within ``edits`` edits; a class is what is reachable over near lines. ``repeated``
-    has for each line whose class occurs more than once: its number ``at`` (from 0), the id and line
-    number of the class's first occurrence (by id, then text, then line), and ``links``, the number
-    of different lines near it. ``removed`` are the numbers of the lines that go: those with an
-    earlier occurrence. A document more than ``COPY_SHARE`` of whose code points stand in lines of
-    classes that other documents have is a ``copy``; it is left whole for a document-level
-    operator, so copies stay alike. Null texts have one empty line. Rows equal in id and text count
-    as one document and get equal rows. Lines below ``MIN_CHARS`` code points never repeat.
-    """
+
+def _placed(docs: DataFrame, edits: int, id_col: str, text_col: str, alike: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_lines, chars) of every row, and for each document that has any: its repeated lines, the later ones, code points shared."""
     rows = id_and_text(docs, id_col, text_col)
     near = links(docs, edits, id_col, text_col)
     roots = components(near)
     degree = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = degree.join(roots, "node", "left").select(F.col("node").alias("line"), F.coalesce("root", "node").alias("root"), "links")
     known = stored(known, "line-classes")
-    every = stored(rows.mapInArrow(_occurrences, schema_of(docs, "key binary, n int, at int, line long, size long", id_col)), "line-places")
+    every = stored(rows.mapInArrow(_occurrences(alike), schema_of(docs, "key binary, n int, at int, line long, size long", id_col)), "line-places")
     base = every.where("at < 0").select("doc_id", "key", F.col("n").alias("n_lines"), F.col("size").alias("chars"))
 
     place = F.struct("doc_id", "key", "at")
@@ -395,16 +387,40 @@ def repeats(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_co
     told = placed.groupBy("key").agg(
         F.sort_array(F.collect_list(row)).alias("repeated"), F.sort_array(F.collect_list(F.when(later, F.col("at")))).alias("later"),
         F.sum(F.when(F.col("documents") > 1, F.col("size")).otherwise(0)).alias("shared"))
+    return base, told
+
+
+def repeats(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", copies: str = "whole") -> DataFrame:
+    """doc_id, key, n_lines, copy, repeated, removed: one row per row of ``docs``.
+
+    Lines are near if within ``edits`` edits; a class is what is reachable over near lines. ``repeated``
+    has for each line whose class occurs more than once: its number ``at`` (from 0), the id and line
+    number of the class's first occurrence (by id, then text, then line), and ``links``, the number
+    of different lines near it. ``removed`` are the numbers of the lines that go: those with an
+    earlier occurrence. A document more than ``COPY_SHARE`` of whose code points stand in lines of
+    classes that other documents have is a ``copy``. ``copies`` says what becomes of copies: "cut"
+    takes every line with an earlier occurrence from them too; "alike" does so as well, but rows of
+    equal text are one document, whatever their ids, so that equal texts lose the same lines and stay
+    equal; "whole" takes nothing from a ``copy``. Null texts have one empty line. Rows equal in id and
+    text count as one document and get equal rows. Lines below ``MIN_CHARS`` code points never repeat.
+    """
+    base, told = _placed(docs, edits, id_col, text_col, copies == "alike")
     copy = F.coalesce(F.col("shared") > COPY_SHARE * F.col("chars"), F.lit(False))
     none = F.array().cast("array<int>")
+    later = F.coalesce("later", none)
     return base.join(told, "key", "left").select(
-        "doc_id", "key", "n_lines", copy.alias("copy"), "repeated", F.when(copy, none).otherwise(F.coalesce("later", none)).alias("removed"))
+        "doc_id", "key", "n_lines", copy.alias("copy"), "repeated", (F.when(copy, none).otherwise(later) if copies == "whole" else later).alias("removed"))
 
 
-def clean(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", copies: str = "whole") -> DataFrame:
     """``docs`` without the lines that ``repeats`` removes; all rows and columns stay, only texts get shorter."""
-    gone = repeats(docs, edits, id_col, text_col).where(F.size("removed") > 0).select(F.col("key").alias("_row"), F.col("removed").alias("_gone")).dropDuplicates(["_row"])
-    name = F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("-")), F.lit("\0"), F.coalesce(docs[text_col], F.lit("")))
+    text, alike = F.coalesce(docs[text_col], F.lit("")), copies == "alike"
+    if copies == "whole":
+        gone = repeats(docs, edits, id_col, text_col).select("key", F.col("removed").alias("later")).dropDuplicates(["key"])
+    else:
+        _, gone = _placed(docs, edits, id_col, text_col, alike)
+    gone = gone.where(F.size("later") > 0).select(F.col("key").alias("_row"), F.col("later").alias("_gone"))
+    name = text if alike else F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("-")), F.lit("\0"), text)
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     joined = docs.withColumn("_row", F.unhex(F.md5(name.cast("binary")))).join(stored(gone, "line-removals"), "_row", "left")
     return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

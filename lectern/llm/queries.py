@@ -31,7 +31,7 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.repeats(table(spark, folder, "documents")).drop("key")
+    return lines.repeats(table(spark, folder, "documents"), copies="cut").drop("key")
 
 
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:

@@ -168,6 +168,17 @@ def test_lines_clean_keeps_rows_and_copies(spark):
     assert lines.clean(documents(spark, [])).count() == 0
 
 
+def test_lines_go_from_copies_too(spark, tmp_path):
+    a, b, c, d, e = (prose(4000 + i, 12) for i in range(5))
+    rows = [(1, f"{a}\n{b}"), (2, f"{c}\n{d}"), (3, f"{a}\n{b}"), (4, f"{a}\n{c}\n{a}"), (5, f"{e}\n{e}\n{b}"), (6, f"{e}\n{e}\n{b}"), (7, "own")]
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [], 3: [0, 1], 4: [0, 1, 2], 5: [1, 2], 6: [0, 1, 2], 7: []}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: rows[0][1], 2: rows[1][1], 3: rows[0][1], 4: "", 5: e, 6: e, 7: "own"}
+
+
 def test_edit_distance_in_a_band():
     rng = random.Random(2)
     a = ["".join(rng.choice("abé") for _ in range(rng.randrange(40))) for _ in range(800)]
