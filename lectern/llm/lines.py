@@ -9,7 +9,8 @@ are verified in tiles of bounded size, so no task and no row list grows with the
 group. Candidates are verified by bit-parallel edit distance in a band of ``2 * edits + 1`` bits.
 
 Lines travel as 64-bit hashes. Their text is only fetched for candidates, which a bitmap of fixed
-size, sent to the tasks, tells apart from nearly all other lines.
+size, sent to the tasks, tells apart from nearly all other lines. Equal lines of any size are
+counted by their hash; only blank lines are left out.
 """
 
 from __future__ import annotations
@@ -342,7 +343,7 @@ def links(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col:
 
 
 def _occurrences(alike: bool):
-    """(doc_id, key, n, at, line, size): a row for each text (at -1, size all its code points), and for each of its lines of MIN_CHARS."""
+    """(doc_id, key, n, at, line, size): a row for each text (at -1, size all its code points), and for each of its lines that is not blank."""
     def task(batches):
         for ids, texts in text_slices(batches):
             names = ids.to_pylist()
@@ -351,7 +352,7 @@ def _occurrences(alike: bool):
                 t = t or b""
                 key = hashlib.md5(t if alike else b"%s\0%s" % (b"-" if i is None else str(i).encode(), t)).digest()
                 lines = t.split(b"\n")
-                found = [(n, line_hash(x), size) for n, x in enumerate(lines) if len(x) >= MIN_CHARS and (size := len(x.decode())) >= MIN_CHARS]
+                found = [(n, line_hash(x), len(y)) for n, x in enumerate(lines) if x and (y := x.decode()).strip()]
                 for n, h, size in [(-1, 0, len(t.decode())), *found]:
                     for column, value in zip(out, (who, key, len(lines), n, h, size), strict=True):
                         column.append(value)
@@ -402,7 +403,8 @@ def repeats(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_co
     takes every line with an earlier occurrence from them too; "alike" does so as well, but rows of
     equal text are one document, whatever their ids, so that equal texts lose the same lines and stay
     equal; "whole" takes nothing from a ``copy``. Null texts have one empty line. Rows equal in id and
-    text count as one document and get equal rows. Lines below ``MIN_CHARS`` code points never repeat.
+    text count as one document and get equal rows. Lines below ``MIN_CHARS`` code points are near
+    no other line, but repeat if equal; blank lines never repeat.
     """
     base, told = _placed(docs, edits, id_col, text_col, copies == "alike")
     copy = F.coalesce(F.col("shared") > COPY_SHARE * F.col("chars"), F.lit(False))

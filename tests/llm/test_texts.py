@@ -179,6 +179,15 @@ def test_lines_go_from_copies_too(spark, tmp_path):
     assert left == {1: rows[0][1], 2: rows[1][1], 3: rows[0][1], 4: "", 5: e, 6: e, 7: "own"}
 
 
+def test_short_lines_repeat_if_equal(spark, tmp_path):
+    own = [prose(4100 + i, 40) for i in range(4)]
+    rows = [(1, f"Menu\n{own[0]}\n\nMenu"), (2, f"{own[1]}\nAll rights reserved.\n \u3000"), (3, f"{own[2]}\n\nAll rights reserved.\n \u3000"), (4, f"Menü\n{own[3]}\nmenu")]
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["removed"], [tuple(x) for x in r["repeated"] or []]) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: ([3], [(0, 1, 0, 0), (3, 1, 0, 0)]), 2: ([], [(1, 2, 1, 0)]), 3: ([2], [(2, 2, 1, 0)]), 4: ([], [])}
+
+
 def test_edit_distance_in_a_band():
     rng = random.Random(2)
     a = ["".join(rng.choice("abé") for _ in range(rng.randrange(40))) for _ in range(800)]
