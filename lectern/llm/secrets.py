@@ -3,9 +3,10 @@
 Three strong patterns (assignments, access identifiers, long hex) are always reported. Weak parts
 (identifiers, secret-looking words, endpoints) are reported only if a complementary part lies
 within ``SCOPE`` code points in the same text: a weak secret needs an identifier or an endpoint,
-an identifier or endpoint needs a secret. The link is an interval join over buckets of the scope's
-width; the inner side is reduced to the first and last place in each bucket, so a text with many
-parts never makes pairs.
+an identifier or endpoint needs a secret. Linked parts do not overlap, so no string completes itself:
+a weak part inside a strong one is dropped, and so is a weak secret inside an identifier or endpoint.
+Only a strong secret that starts before an identifier or endpoint and ends in it completes that too.
+The link is a sweep over both ends of all parts in order, so a text with many parts never makes pairs.
 """
 
 from __future__ import annotations
@@ -66,18 +67,32 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     placed = placed.where((F.col("kind") != KINDS.index("assign")) | (F.col("value") >= 6))
     role = reduce(lambda c, k: c.when(F.col("kind") == KINDS.index(k), ROLE[k]), KINDS, F.when(F.lit(False), ""))
     strong = F.col("kind") < len(STRONG)
-    before = Window.partitionBy("key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    covered = F.coalesce(F.max(F.when(strong, F.col("stop"))).over(before), F.lit(0)) > F.col("start")
-    placed = placed.withColumn("role", role).withColumn("covered", covered & ~strong).where("NOT covered")
-    placed = stored(placed.select("key", "kind", "role", "start", "stop", F.floor(F.col("start") / SCOPE).alias("bucket")), "secret-parts")
-
-    inner = placed.groupBy("key", "role", "bucket").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    needs = reduce(lambda c, r: c.when(F.col("role") == r, F.array(*map(F.lit, NEEDS[r]))), NEEDS, F.when(F.lit(False), F.array(F.lit(""))))
-    asks = (placed.where(~strong).withColumn("role", F.explode(needs))
-            .withColumn("near", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("bucket", F.col("bucket") + F.col("near")))
-    close = (F.when(F.col("near") == -1, F.col("last") >= F.col("start") - SCOPE)
-             .when(F.col("near") == 1, F.col("first") <= F.col("start") + SCOPE).otherwise(True))
-    linked = asks.join(inner, ["key", "role", "bucket"]).where(close).select("key", "kind", "start", "stop").distinct()
+    name, secret = F.col("role") != "secret", F.col("role") == "secret"
+    before = Window.partitionBy("key").orderBy("start", F.desc("stop"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("role", role)
+    inside = F.coalesce(F.max(F.when(strong, F.col("stop"))).over(upto) >= F.col("stop"), F.lit(False))
+    placed = placed.withColumn("inside", ~strong & inside).where("NOT inside")
+    within = F.coalesce(F.max(F.when(~strong & name, F.col("stop"))).over(upto) >= F.col("stop"), F.lit(False))
+    placed = placed.withColumn("inside", ~strong & secret & within).where("NOT inside")
+    # A strong secret that reaches into a name or endpoint, but not over it, is evidence of its own.
+    reach = F.max(F.when(strong & secret, F.col("stop"))).over(before)
+    spliced = F.coalesce(~strong & name & (reach > F.col("start")), F.lit(False))
+    placed = stored(placed.withColumn("spliced", spliced).select("key", "kind", "role", "start", "stop", "spliced"), "secret-parts")
+
+    # Both ends of all parts in order: the last part of each role that ends before, the first that starts after.
+    ends = placed.withColumn("opens", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("at", F.when(F.col("opens"), F.col("start")).otherwise(F.col("stop")))
+    left = Window.partitionBy("key").orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, -1)
+    right = Window.partitionBy("key").orderBy(F.desc("at"), F.desc("opens")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def met(r):
+        last = F.max(F.when(~F.col("opens") & (F.col("role") == r), F.col("start"))).over(left)
+        first = F.min(F.when(F.col("opens") & (F.col("role") == r), F.col("start"))).over(right)
+        return F.coalesce(F.when(F.col("opens"), last >= F.col("start") - SCOPE).otherwise(first <= F.col("start") + SCOPE), F.lit(False))
+
+    met_by = {r: reduce(lambda a, b: a | b, [met(x) for x in needs]) for r, needs in NEEDS.items()}
+    linked = ends.withColumn("met", reduce(lambda c, r: c.when(F.col("role") == r, met_by[r]), NEEDS, F.when(F.lit(False), F.lit(False))))
+    linked = linked.where(~strong & (F.col("met") | F.col("spliced"))).select("key", "kind", "start", "stop").distinct()
     return rows.select("doc_id", "key"), placed.where(strong).select("key", "kind", "start", "stop").union(linked)
 
 

@@ -73,6 +73,14 @@ def test_secrets_against_re(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
 
 
+def test_secrets_link_distinct_parts(spark):
+    url, secret = "https://example.com/news/2024/05/some-article-title", "Zx9kQ27aLm33PqRt"
+    rows = [(0, url), (1, "ASIA1234567890ABCDEF"), (2, f"{url} {url}"), (3, "DB_SECRET=mongodb://user:pw@db.host.net"), (4, f"{url} {secret}"),
+            (5, f"ASIA1234567890ABCDEF {secret}"), (6, f"user: {secret}+/abc")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(documents(spark, rows)).collect()}
+    assert got == {0: "", 1: "", 2: "", 3: "assign:3:17,endpoint:10:39,identifier:20:39", 4: "endpoint:0:51,secret:52:68", 5: "identifier:0:20,secret:21:37", 6: ""}
+
+
 def test_secrets_run_no_python(spark):
     plan = QUERIES["op2_secret_scan"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
