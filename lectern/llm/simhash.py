@@ -4,8 +4,8 @@ Two fingerprints that differ in at most three bits agree on at least three of si
 close pairs share one of the 20 keys made of three blocks. Fingerprints, not documents, are
 joined; equal ones collapse first. Members of a key are compared in one task, which gives out a
 spanning forest instead of pairs. A key with more than ``BUCKET`` members is keyed again: on the
-32 bits it leaves open, five of eight nibbles must agree, so at most 2**12 different fingerprints
-meet under such a key, however large the corpus.
+32 or 33 bits it leaves open, five of eight groups must agree, so at most ``FINE`` different
+fingerprints meet under such a key, however large the corpus.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 BUCKET = 4096
+FINE = 1 << 13
 COUNT_ROWS = 1 << 16
 
 
@@ -163,7 +164,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     found = stored(grouped(keyed, finer, bucket), "simhash-links")
     again = found.where("mask >= 0").select("mask", "value", F.col("a").alias("fp"))
-    return found.where("mask < 0").select("a", "b").union(grouped(again, None, 1 << 12).select("a", "b"))
+    return found.where("mask < 0").select("a", "b").union(grouped(again, None, FINE).select("a", "b"))
 
 
 def _components(rows: DataFrame, pick) -> DataFrame:

@@ -116,6 +116,11 @@ def test_simhash_table(spark):
     assert sorted(rows_of(QUERIES["op5_simhash"](spark, FOLDER)), key=key) == want
 
 
+def test_simhash_fine_keys_are_bounded():
+    _, finer = simhash.masks()
+    assert max(1 << (64 - m.bit_count()) for masks in finer for m in masks) == 1 << 13 == simhash.FINE
+
+
 @pytest.mark.parametrize("bucket", [4096, 20])
 def test_simhash_links_keep_every_component(spark, bucket):
     """Dense balls of fingerprints and chains; small buckets send keys through their finer ones."""
