@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontam, lines, lm, maxscore, pieces, secrets, shards, simhash, toxicity, warc
+from lectern.llm import decontam, lines, lm, manifest, maxscore, oracle, periodic, pieces, quality, secrets, shards, simhash, toxicity, warc
 from lectern.llm.common import id_bucket
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -70,10 +70,29 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    proved = manifest.verify(manifest.manifest(table(spark, folder, "documents"), manifest.without_line_breaks()))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof(F.col("steps")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents")).drop("cleaned")
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.runs(periodic.repeated_tails(table(spark, folder, "documents")))
+    lines_ = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period",
+        F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(lines_.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lm_scoring, op2_secret_scan, op3_line_dedup, op4_sharding, op5_simhash, op6_warc_audit, op7_maxscore, op8_sentencepiece,
-        op9_decontamination, op10_toxicity)
+        op9_decontamination, op10_toxicity, op11_merkle_manifest, op12_quality_rules, op13_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +112,7 @@ ranked AS (
     FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
+    "op11_merkle_manifest": oracle.MANIFEST,
+    "op12_quality_rules": oracle.QUALITY,
+    "op13_periodic_runs": oracle.PERIODIC,
 }
