@@ -26,10 +26,11 @@ STRONG = {
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
 }
+# No group is repeated in any pattern: the JVM matches repeated groups by recursion, which a long text overflows.
 WEAK = {
     "identifier": r"""(?<![A-Za-z0-9])(?:(?:ASIA|AROA|AIDA)[A-Z0-9]{12,}|(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,})""",
-    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}",
-    "endpoint": r"""(?<![A-Za-z0-9])(?:(?:https?|ftp|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?)""",
+    "secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}",
+    "endpoint": r"""(?<![A-Za-z0-9])(?:(?:https?|ftp|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9-](?::[0-9]+)?)""",
 }
 KINDS = [*STRONG, *WEAK]
 # The role of each kind: strong parts complete weak ones too.
