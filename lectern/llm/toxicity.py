@@ -14,11 +14,14 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,8 @@ MIN_SHARE = 0.005
 MIN_ODDS = 2.5
 LOOSE_ODDS = 1.0
 STEM = 4, 10
-EDGE = 160
+COPY_PARTS = 16
+BANDS = 3
 THRESHOLD = 0.3
 
 # Characters that look like Latin letters, and digits or signs that stand for them.
@@ -103,12 +107,16 @@ class Lexicon:
             elif weight > best.get(start, 0.0):
                 best[start] = weight
         if covered:
-            return [(s, w) for s, w in best.items() if not any(a <= s < b for a, b in covered)]
+            # Stretches by start, with the furthest end so far: a place is covered if that end lies beyond it.
+            covered.sort()
+            starts = [a for a, _ in covered]
+            ends = list(accumulate((b for _, b in covered), max))
+            return [(s, w) for s, w in best.items() if not ((at := bisect_right(starts, s)) and ends[at - 1] > s)]
         return list(best.items())
 
 
 def features(hits: list[tuple[int, float]], folded: str) -> list[float]:
-    """Constant, root of the number of hits, summed weight by length (log), hits by length."""
+    """Constant, number of hits up to three as a share of three, log of the summed weight, log of the weight by length."""
     n, length = len(hits), folded.count(" ") - 1
     weight = sum(w for _, w in hits)
     return [1.0, min(n, 3) / 3, math.log1p(weight), math.log1p(1000 * weight / max(length, 50)) if n else 0.0]
@@ -118,6 +126,30 @@ def _terms(word: str) -> list[str]:
     return [f" {word} ", *(f" {word[:k]}" for k in range(STEM[0], min(STEM[1], len(word)) + 1))]
 
 
+_MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+
+
+def _sketch(batches):
+    """Adds a hash of the whole text and ``BANDS`` keys, each of two least hashes of its five-word shingles: texts share a
+    key with about the square of the share of shingles that both have."""
+    for labels, texts in text_slices(batches):
+        names, bands = [], []
+        for t in texts:
+            words = t.lower().split()
+            shingles = [b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))]
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles), np.uint64, len(shingles))
+            least = []
+            for m in _MIXERS[:2 * BANDS]:
+                mixed = (hashes ^ (hashes >> np.uint64(31))) * m
+                least.append((mixed ^ (mixed >> np.uint64(29))).min())
+            names.append(xxhash.xxh3_64_intdigest(t))
+            bands.append([(int(a) * 31 + int(b)) & (1 << 64) - 1 for a, b in zip(least[::2], least[1::2], strict=True)])
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [labels.cast(pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()), signed(names), *(signed([k[b] for k in bands]) for b in range(BANDS))],
+            names=["y", "text", "name", *(f"band{b}" for b in range(BANDS))])
+
+
 def _count_terms(batches):
     """(term, pos, neg): labelled documents with each term, summed over a few thousand rows at a time."""
     pos, neg = Counter(), Counter()
@@ -228,9 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Lexicon weights, exception phrases and curve from the labelled rows whose crc32 of the id mod 4 is not 2.
 
     Rows with a null label or id teach nothing; an id with several labels counts as toxic if one is.
-    At most ``sample`` ids are used, those of smallest hash; texts that begin or end alike for ``EDGE`` code points, as copies
-    do, teach once. Without any label the lexicon is empty
-    and every score is the same.
+    At most ``sample`` ids are used, those of smallest hash; of texts that are copies or near copies (``_sketch``)
+    one teaches for each label they have. Without any label the lexicon is empty and every score is the same. ``LEXICON`` and ``EXCEPTIONS``
+    bound the terms learned, as those of a sample of bounded size; no text is left out or cut.
     """
     rows = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("y")).dropna()
     chosen = (rows.where(id_bucket(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -239,9 +271,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     small = spark.createDataFrame(picked, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("y", T.IntegerType())]))
     train = id_and_text(docs, id_col, text_col).join(F.broadcast(small), "doc_id").select("y", "text")
-    for edge in (F.substring("text", 1, EDGE), F.substring("text", -EDGE, EDGE)):
-        train = train.groupBy(edge.alias("edge")).agg(F.max(F.struct("y", "text")).alias("row")).select("row.*")
-    train = stored(train.where("text IS NOT NULL"), "toxicity-train")
+    train = stored(train.where("text IS NOT NULL").mapInArrow(_sketch, "y int, text string, name long, " + ", ".join(f"band{b} long" for b in range(BANDS)))
+                   .withColumn("row", F.monotonically_increasing_id()), "toxicity-sketches")
+    # Of near copies one teaches for each label: in two steps, so that copies in any number are never one group.
+    left = train.drop("text")
+    for b in range(BANDS):
+        first = F.min(F.struct("name", "row", *[f"band{c}" for c in range(BANDS) if c > b])).alias("one")
+        left = left.withColumn("part", F.col("row") % COPY_PARTS).groupBy(f"band{b}", "y", "part").agg(first)
+        left = left.groupBy(f"band{b}", "y").agg(F.min("one").alias("one")).select("y", "one.*")
+    train = stored(train.join(left.select("row"), "row", "left_semi").select("y", "text"), "toxicity-train")
 
     n_pos, n_neg = (max(1, train.where(F.col("y") == v).count()) for v in (1, 0))
     def summed(rows):
@@ -271,7 +309,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, score, predicted, hits (place in the folded text, weight) for every row; null texts count as empty."""
+    """doc_id, score, predicted, hits (place in the folded text, weight) for every row, whole texts, no shuffle.
+
+    Null texts count as empty and are scored by the curve's constant; null ids and equal rows each keep their row; no rows give none.
+    """
     weights, exceptions, curve = model
 
     def task(batches):
@@ -293,18 +334,23 @@ def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns as they are; scored in place, no shuffle."""
+    """The rows of ``docs`` that are not predicted toxic, all columns as they are; scored in place, no shuffle.
+
+    Odd rows are treated as in ``score``.
+    """
     weights, exceptions, curve = model
     at = docs.columns.index(text_col)
 
     def task(batches):
         lexicon, w = Lexicon(weights, exceptions), np.array(curve)
         for batch in batches:
-            keep = []
-            for t in batch.column(at).cast(pa.string()).to_pylist():
-                folded = fold(t or "")
-                z = float(np.clip(w @ features(lexicon.hits(folded), folded), -30, 30))
-                keep.append(1 / (1 + math.exp(-z)) < THRESHOLD)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["row", "text"])
+            for places, texts in text_slices([rows]):
+                keep = []
+                for t in texts:
+                    folded = fold((t or b"").decode())
+                    z = float(np.clip(w @ features(lexicon.hits(folded), folded), -30, 30))
+                    keep.append(1 / (1 + math.exp(-z)) < THRESHOLD)
+                yield batch.take(places.filter(pa.array(keep, pa.bool_())))
 
     return docs.mapInArrow(task, docs.schema)
