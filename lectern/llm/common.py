@@ -32,6 +32,22 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, whatever signs it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def schema_of(docs: DataFrame, rest: str, id_col: str = "doc_id") -> T.StructType:
     """The id as it is typed in ``docs``, then the columns of the DDL text ``rest``."""
     return T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.StructType.fromDDL(rest).fields])

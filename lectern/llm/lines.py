@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, id_and_text, schema_of, stored, text_slices
+from lectern.llm.common import components, id_and_text, named, schema_of, spare_names, stored, text_slices
 
 EDITS = 2
 MIN_CHARS = 24
@@ -415,14 +415,20 @@ def repeats(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", copies: str = "whole") -> DataFrame:
-    """``docs`` without the lines that ``repeats`` removes; all rows and columns stay, only texts get shorter."""
+    """``docs`` without the lines that ``repeats`` removes; all rows and columns stay, only texts get shorter.
+
+    Null texts stay null, null ids and equal rows are treated as in ``repeats``; no rows give none. A
+    text whose lines all go is empty.
+    """
     text, alike = F.coalesce(docs[text_col], F.lit("")), copies == "alike"
     if copies == "whole":
         gone = repeats(docs, edits, id_col, text_col).select("key", F.col("removed").alias("later")).dropDuplicates(["key"])
     else:
         _, gone = _placed(docs, edits, id_col, text_col, alike)
-    gone = gone.where(F.size("later") > 0).select(F.col("key").alias("_row"), F.col("later").alias("_gone"))
+    row, lines = spare_names(docs, "_row", "_gone")
+    gone = gone.where(F.size("later") > 0).select(F.col("key").alias(row), F.col("later").alias(lines))
     name = text if alike else F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("-")), F.lit("\0"), text)
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.withColumn("_row", F.unhex(F.md5(name.cast("binary")))).join(stored(gone, "line-removals"), "_row", "left")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    kept = F.array_join(F.filter(F.split(named(text_col), "\n", -1), lambda _, i: ~F.array_contains(lines, i)), "\n")
+    joined = docs.withColumn(row, F.unhex(F.md5(name.cast("binary")))).join(stored(gone, "line-removals"), row, "left")
+    shorter = F.when(F.col(lines).isNull(), named(text_col)).otherwise(kept)
+    return joined.select(*[shorter.alias(c) if c == text_col else named(c) for c in docs.columns])

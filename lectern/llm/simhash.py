@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, id_and_text, runs, schema_of, stored, text_slices, words
+from lectern.llm.common import components, id_and_text, named, runs, schema_of, spare_names, stored, text_slices, words
 
 RADIUS = 3
 SHINGLE = 3
@@ -184,18 +184,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without any id has null. Rows of equal id or text each get their row; no rows give none.
     """
     rows = stored(fingerprints(docs, id_col, text_col).select("doc_id", "fp"), "fingerprints")
-    named = _components(rows, F.min("doc_id"))
-    return rows.join(named, "fp").select(
+    least = _components(rows, F.min("doc_id"))
+    return rows.join(least, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("picked").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, all columns as they are: the one of smallest id (null ids last), then of smallest text hash."""
+    """One row of each component, all columns as they are: the one of smallest id (null ids last), then of smallest text hash.
+
+    Of rows equal in both, the one whose other columns have the smallest hash stays, so the choice is
+    the same on every run. A null text counts as empty; no rows give none.
+    """
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    named = _components(rows, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")))
-    stay = named.select("picked.*").distinct().select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    key = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
-    mine = docs.withColumn("_own", key)
-    stay = stored(stay, "simhash-stay")
-    kept = mine.join(stay, (mine["_own"] == stay["_key"]) & mine[id_col].eqNullSafe(stay["_id"]))
-    return kept.dropDuplicates(["_key", "_id"]).select(*[kept[c] for c in docs.columns])
+    picked = _components(rows, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")))
+    stay_id, stay_key, own, mark, row = spare_names(docs, "_id", "_key", "_own", "_mark", "_row")
+    stay = stored(picked.select("picked.*").distinct().select(F.col("doc_id").alias(stay_id), F.col("key").alias(stay_key)), "simhash-stay")
+    whole = [named(c) for c in docs.columns]
+    others = [named(c) for c in docs.columns if c not in (id_col, text_col)]
+    mine = docs.withColumns({
+        own: F.unhex(F.md5(F.coalesce(named(text_col).cast("string"), F.lit("")).cast("binary"))),
+        mark: F.md5(F.to_json(F.struct(F.lit(1), *others), {"ignoreNullFields": "false"}).cast("binary"))})
+    kept = mine.join(stay, (F.col(own) == F.col(stay_key)) & named(id_col).eqNullSafe(F.col(stay_id)))
+    one = kept.groupBy(stay_key, stay_id).agg(F.min_by(F.struct(*whole), F.col(mark)).alias(row))
+    return one.select(*[F.col(row)[c].alias(c) for c in docs.columns])

@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 
 # Columns named like those the operators make themselves.
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, token string, key string, item int, line string, score double, n int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, token string, key string, item int, line string, score double, n int, " \
+    "_own string, _key string, _id string, _row string, _gone int, _mark int, _OWN_ int"
 
 
 def documents(spark, rows):
     """A documents table, further columns included, from (doc_id, text)."""
-    return spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), 1, 2, "t", "k", 3, "l", 0.5, 4) for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), 1, 2, "t", "k", 3, "l", 0.5, 4, "o", "y", "i", "r", 6, 7, 8) for i, t in rows], DOCS)
 
 
 def prose(seed, n):
