@@ -17,6 +17,7 @@ ANY_MARK = (
     r"__SEARCHING__\n?|__READY__\n?|__CONTEXT__\{.*?\}__\n\n|(\n\n)?__ENTRY_ID__[0-9]+__|__ERROR__.*?__"
 )
 RESULT_SITE = "https://www.courtlistener.com"
+END_MARK = "end-of-text-3b9f"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 # Questions suggested when a model gives none.
@@ -64,13 +65,22 @@ def suggestions(response: Column, snippet: Column, limit: int = 4) -> Column:
 def strict_json(text: Column, path: str = "", kind: str = "variant") -> Column:
     """The part of a JSON text at a path; NULL unless the text is one whole value.
 
-    The parser stops after the first value, so the text is also read inside an array and
-    inside an object: only a single value leaves both complete.
+    The parser stops after the first value, so the text is read as the first of two items of an
+    array: only a single value leaves the end mark in second place. Texts that hold the mark themselves
+    are read inside an array and inside an object instead.
     """
-    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    valued = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = F.size(F.try_variant_get(inside, "$", "array<variant>")) == 1
-    return F.when(valued.isNotNull() & single, F.try_variant_get(inside, f"$[0]{path}", kind))
+    def marked(parsed):
+        whole = F.try_variant_get(parsed, "$[1]", "string") == END_MARK
+        return F.when(whole, F.try_variant_get(parsed, f"$[0]{path}", kind))
+
+    def twice(inside):
+        valued = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+        single = F.size(F.try_variant_get(inside, "$", "array<variant>")) == 1
+        return F.when(valued.isNotNull() & single, F.try_variant_get(inside, f"$[0]{path}", kind))
+
+    odd = F.contains(text, F.lit(END_MARK))
+    return F.when(odd, let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), twice)).otherwise(
+        let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]'))), marked))
 
 
 def _group(text: Column, pattern: str) -> Column:
@@ -96,38 +106,31 @@ def error_message(text: Column) -> Column:
 def qa_pairs(raw: Column) -> Column:
     """Q:/A: lines of a transcript to ARRAY<STRUCT<question, answer>>.
 
-    A fold over the lines of one value: 'Q:' closes a pair and opens the next, 'A:' starts
-    its answer over, other lines extend an answer that has begun.
+    'Q:' opens a block that ends before the next one; the last 'A:' in it starts the answer, and
+    the lines after it that are not empty extend it. Blocks without a question or an answer give
+    none. Each line is looked at a fixed number of times.
     """
-    pair = "struct<question:string,answer:string>"
-    nothing = F.lit(None).cast("string")
-
-    def closed(s):
-        done = (s["q"] != "") & s["a"].isNotNull()
-        return F.when(
-            done,
-            F.concat(s["pairs"], F.array(F.struct(s["q"].alias("question"), trim_ws(s["a"]).alias("answer")))),
-        ).otherwise(s["pairs"])
-
-    def state(q, a, pairs):
-        return F.struct(q.alias("q"), a.alias("a"), pairs.alias("pairs"))
-
-    def step(s, line):
-        tag = F.lower(F.substring(line, 1, 2))
-        rest = trim_ws(F.substring(line, 3, 1 << 30))
-        return (
-            F.when(tag == "q:", state(rest, nothing, closed(s)))
-            .when((tag == "a:") & (s["q"] != ""), state(s["q"], rest, s["pairs"]))
-            .when(
-                s["a"].isNotNull() & (line != ""),
-                state(s["q"], F.concat(s["a"], F.lit(" "), line), s["pairs"]),
-            )
-            .otherwise(s)
-        )
+    tag = lambda line: F.lower(F.substring(line, 1, 2))
+    rest = lambda line: trim_ws(F.substring(line, 3, 1 << 30))
+
+    def pair(block):
+        def answered(at):
+            after = F.filter(F.slice(block, at + 2, F.size(block)), lambda x: x != "")
+            return F.struct(
+                rest(F.get(block, F.lit(0))).alias("question"),
+                F.when(at.isNotNull(), trim_ws(F.array_join(F.concat(F.array(rest(F.get(block, at))), after), " "))).alias("answer"))
+
+        return let(F.array_max(F.transform(block, lambda x, i: F.when(tag(x) == "a:", i))), answered)
+
+    def blocks(lines):
+        def cut(starts):
+            ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(lines)))
+            return F.zip_with(starts, ends, lambda a, b: let(F.slice(lines, a + 1, b - a), pair))
+
+        at = F.array_compact(F.transform(lines, lambda x, i: F.when(tag(x) == "q:", i)))
+        return F.filter(let(at, cut), lambda p: (p["question"] != "") & p["answer"].isNotNull())
 
-    lines = F.transform(F.split(raw, LINE_BREAK), lambda x: trim_ws(x))
-    start = state(nothing, nothing, F.array().cast(f"array<{pair}>"))
-    return F.aggregate(lines, start, step, closed)
+    return let(F.transform(F.split(raw, LINE_BREAK), lambda x: trim_ws(x)), blocks)
 
 
 def search_results(body: Column) -> Column:

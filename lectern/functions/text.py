@@ -168,7 +168,9 @@ def search_query(filename: Column, text: Column) -> Column:
 
 def sanitize_filename(name: Column) -> Column:
     """Base name without control, separator or reserved characters, 255 at most."""
-    base = F.regexp_replace(F.regexp_replace(name, r"(/\.?)+$", ""), r"^.*/", "")
+    # Slashes, and dots alone behind them, are trimmed from the end without a repeated group, which the JVM matches by recursion.
+    bare = F.rtrim(F.regexp_replace(name, r"/\.(?=/|\z)", "/"), F.lit("/"))
+    base = F.regexp_replace(bare, r"^.*/", "")
     base = F.when(base == ".", "").otherwise(base)
     kept = F.regexp_replace(base, r'[\p{C}[\p{Z}&&[^ ]]/\\<>:"|?*]', "")
     return or_default(F.substring(kept, 1, 255), "untitled")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from typing import Callable, Protocol
+from typing import Callable, Protocol, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.vectors import dense, word_set
 
@@ -60,3 +63,66 @@ class ColumnEmbedder:
             .withColumn("embed_failed", F.col(out).isNull())
             .drop("_raw")
         )
+
+
+class ModelEmbedder:
+    """A model called with lists of texts, in batches of ``batch_rows``, one text at a time where a batch fails.
+
+    ``load`` is called once per task and gives the function that takes texts to vectors. A call
+    that raises, or gives another number of vectors than texts, is repeated text by text, so that one bad text
+    costs only itself. A text whose own call fails, or whose vector has another length than ``dim`` or a
+    part that is no finite number, has a NULL vector with ``embed_failed`` set; so has a NULL text,
+    which the model never sees. Works in place, without a shuffle, on any columns.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], Sequence]], dim: int, batch_rows: int = 64):
+        self.load, self.dim, self.batch_rows = load, dim, batch_rows
+
+    def transform(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+        load, dim, size = self.load, self.dim, self.batch_rows
+        kept = [f for f in df.schema.fields if f.name not in (out, "embed_failed")]
+        schema = T.StructType([
+            *kept, T.StructField(out, T.ArrayType(T.FloatType())), T.StructField("embed_failed", T.BooleanType())])
+        at, stay = df.columns.index(text), [df.columns.index(f.name) for f in kept]
+
+        def embed(batches):
+            model = load()
+            for batch in batches:
+                for start in range(0, batch.num_rows, size):
+                    part = batch.slice(start, size)
+                    vectors = _embedded(model, part.column(at).to_pylist(), dim)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(i) for i in stay), pa.array(vectors, pa.list_(pa.float32())), pa.array([v is None for v in vectors])],
+                        names=schema.names)
+
+        return df.mapInArrow(embed, schema)
+
+
+def _embedded(model, texts: list[str | None], dim: int) -> list[np.ndarray | None]:
+    """A vector, or None, for each text."""
+    told = [i for i, t in enumerate(texts) if t is not None]
+    out: list[np.ndarray | None] = [None] * len(texts)
+    found = _called(model, [texts[i] for i in told]) if told else []
+    if found is None:
+        singles = [_called(model, [texts[i]]) for i in told]
+        found = [s[0] if s else None for s in singles]
+    for i, vector in zip(told, found, strict=True):
+        out[i] = _checked(vector, dim)
+    return out
+
+
+def _called(model, texts: list[str]) -> list | None:
+    """The model's vectors, or None if it raises or gives another number of them."""
+    try:
+        found = list(model(texts))
+    except Exception:  # whatever a model raises, the texts are tried alone
+        return None
+    return found if len(found) == len(texts) else None
+
+
+def _checked(vector, dim: int) -> np.ndarray | None:
+    try:
+        numbers = np.asarray(vector, np.float32)
+    except (TypeError, ValueError):
+        return None
+    return numbers if numbers.shape == (dim,) and np.isfinite(numbers).all() else None

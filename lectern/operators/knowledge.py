@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions.text import contains_any, or_default, trim_ws
 from lectern.functions.vectors import word_set
+from lectern.operators.dense import DenseIndex, dense_greedy_keep, dense_near_existing, usable
 from lectern.operators.embedding import WordSets
 from lectern.operators.neardup import greedy_keep, near_existing
 from lectern.schemas import ENTRY
@@ -49,21 +50,31 @@ def quality_gate(chat: DataFrame, min_chars: int = 80) -> DataFrame:
 
 
 def auto_save(
-    chat: DataFrame, kb: DataFrame, threshold: float = 0.92, source: str = "auto-query"
+    chat: DataFrame, kb: DataFrame, threshold: float = 0.92, source: str = "auto-query", vector: str | None = None
 ) -> DataFrame:
     """New knowledge-base rows from answered questions, in order of id: good answers to
-    questions with no near duplicate in the base or among the rows saved before them."""
+    questions with no near duplicate in the base or among the rows saved before them.
+
+    Questions are compared as word sets, or by ``vector``, a column of dense vectors that ``chat`` and ``kb``
+    both have, which the new rows then keep."""
     good = chat.where(gate_reason(F.col("answer")).isNull())
-    asked = good.select("id", word_set(F.col("question")).alias("vector"))
-    known = kb.select(word_set(F.col("question")).alias("vector"))
-    asked = cut_lineage(asked)
-    fresh = asked.join(near_existing(asked, known, threshold), "id", "left_anti")
-    saved = greedy_keep(fresh, threshold).where("kept").select("id")
-    return knowledge_rows(good.join(saved, "id", "left_semi").select(
+    compared = F.col(vector) if vector else word_set(F.col("question"))
+    asked = cut_lineage(good.select("id", compared.alias("vector")))
+    known = kb.select(compared.alias("vector"))
+    if vector:
+        index = DenseIndex.build(known.where(usable("vector")).distinct().withColumn("id", F.xxhash64("vector")))
+        near, keep = dense_near_existing(asked, index, threshold), dense_greedy_keep
+    else:
+        near, keep = near_existing(asked, known, threshold), greedy_keep
+    fresh = asked.join(near, "id", "left_anti")
+    saved = keep(fresh, threshold).where("kept").select("id")
+    given = [F.col(vector).alias("vector")] if vector else []
+    rows = good.join(saved, "id", "left_semi").select(
         knowledge_id(source, "id").alias("id"), F.col("id").alias("chat_history_id"), "question", F.col("answer").alias("original_answer"),
         F.col("answer").alias("corrected_answer"), F.col("ts").alias("created_at"),
-        F.lit("").alias("context_text"), F.lit(source).alias("corrected_by"), F.lit(1).alias("usage_count"),
-    ))
+        F.lit("").alias("context_text"), F.lit(source).alias("corrected_by"), F.lit(1).alias("usage_count"), *given,
+    )
+    return evolve(rows, ENTRY) if vector else knowledge_rows(rows)
 
 
 def document_candidates(

@@ -1,10 +1,18 @@
 """Near-duplicate checks on 0/1 word vectors, exact at any threshold.
 
-Two sets with cosine above t must overlap so much that their rarest few
-features meet (prefix filtering, Chaudhuri 2006, Bayardo 2007). So candidates
-meet on an equality join over a short prefix of rare features, not by comparing
-all with all. The smaller set of a pair needs an even shorter prefix than the
-larger one, which keeps common features from pairing large groups.
+Two sets with cosine above t must overlap so much that their rarest few features meet (prefix
+filtering, Chaudhuri 2006, Bayardo 2007). So candidates meet on an equality join over a short prefix
+of rare features, not by comparing all with all. What travels is one small row per prefix feature:
+id, feature, size, place in the order, and a 128-bit signature. Three bounds leave few candidates:
+
+* size: the smaller set must be large enough for the larger one;
+* place: at the first feature two sets share, all further ones stand behind it in both;
+* signature: each bit is the parity of the features hashed to it, so bits that differ are features
+  that only one set has, whatever the size of the sets.
+
+Vectors are fetched for the pairs left, and only there. A feature that many prefixes hold is split:
+such rows meet on pairs of features, as sets that overlap in two features share two in a prefix
+longer by one.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from pyspark.sql.window import Window
 from lectern.session import cut_lineage
 
 HEADS = 8
+HOT = 2_000
 
 
 def _above(dot: Column, a: Column, b: Column, t: Fraction) -> Column:
@@ -41,100 +50,157 @@ def _feature_ranks(items: DataFrame, least: int) -> DataFrame:
     )
 
 
-def prefixes(items: DataFrame, ranks: DataFrame, t: Fraction) -> DataFrame:
-    """``items(id, vector, …)`` to one row per prefix feature.
+def _signature(vector: Column, half: int) -> Column:
+    """One half of 128 parities: each feature counts in one bit of one half, by seven bits of its hash."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+    mine = F.filter(vector, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half)
+    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+
+
+def prefixes(items: DataFrame, ranks: DataFrame, t: Fraction, hot: int = HOT) -> DataFrame:
+    """``items(id, vector)`` to one row per key: ``(id, feature, second, size, pos, small, sig0, sig1)``.
 
     ``small`` marks the features that suffice when the item is the smaller of a pair. Features
     without a rank have no partner: they come first in the order and take up their place in the
-    prefix, but no row is made for them, and so no vector is copied.
+    prefix, but no row is made for them. A feature that over ``hot`` items have is keyed with each
+    later one of the prefix and one more; sets so small that an overlap of one may do for a
+    partner are keyed by the feature alone too (``second`` NULL).
     """
     ordered = (
         items.select("id", F.explode("vector").alias("feature"))
         .join(ranks, "feature", "left")
         .groupBy("id")
-        .agg(F.sort_array(F.collect_list(
-            F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("feature").alias("f"))
-        )).alias("features"))
+        .agg(
+            F.sort_array(F.collect_list(
+                F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("feature").alias("f"))
+            )).alias("features")
+        )
+        .withColumn("vector", F.col("features.f"))
+        .withColumns({"sig0": _signature(F.col("vector"), 0), "sig1": _signature(F.col("vector"), 1)})
     )
     size = F.size("features")
-    as_large = size - _at_least(size, t * t) + 1
+    least = _at_least(size, t * t)
+    as_large = size - least + 1
     as_small = size - _at_least(size, t) + 1
-    return (
-        ordered.withColumn("as_small", as_small)
-        .select("id", "as_small", F.posexplode(F.slice("features", F.lit(1), as_large)).alias("pos", "e"))
+    alone = (size <= F.lit(float(1 / t) ** 4 + 1e-6)) | (least < 2)
+    rows = (
+        ordered.withColumns({"size": size, "least": least, "as_large": as_large, "as_small": as_small, "alone": alone})
+        .withColumn("ends", F.slice("features", F.lit(1), as_large + 1))
+        .select("*", F.posexplode(F.slice("features", F.lit(1), as_large)).alias("pos", "e"))
         .where("e.n > 0")
-        .select("id", F.col("e.f").alias("feature"), (F.col("pos") < F.col("as_small")).alias("small"))
+    )
+    is_hot = F.col("e.n") > hot
+    later = F.transform(F.slice("ends", F.col("pos") + 2, F.size("ends")), lambda x: x["f"])
+    none = F.array(F.lit(None).cast("bigint"))
+    seconds = (
+        F.when(~is_hot | (F.col("least") < 2), none)
+        .when(F.col("alone"), F.concat(none, later))
+        .otherwise(later)
+    )
+    return rows.select(
+        "id", F.col("e.f").alias("feature"), F.explode(seconds).alias("second"), "size", "pos",
+        (F.col("pos") < F.col("as_small")).alias("small"), "sig0", "sig1",
     )
 
 
-def _meet(a: str, b: str, t: Fraction) -> Column:
-    """Join condition of two prefix rows: the smaller side's short prefix, then the real test."""
-    sa, sb = F.size(f"{a}.vector"), F.size(f"{b}.vector")
-    roles = ((sa <= sb) & F.col(f"{a}.small")) | ((sb <= sa) & F.col(f"{b}.small"))
-    bound = F.least(sa, sb)
-    overlap = F.size(F.array_intersect(f"{a}.vector", f"{b}.vector"))
-    return roles & _above(bound, sa, sb, t) & _above(overlap, sa, sb, t)
+def _may_meet(a: str, b: str, t: Fraction) -> Column:
+    """Join condition of two prefix rows: the same key, and no bound that rules the pair out."""
+    sa, sb = F.col(f"{a}.size"), F.col(f"{b}.size")
+    key = (F.col(f"{a}.feature") == F.col(f"{b}.feature")) & F.col(f"{a}.second").eqNullSafe(F.col(f"{b}.second"))
+    roles = ((sa <= sb) & F.col(f"{a}.small")) | ((sb <= sa) & F.col(f"{b}.small")) | F.col(f"{a}.second").isNotNull()
+    placed = F.least(sa - F.col(f"{a}.pos"), sb - F.col(f"{b}.pos"))
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("sig0", "sig1")), F.lit(0))
+    signed = F.floor((sa + sb - apart) / 2)
+    return key & roles & _above(F.least(sa, sb, placed, signed.cast("int")), sa, sb, t)
 
 
-def _with_vectors(prefix: DataFrame, items: DataFrame) -> DataFrame:
-    return prefix.join(items.select("id", "vector"), "id")
+def _near(pairs: DataFrame, left: DataFrame, right: DataFrame, t: Fraction) -> DataFrame:
+    """The ids ``a`` of candidate pairs (a, b) that are near, by the vectors of both sides."""
+    ours = left.select(F.col("id").alias("a"), F.col("vector").alias("x"))
+    theirs = right.select(F.col("id").alias("b"), F.col("vector").alias("y"))
+    overlap = F.size(F.array_intersect("x", "y"))
+    met = pairs.join(ours, "a").join(theirs, "b")
+    return met.where(_above(overlap, F.size("x"), F.size("y"), t)).select(F.col("a").alias("id")).distinct()
 
 
-def near_existing(items: DataFrame, existing: DataFrame, threshold: float = 0.92) -> DataFrame:
+def _heads(prefix: DataFrame) -> DataFrame:
+    """The earliest few rows of each key; each task keeps no more before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("feature", "second").orderBy("id"))
+    return prefix.withColumn("place", place).where(F.col("place") <= HEADS).drop("place")
+
+
+def near_existing(items: DataFrame, existing: DataFrame, threshold: float = 0.92, hot: int = HOT) -> DataFrame:
     """Ids of ``items(id, vector)`` that have a row of ``existing(vector)`` above the threshold.
 
-    Existing rows are told apart by their vectors alone, so rows of several sources may share ids."""
+    Existing rows are told apart by their vectors alone, so rows of several sources may share ids.
+    Items are first held against the first few rows of each key, which settles nearly all items of
+    a large group of near copies; only the others meet all rows."""
     t = Fraction(str(threshold))
     items = items.where(F.size("vector") > 0).select("id", "vector")
     existing = existing.where(F.size("vector") > 0).select("vector").distinct()
-    existing = existing.withColumn("id", F.md5(F.array_join(F.col("vector").cast("array<string>"), ",")))
+    existing = cut_lineage(existing.withColumn("id", F.md5(F.array_join(F.col("vector").cast("array<string>"), ","))))
     ranks = _feature_ranks(existing, 1)
-    left = _with_vectors(prefixes(items, ranks, t), items)
-    right = _with_vectors(prefixes(existing, ranks, t), existing)
-    on = (F.col("a.feature") == F.col("b.feature")) & _meet("a", "b", t)
-    return left.alias("a").join(right.alias("b"), on, "left_semi").select("id").distinct()
+    left = cut_lineage(prefixes(items, ranks, t, hot))
+    right = cut_lineage(prefixes(existing, ranks, t, hot))
 
+    def near(a, b):
+        pairs = a.alias("a").join(b.alias("b"), _may_meet("a", "b", t)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+        return _near(pairs, items, existing, t)
 
-def greedy_keep(items: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """First-come duplicate suppression over ``items(id, vector)``: an item stays unless an
-    earlier item that stayed is above the threshold. Returns ``(id, kept)``.
+    soon = cut_lineage(near(left, _heads(right)))
+    return soon.union(near(left.join(soon, "id", "left_anti"), right))
 
-    Equal vectors collapse first, so a group of copies costs one row. Then rounds: rows
-    without an undecided earlier neighbour stay, and the rows near them go. All tests are
-    semi joins, which stop at the first neighbour found, so the pairs of a group are never
-    listed. A row is first tested against the earliest few rows of each group, which settles
-    nearly all rows of a large group of near copies.
-    """
-    t = Fraction(str(threshold))
-    items = items.select("id", "vector")
-    blank = items.where(F.size("vector") == 0).select("id", F.lit(True).alias("kept"))
-    sets = items.where(F.size("vector") > 0)
-    first = cut_lineage(sets.groupBy("vector").agg(F.min("id").alias("id")))
-    undecided = cut_lineage(_with_vectors(prefixes(first, _feature_ranks(first, 2), t), first))
 
-    def near_earlier(a, b):
-        on = (F.col("a.feature") == F.col("b.feature")) & (F.col("b.id") < F.col("a.id")) & _meet("a", "b", t)
-        return a.alias("a").join(b.alias("b"), on, "left_semi").select("id").distinct()
+def greedy_rounds(undecided: DataFrame, near_earlier, drop) -> list[DataFrame]:
+    """The ids dropped in each round of first-come suppression, until no row is undecided.
 
+    ``near_earlier(a, b)`` gives the ids of ``a`` that an earlier row of ``b`` is near to; ``drop(rows,
+    ids)`` takes rows away. Rows without an undecided earlier neighbour stay, and the rows near
+    them go.
+    """
     dropped = []
     while not undecided.isEmpty():
-        place = F.row_number().over(Window.partitionBy("feature").orderBy("id"))
-        heads = undecided.withColumn("place", place).where(F.col("place") <= HEADS)
-        soon = cut_lineage(near_earlier(undecided, heads))
-        later = near_earlier(undecided.join(soon, "id", "left_anti"), undecided)
-        held = cut_lineage(soon.union(later))
-        stays = undecided.join(held, "id", "left_anti")
+        held = cut_lineage(near_earlier(undecided, undecided))
+        stays = drop(undecided, held)
         rest = undecided.join(held, "id", "left_semi")
         gone = cut_lineage(near_earlier(rest, stays))
         dropped.append(gone)
-        undecided = cut_lineage(rest.join(gone, "id", "left_anti"))
+        undecided = cut_lineage(drop(rest, gone))
+    return dropped
+
 
-    stayed = first.select("id")
+def decided(ids: DataFrame, firsts: DataFrame, dropped: list[DataFrame]) -> DataFrame:
+    """``(id, kept)`` of ``ids``: kept if among ``firsts`` and never dropped."""
+    stayed = firsts.select("id")
     for gone in dropped:
         stayed = stayed.join(gone, "id", "left_anti")
     stayed = stayed.withColumn("stayed", F.lit(True))
-    return (
-        sets.select("id").join(stayed, "id", "left")
-        .select("id", F.coalesce("stayed", F.lit(False)).alias("kept"))
-        .unionByName(blank)
-    )
+    return ids.select("id").join(stayed, "id", "left").select("id", F.coalesce("stayed", F.lit(False)).alias("kept"))
+
+
+def greedy_keep(items: DataFrame, threshold: float = 0.92, hot: int = HOT) -> DataFrame:
+    """First-come duplicate suppression over ``items(id, vector)``: an item stays unless an
+    earlier item that stayed is above the threshold. Returns ``(id, kept)``.
+
+    Equal vectors collapse first, so a group of copies costs one row. A row is first tested against
+    the earliest few rows of each of its keys, which settles nearly all rows of a large group of
+    near copies, so the pairs of a group are never listed.
+    """
+    t = Fraction(str(threshold))
+    items = items.select("id", "vector")
+    blank = items.where(F.size("vector") == 0).select("id", F.lit(True).alias("kept"))
+    sets = items.where(F.size("vector") > 0)
+    first = cut_lineage(sets.groupBy("vector").agg(F.min("id").alias("id")))
+    undecided = cut_lineage(prefixes(first, _feature_ranks(first, 2), t, hot))
+
+    def near(a, b):
+        on = (F.col("b.id") < F.col("a.id")) & _may_meet("a", "b", t)
+        pairs = a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+        return _near(pairs, first, first, t)
+
+    def near_earlier(a, b):
+        soon = cut_lineage(near(a, _heads(b)))
+        return soon.union(near(a.join(soon, "id", "left_anti"), b))
+
+    dropped = greedy_rounds(undecided, near_earlier, lambda rows, ids: rows.join(ids, "id", "left_anti"))
+    return decided(sets, first, dropped).unionByName(blank)

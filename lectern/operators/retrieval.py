@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from lectern.functions.text import let, or_default, words
 from lectern.functions.vectors import word_set
+from lectern.operators.dense import DenseIndex
 from lectern.operators.joins import left_join_present
+from lectern.operators.postings import WordIndex
 from lectern.operators.topk import Search, top_k
 
 
@@ -23,17 +25,25 @@ def _chunk_vectors(stored: str | None):
     )
 
 
+def chunk_index(chunks: DataFrame, vector: str | None = None, path: str | None = None) -> WordIndex:
+    """An inverted index over chunks, for any number of later searches."""
+    return WordIndex.build(chunks.select(*_chunk_vectors(vector)), path)
+
+
 def relevant_chunks(
-    chunks: DataFrame, asks: DataFrame, k: int = 3, vector: str | None = None, kind: str = "cosine"
+    chunks: DataFrame, asks: DataFrame, k: int = 3, vector: str | None = None, kind: str = "cosine",
+    index: WordIndex | None = None,
 ) -> DataFrame:
     """Best k chunks of the whole corpus per ``asks(ask_id, question)``:
     ``(ask_id, rank, document_id, chunk_index, similarity)``.
 
     ``vector`` names a column that both sides hold, made by any embedder and stored beside the
-    text; ``kind`` is ``dense`` for dense ones. Without it word sets are made for this search."""
-    corpus = chunks.select(*_chunk_vectors(vector))
+    text; ``kind`` is ``dense`` for dense ones. Without it word sets are made for this search.
+    With ``index``, as made by :func:`chunk_index`, the chunks themselves are not read."""
     queries = asks.select(F.col("ask_id").alias("query_id"), _vector("question", vector))
-    return _chunk_hits(top_k(corpus, queries, Search(kind, k)))
+    if index is not None:
+        return _chunk_hits(index.top_k(queries, Search(kind, k)))
+    return _chunk_hits(top_k(chunks.select(*_chunk_vectors(vector)), queries, Search(kind, k)))
 
 
 def scoped_chunks(
@@ -63,9 +73,10 @@ def _chunk_hits(found: DataFrame) -> DataFrame:
     )
 
 
-def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """Exact cosine top-k over given dense vectors: ``(query_id, corpus_id, score, rank)``."""
-    return top_k(corpus, queries, Search("dense", k))
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, index: DenseIndex | None = None) -> DataFrame:
+    """Exact cosine top-k over given dense vectors: ``(query_id, corpus_id, score, rank)``. With ``index``
+    only blocks that may hold a match are read, and ``corpus`` not at all."""
+    return index.top_k(queries, k) if index is not None else top_k(corpus, queries, Search("dense", k))
 
 
 def _kb_view(kb: DataFrame) -> DataFrame:
@@ -105,12 +116,17 @@ def knowledge_matches(
     return _attach_kb(found.where(F.col("score") >= min_similarity), kb)
 
 
-def knowledge_keyword_matches(kb: DataFrame, asks: DataFrame, limit: int = 3) -> DataFrame:
-    """Best ``limit`` rows by the number of distinct words shared with the question."""
-    vector = word_set(F.col("question")).alias("vector")
-    corpus = kb.select(F.col("id").alias("corpus_id"), vector)
-    queries = asks.select(F.col("ask_id").alias("query_id"), vector)
-    return _attach_kb(top_k(corpus, queries, Search("overlap", limit, positive=True)), kb)
+def keyword_index(kb: DataFrame, path: str | None = None) -> WordIndex:
+    """An inverted index over the questions of the base."""
+    return WordIndex.build(kb.select(F.col("id").alias("corpus_id"), word_set(F.col("question")).alias("vector")), path)
+
+
+def knowledge_keyword_matches(kb: DataFrame, asks: DataFrame, limit: int = 3, index: WordIndex | None = None) -> DataFrame:
+    """Best ``limit`` rows by the number of distinct words shared with the question, from the inverted index
+    of the base, which is made here if none is given."""
+    queries = asks.select(F.col("ask_id").alias("query_id"), word_set(F.col("question")).alias("vector"))
+    found = (index or keyword_index(kb)).top_k(queries, Search("overlap", limit, positive=True))
+    return _attach_kb(found, kb)
 
 
 def with_user(requests: DataFrame, users: DataFrame) -> DataFrame:

@@ -27,20 +27,24 @@ def demux(transcripts: DataFrame, text: str = "transcript") -> DataFrame:
 
 
 def ordered_concat(
-    rows: DataFrame, key: str, order: str, text: str, out: str, segment_rows: int = 10_000
+    rows: DataFrame, key: str, order: str, text: str, out: str, segment_rows: int = 10_000, stop: Column | None = None
 ) -> DataFrame:
     """Texts of a key joined in order, in two steps: segments of the order first, then one
-    short list of segments per key. The heavy step spreads even when one key is large."""
+    short list of segments per key. The heavy step spreads even when one key is large. NULL texts add
+    nothing. With ``stop`` a key ends before the first place in order that has a row where it holds."""
+    row = F.struct(F.col(order).alias("o"), F.col(text).alias("t"))
+    halt = F.lit(None).cast("bigint") if stop is None else F.when(stop, F.col(order))
     parts = (
         rows.withColumn("_seg", F.floor(F.col(order) / segment_rows))
         .groupBy(key, "_seg")
-        .agg(F.array_join(
-            F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))["t"], ""
-        ).alias("_text"))
-    )
-    return parts.groupBy(key).agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("_seg", "_text")))["_text"], "").alias(out)
+        .agg(F.sort_array(F.collect_list(row)).alias("_rows"), F.min(halt).alias("_stop"))
     )
+    live = F.col("_rows") if stop is None else F.filter("_rows", lambda r: F.col("_stop").isNull() | (r["o"] < F.col("_stop")))
+    parts = parts.select(key, "_seg", "_stop", F.array_join(F.transform(live, lambda r: r["t"]), "").alias("_text"))
+    found = parts.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("_seg", "_text"))).alias("_parts"), F.min(F.when(F.col("_stop").isNotNull(), F.col("_seg"))).alias("_last"))
+    kept = F.filter("_parts", lambda p: F.col("_last").isNull() | (p["_seg"] <= F.col("_last")))
+    return found.select(key, F.array_join(F.transform(kept, lambda p: p["_text"]), "").alias(out))
 
 
 def _token(line: Column, path: str) -> Column:
@@ -48,21 +52,20 @@ def _token(line: Column, path: str) -> Column:
 
 
 def ndjson_answers(log: DataFrame) -> DataFrame:
-    """``(request_id, seq, line)`` of JSON lines to one answer per request; bad lines are skipped."""
+    """``(request_id, seq, line)`` of JSON lines to one answer per request; bad lines are skipped,
+    and requests without a token."""
     tokens = log.select("request_id", "seq", _token(F.col("line"), ".response").alias("token"))
-    return ordered_concat(tokens.where(F.col("token") != ""), "request_id", "seq", "token", "answer")
+    return ordered_concat(tokens, "request_id", "seq", "token", "answer").where(F.col("answer") != "")
 
 
 def sse_answers(log: DataFrame) -> DataFrame:
-    """The same for ``data: `` lines, which count up to the first ``[DONE]``."""
+    """The same for ``data: `` lines, which count up to the first ``[DONE]``. One pass, one aggregate."""
     data = trim_ws(F.substring("line", 7, 1 << 30))
     events = log.where(F.startswith("line", F.lit("data: "))).select("request_id", "seq", data.alias("data"))
-    done = events.where(F.col("data") == "[DONE]").groupBy("request_id").agg(F.min("seq").alias("done_at"))
-    live = events.join(done, "request_id", "left").where(
-        F.col("done_at").isNull() | (F.col("seq") < F.col("done_at"))
-    )
-    tokens = live.select("request_id", "seq", _token(F.col("data"), ".choices[0].delta.content").alias("token"))
-    return ordered_concat(tokens.where(F.col("token") != ""), "request_id", "seq", "token", "answer")
+    done = F.col("data") == "[DONE]"
+    token = F.when(~done, _token(F.col("data"), ".choices[0].delta.content"))
+    tokens = events.select("request_id", "seq", done.alias("done"), token.alias("token"))
+    return ordered_concat(tokens, "request_id", "seq", "token", "answer", stop=F.col("done")).where(F.col("answer") != "")
 
 
 def export_blocks(messages: DataFrame) -> DataFrame:

@@ -142,6 +142,20 @@ def _greedy(items):
     kept AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM replay ORDER BY n DESC LIMIT 1))"""
 
 
+def _dense_greedy(items):
+    """The same over dense vectors ``items(id, e)``."""
+    near = """near AS MATERIALIZED (SELECT a.n, b.id AS other FROM items a JOIN items b ON b.n < a.n
+             WHERE list_cosine_similarity(a.e, b.e) > 0.92),"""
+    plain = _greedy(items)
+    return plain[:plain.index("ix AS")] + near + plain[plain.index("    ordered AS"):]
+
+
+def _turned(e, share, size="64"):
+    return f"list_transform(range(1, {size} + 1), lambda i: {share} * {e}[i] + 0.3 * {e}[i % {size} + 1])"
+
+
+VECTORS = "vs AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
 AUTO = f"""good AS (SELECT *, {_set('question')} AS w FROM v_chat WHERE ({GATE}) IS NULL),
     q AS (SELECT id AS qid, w AS qw FROM good), c AS (SELECT id AS cid, {_set('question')} AS cw FROM v_kb),
     {SCORED.format(extra='')},
@@ -296,6 +310,20 @@ def _build():
         SELECT DISTINCT qid AS id FROM scored WHERE sim > 0.92""")
     _add("greedy_dedupe", ["docs"], f"""WITH RECURSIVE {_greedy("SELECT id, " + _set('content') + " AS w FROM v_docs")}
         SELECT id, id IN (SELECT id FROM kept) AS kept FROM items""")
+    _add("vector_near_dup", [], f"""WITH {VECTORS}, changed AS (
+            SELECT id, CASE id % 3 WHEN 0 THEN {_turned('e', 0.95)} WHEN 1 THEN {_turned('e', 0.0)} ELSE e END AS e FROM vs)
+        SELECT DISTINCT c.id FROM changed c JOIN vs ON list_cosine_similarity(c.e, vs.e) > 0.92""")
+    _add("vector_dedupe", [], f"""WITH RECURSIVE {VECTORS}, second AS (SELECT id, e, {_turned('e', 0.95)} AS b FROM vs),
+        three AS (SELECT 3 * id AS id, e FROM vs UNION ALL SELECT 3 * id + 1, b FROM second
+                  UNION ALL SELECT 3 * id + 2, {_turned('b', 0.95)} FROM second),
+        {_dense_greedy("SELECT id, e FROM three")} SELECT id, id IN (SELECT id FROM kept) AS kept FROM items""")
+    _add("auto_save_vectors", ["chat", "kb"], f"""WITH RECURSIVE {VECTORS},
+        good AS (SELECT c.*, vs.e FROM v_chat c JOIN vs ON vs.id = c.id % (SELECT count(*) FROM vs) WHERE ({GATE}) IS NULL),
+        base AS (SELECT DISTINCT {_turned('e', 0.95)} AS b FROM v_kb k JOIN vs ON vs.id = k.id % (SELECT count(*) FROM vs)),
+        known AS (SELECT DISTINCT g.id FROM good g JOIN base ON list_cosine_similarity(g.e, b) > 0.92),
+        {_dense_greedy("SELECT id, e FROM good WHERE id NOT IN (SELECT id FROM known)")}
+        SELECT id AS chat_history_id, question, answer AS original_answer, answer AS corrected_answer, ts_s AS created_at,
+               '' AS context_text, 'auto-query' AS corrected_by, 1 AS usage_count FROM v_chat WHERE id IN (SELECT id FROM kept)""")
     auto = AUTO
     _add("auto_save", ["chat", "kb"], f"""WITH RECURSIVE {auto}
         SELECT id AS chat_history_id, question, answer AS original_answer, answer AS corrected_answer, ts_s AS created_at,
@@ -500,6 +528,7 @@ def _build():
                  WHEN 'blank_text' THEN 'Uploaded text file is empty.' END AS error,
             count(*) AS n_files, (sum(CASE WHEN error_code IS NULL THEN coalesce(n, 0) END)::BIGINT)::VARCHAR AS n_chunks
         FROM extracted LEFT JOIN counted USING (id) GROUP BY ALL""")
+    ORACLE["vector_topk_indexed"] = ORACLE["vector_topk"]
 
 
 _build()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import markers, text
 from lectern.functions.vectors import word_set
 from lectern.operators import (
-    changes, chunking, context, feedback, knowledge, neardup, retrieval, transcripts,
+    changes, chunking, context, dense, feedback, knowledge, neardup, retrieval, transcripts,
 )
 from lectern.plans.views import Tables
 from lectern.session import scratch_path
@@ -130,6 +130,55 @@ def vector_topk(t):
     return found.select("query_id", "rank", "corpus_id", F.round("score", 5).alias("score"))
 
 
+def _turned(share):
+    """A vector blended with itself turned by one place, so that it is near the vector it was made of."""
+    e = F.col("vector")
+    turned = F.concat(F.slice(e, F.lit(2), F.size(e)), F.slice(e, 1, 1))
+    return F.zip_with(e, turned, lambda a, b: F.lit(share) * a + F.lit(0.3) * b)
+
+
+def _vectors(t):
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query
+def vector_topk_indexed(t):
+    """As vector_topk, from a stored index that skips blocks."""
+    vectors = _vectors(t)
+    found = retrieval.vector_top_k(vectors, vectors.withColumnRenamed("id", "query_id"), k=3, index=dense.DenseIndex.build(vectors))
+    return found.select("query_id", "rank", "corpus_id", F.round("score", 5).alias("score"))
+
+
+@query
+def vector_near_dup(t):
+    """Vectors, some blended, some turned, that a vector of the table is near to."""
+    third = F.col("id") % 3
+    changed = F.when(third == 0, _turned(0.95)).when(third == 1, _turned(0.0)).otherwise(F.col("vector"))
+    return dense.dense_near_existing(_vectors(t).withColumn("vector", changed), dense.DenseIndex.build(_vectors(t)))
+
+
+@query
+def vector_dedupe(t):
+    """First-come suppression over vectors, blends of them and blends of the blends."""
+    first = _vectors(t).withColumn("id", 3 * F.col("id"))
+    second = first.select((F.col("id") + 1).alias("id"), _turned(0.95).alias("vector"))
+    third = second.select((F.col("id") + 1).alias("id"), _turned(0.95).alias("vector"))
+    return dense.dense_greedy_keep(first.unionByName(second).unionByName(third))
+
+
+@query
+def auto_save_vectors(t):
+    """As auto_save, with questions compared by dense vectors of the embeddings table."""
+    vectors = _vectors(t)
+    n = vectors.count()
+    own = vectors.select(F.col("id").alias("vec"), "vector")
+    near = vectors.select(F.col("id").alias("vec"), _turned(0.95).alias("vector"))
+    chat = _chat(t).withColumn("vec", F.col("id") % n).join(own, "vec")
+    kb = _kb(t).withColumn("vec", F.col("id") % n).join(near, "vec")
+    saved = knowledge.auto_save(chat, kb, vector="vector").withColumn("created_at", F.unix_seconds("created_at"))
+    return saved.drop("id", "vector")
+
+
 @query
 def kb_semantic_topk(t):
     return retrieval.knowledge_matches(_kb(t), _asks(t))

@@ -198,3 +198,32 @@ def test_new_rows_are_whole_knowledge_rows(spark):
     assert [r["question"] for r in knowledge.search(grown, "storks").collect()] == ["where do storks nest"]
     again = knowledge.auto_save(chat, kb).collect()
     assert [r["id"] for r in again] == [r["id"] for r in rows if r["chat_history_id"] == 7]
+
+
+def test_qa_pairs_of_one_long_text_take_linear_time(spark):
+    raw = "\n".join(f"Q: question {i}\nA: answer {i}\nmore" for i in range(40_000))
+    df = spark.createDataFrame([(raw,)], "s STRING").select(F.explode(markers.qa_pairs(C)).alias("p"))
+    assert df.where("p.answer LIKE 'answer % more'").count() == 40_000
+
+
+def test_strict_json_is_one_whole_value(evaluate):
+    mark = markers.END_MARK
+    cases = {'{"response": "x"}': "x", '{"response": "x"} ': "x", '{"response": "x"}]': None, '{"response": "x"}, 1': None, '{"response": "x"}{"v":[1': None,
+             f'{{"response": "x"}},"{mark}"]': None, f'{{"response": "{mark}"}}': mark, f'{{"response": "x"}},"{mark}"] junk': None, "": None, "x": None,
+             '[{"response": "x"}': None, '{"response": 5}': "5", f'{{"response": "x"}}]}}{{"v":["{mark}"': None}
+    for text, want in cases.items():
+        assert evaluate(markers.strict_json(C, ".response", "string"), s=text) == want, text
+
+
+def test_event_log_stops_at_the_first_done_in_any_segment(spark):
+    def data(text):
+        return "data: " + json.dumps({"choices": [{"delta": {"content": text}}]})
+
+    rows = [("a", i, data(f"{i} ")) for i in range(30)] + [("a", 12, "data: [DONE]"), ("a", 25, "data:  [DONE] ")]
+    rows += [("b", 0, "data: [DONE]"), ("b", 1, data("late"))] + [("c", i, data("x") if i != 7 else ": note") for i in range(9)] + [("d", 3, "data: {")]
+    log = spark.createDataFrame(rows, "request_id STRING, seq BIGINT, line STRING")
+    want = {"a": "".join(f"{i} " for i in range(12)), "c": "x" * 8}
+    assert {r["request_id"]: r["answer"] for r in transcripts.sse_answers(log).collect()} == want
+    events = log.select("request_id", "seq", F.expr("substring(line, 7)").alias("data")).withColumn("done", F.trim("data") == "[DONE]")
+    cut = transcripts.ordered_concat(events, "request_id", "seq", "data", "out", segment_rows=5, stop=F.col("done"))
+    assert {r["request_id"]: r["out"].count("choices") for r in cut.collect()} == {"a": 12, "b": 0, "c": 8, "d": 0}

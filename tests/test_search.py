@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lectern.functions import vectors
 from lectern.functions.vectors import word_set
 from lectern.operators import neardup, retrieval
-from lectern.operators.embedding import ColumnEmbedder, DenseWordSets, GivenVectors
+from lectern.operators.embedding import ColumnEmbedder, DenseWordSets, GivenVectors, ModelEmbedder
+from lectern.operators.postings import WordIndex
 from lectern.operators.topk import Limits, Search, top_k
 
 
@@ -211,3 +212,47 @@ def test_stored_vectors_give_the_same_matches(spark):
     dense = DenseWordSets(64)
     found = retrieval.relevant_chunks(dense.transform(chunks, "chunk_text", "e"), dense.transform(asks, "question", "e"), vector="e", kind="dense")
     assert found.count() == 24
+
+
+def test_model_embedder_falls_back_text_by_text(spark):
+    """Batches that raise or answer with a wrong count are asked for one by one."""
+    def load():
+        def model(texts):
+            if any("boom" in t for t in texts):
+                raise RuntimeError("no")
+            if len(texts) > 1 and any("short" in t for t in texts):
+                return [[1.0, 2.0]] * (len(texts) - 1)
+            return [[1.0, 2.0, 3.0] if "wide" in t else [float("nan"), 1.0] if "nan" in t else "bad" if "odd" in t else [float(len(t)), float(len(texts))] for t in texts]
+        return model
+
+    texts = ["a", "boom", None, "cc", "short", "wide", "nan", "odd", "", "dd", "ee", "ff", "gg", "hh"]
+    df = spark.createDataFrame([(i, t, f"x{i}") for i, t in enumerate(texts)], "id BIGINT, t STRING, extra STRING").coalesce(1)
+    made = ModelEmbedder(load, 2, batch_rows=4).transform(df, "t", "v")
+    assert made.columns == ["id", "t", "extra", "v", "embed_failed"]
+    got = {r["id"]: (r["v"], r["embed_failed"], r["extra"]) for r in made.collect()}
+    bad = {1, 2, 5, 6, 7}
+    assert {i for i, r in got.items() if r[1]} == bad == {i for i, r in got.items() if r[0] is None}
+    assert got[0][0] == [1.0, 1.0] and got[4][0] == [5.0, 1.0] and got[8][0] == [0.0, 4.0] and got[13][0] == [2.0, 2.0]
+    assert all(r[2] == f"x{i}" for i, r in got.items())
+    assert ModelEmbedder(load, 2).transform(made, "t", "v").columns == made.columns
+    assert ModelEmbedder(load, 2).transform(df.limit(0), "t", "v").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["cosine", "overlap"])
+@pytest.mark.parametrize("hot", [20_000, 7])
+def test_word_index_equals_the_scan(spark, tmp_path, kind, hot):
+    rng = random.Random(31)
+    word = lambda: min(int(rng.paretovariate(0.5)), 400)
+    corpus = [(i % 150, i // 150, sorted({word() for _ in range(rng.randint(0, 40))})) for i in range(600)]
+    queries = [(i, sorted({word() for _ in range(rng.randint(0, 14))} | ({9_000 + i} if i % 3 == 0 else set()))) for i in range(120)]
+    queries += [(500, [7_777]), (501, [])]
+    corpus = spark.createDataFrame(corpus, "corpus_id BIGINT, corpus_part BIGINT, vector ARRAY<BIGINT>")
+    queries = spark.createDataFrame(queries, "query_id BIGINT, vector ARRAY<BIGINT>")
+    index = WordIndex.build(corpus, f"{tmp_path}/index", most_k=5, hot=hot)
+    for k, positive in ((1, False), (4, False), (3, True)):
+        search = Search(kind, k, positive=positive)
+        rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "rank", "corpus_id", "corpus_part", "score").collect())
+        assert rows(index.top_k(queries, search)) == rows(top_k(corpus, queries, search))
+    none = WordIndex.build(corpus.limit(0), f"{tmp_path}/none")
+    assert none.top_k(queries, Search(kind, 2)).count() == 0
+    assert (index.postings.agg(F.max("salt")).first()[0] > 0) == (hot == 7)

@@ -110,3 +110,11 @@ def test_trim_takes_no_time_for_blanks_inside(spark):
     got = [r[0] for r in rows.select(text.trim_ws(F.col("x"))).collect()]
     assert got == [inside, "\ufeffx", "", None] and time.time() - start < 20
     assert rows.select(text.trim_ws(F.col("x"), text.JS_WS)).collect()[1][0] == "x"
+
+
+def test_names_that_end_in_very_many_slashes(evaluate):
+    clean = text.sanitize_filename(F.col("s"))
+    for tail in ("/." * 200_000, "/" * 400_000, "/./" * 100_000, "//." * 100_000):
+        assert evaluate(clean, s="up/name.txt" + tail) == "name.txt"
+    assert evaluate(clean, s="/." * 100_000 + "x") == ".x"
+    assert evaluate(clean, s="a/..") == ".." and evaluate(clean, s="a/./b.md/.") == "b.md" and evaluate(clean, s="/" * 9) == "untitled"
