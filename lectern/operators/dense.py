@@ -186,16 +186,17 @@ class DenseIndex:
         return _ranked(found.unionByName(self._cells(self.rows, more, best, _OUT)), k)
 
     def near(self, items: DataFrame, rows: DataFrame, threshold: float, earlier: bool = False) -> DataFrame:
-        """The ids of ``items(id, part, vector)`` that some of the index's ``rows`` is above the threshold to;
-        with ``earlier`` only rows of smaller id count."""
+        """``(a, b)`` once for every row ``a`` of ``items(id, part, vector)`` that one of the index's ``rows`` is above
+        the threshold to, ``b`` the one of lowest id; with ``earlier`` only rows of smaller id count."""
         def flag(rows: pa.Table, items: pa.Table) -> pa.Table:
-            return pa.table({"id": pa.array(_near_in_cell(rows, items, threshold, earlier), pa.int64())})
+            a, b = _near_in_cell(rows, items, threshold, earlier)
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         blocks = self.blocks
         visits = _visiting(
             items.select("id", "part", "vector", F.lit(threshold).alias("least")),
             lambda q, least: [np.flatnonzero(m) for m in blocks.open_blocks(q, least)])
-        return self._cells(rows, cut_lineage(visits), flag, "id BIGINT").distinct()
+        return self._cells(rows, cut_lineage(visits), flag, "a BIGINT, b BIGINT").groupBy("a").agg(F.min("b").alias("b"))
 
 
 def _visiting(queries: DataFrame, choose) -> DataFrame:
@@ -230,20 +231,21 @@ def _best_of_cell(rows: pa.Table, queries: pa.Table, search: Search) -> pa.Table
     return pa.Table.from_batches([best.result()])
 
 
-def _near_in_cell(rows: pa.Table, items: pa.Table, threshold: float, earlier: bool) -> np.ndarray:
-    """Ids of the items that a row is above the threshold to. Some leading dimensions come first: their product
-    and those of the rests' lengths bound the cosine, and only items with a pair the bound leaves are compared in full."""
+def _near_in_cell(rows: pa.Table, items: pa.Table, threshold: float, earlier: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the items that a row is above the threshold to, and of the first such row. Some leading dimensions come
+    first: their product and those of the rests' lengths bound the cosine, and only pairs the bound leaves are compared in full."""
     if not rows.num_rows or not items.num_rows:
-        return np.zeros(0, np.int64)
-    a, b = _dense_rows(items), _dense_rows(rows)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(_numbers(rows, "id"), kind="stable")
+    a, b = _dense_rows(items), _dense_rows(rows)[order]
     if a.shape[1] != b.shape[1]:
         raise ValueError("vectors differ in dimension")
     norm_a, norm_b = (np.sqrt((x**2).sum(axis=1)) for x in (a, b))
-    ids, others = _numbers(items, "id"), _numbers(rows, "id")
+    ids, others = _numbers(items, "id"), _numbers(rows, "id")[order]
     lead = max(1, a.shape[1] // 4)
     rest_a, rest_b = (np.sqrt((x[:, lead:] ** 2).sum(axis=1)) / n for x, n in ((a, norm_a), (b, norm_b)))
     head_b = b[:, :lead] / norm_b[:, None]
-    found = np.zeros(len(a), bool)
+    found = np.full(len(a), len(b))
     step = max(1, 4_000_000 // len(b))
     for at in range(0, len(a), step):
         part = slice(at, at + step)
@@ -256,11 +258,13 @@ def _near_in_cell(rows: pa.Table, items: pa.Table, threshold: float, earlier: bo
             for k in range(0, len(row), 500_000):
                 r, o = row[k:k + 500_000], other[k:k + 500_000]
                 above = np.einsum("ij,ij->i", a[part][r], b[o]) / (norm_a[part][r] * norm_b[o]) > threshold
-                found[at + r[above]] = True
+                np.minimum.at(found, at + r[above], o[above])
         else:
             cosine = (a[part] @ b.T) / np.multiply.outer(norm_a[part], norm_b)
-            found[part] = ((cosine > threshold) & may).any(axis=1)
-    return ids[found]
+            hit = (cosine > threshold) & may
+            found[part] = np.where(hit.any(axis=1), hit.argmax(axis=1), len(b))
+    near = found < len(b)
+    return ids[near], others[found[near]]
 
 
 def _firsts(rows: DataFrame) -> DataFrame:
@@ -275,8 +279,9 @@ def dense_near_existing(items: DataFrame, index: DenseIndex, threshold: float =
     Items are first held against a few rows of each block, which settles most of a large group of near copies."""
     asked = cut_lineage(items.where(usable("vector")).select(
         F.col("id").cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("part"), F.col("vector").cast("array<double>").alias("vector")))
-    soon = cut_lineage(index.near(asked, _firsts(index.rows), threshold))
-    return soon.union(index.near(asked.join(soon, "id", "left_anti"), index.rows, threshold))
+    near = lambda a, b: index.near(a, b, threshold).select(F.col("a").alias("id"))
+    soon = cut_lineage(near(asked, _firsts(index.rows)))
+    return soon.union(near(asked.join(soon, "id", "left_anti"), index.rows)).distinct()
 
 
 def dense_greedy_keep(items: DataFrame, threshold: float = 0.92, cell_rows: int = CELL_ROWS, centres: int | None = None) -> DataFrame:
@@ -293,7 +298,8 @@ def dense_greedy_keep(items: DataFrame, threshold: float = 0.92, cell_rows: int
 
     def near_earlier(a, b):
         soon = cut_lineage(index.near(a, _firsts(b), threshold, earlier=True))
-        return soon.union(index.near(a.join(soon, "id", "left_anti"), b, threshold, earlier=True))
+        others = a.join(soon.select(F.col("a").alias("id")), "id", "left_anti")
+        return soon.union(index.near(others, b, threshold, earlier=True))
 
-    dropped = greedy_rounds(index.rows, near_earlier, lambda rows, ids: rows.join(ids, "id", "left_anti"))
+    dropped = greedy_rounds(index.rows, near_earlier)
     return decided(good, firsts, dropped).unionByName(blank)

@@ -66,31 +66,27 @@ def prefixes(items: DataFrame, ranks: DataFrame, t: Fraction, hot: int = HOT) ->
     later one of the prefix and one more; sets so small that an overlap of one may do for a
     partner are keyed by the feature alone too (``second`` NULL).
     """
+    vector = F.col("vector")
+    sized = items.select("id", F.size("vector").alias("size"), _signature(vector, 0).alias("sig0"), _signature(vector, 1).alias("sig1"), "vector")
+    size, entry = F.col("size"), F.struct(F.col("count").alias("n"), F.col("feature").alias("f"))
     ordered = (
-        items.select("id", F.explode("vector").alias("feature"))
-        .join(ranks, "feature", "left")
-        .groupBy("id")
-        .agg(
-            F.sort_array(F.collect_list(
-                F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("feature").alias("f"))
-            )).alias("features")
-        )
-        .withColumn("vector", F.col("features.f"))
-        .withColumns({"sig0": _signature(F.col("vector"), 0), "sig1": _signature(F.col("vector"), 1)})
+        sized.select("id", "size", "sig0", "sig1", F.explode("vector").alias("feature")).join(ranks, "feature")
+        .groupBy("id", "size", "sig0", "sig1").agg(F.sort_array(F.collect_list(entry)).alias("features"))
     )
-    size = F.size("features")
     least = _at_least(size, t * t)
+    before = size - F.size("features")  # features without a rank
     as_large = size - least + 1
     as_small = size - _at_least(size, t) + 1
     alone = (size <= F.lit(float(1 / t) ** 4 + 1e-6)) | (least < 2)
     rows = (
-        ordered.withColumns({"size": size, "least": least, "as_large": as_large, "as_small": as_small, "alone": alone})
-        .withColumn("ends", F.slice("features", F.lit(1), as_large + 1))
-        .select("*", F.posexplode(F.slice("features", F.lit(1), as_large)).alias("pos", "e"))
-        .where("e.n > 0")
+        ordered.withColumns({"least": least, "as_large": as_large, "as_small": as_small, "alone": alone, "before": before})
+        .where(F.col("as_large") > F.col("before"))
+        .withColumn("ends", F.slice("features", F.lit(1), F.col("as_large") - F.col("before") + 1))
+        .select("*", F.posexplode(F.slice("features", F.lit(1), F.col("as_large") - F.col("before"))).alias("at", "e"))
+        .withColumn("pos", F.col("before") + F.col("at"))
     )
     is_hot = F.col("e.n") > hot
-    later = F.transform(F.slice("ends", F.col("pos") + 2, F.size("ends")), lambda x: x["f"])
+    later = F.transform(F.slice("ends", F.col("at") + 2, F.size("ends")), lambda x: x["f"])
     none = F.array(F.lit(None).cast("bigint"))
     seconds = (
         F.when(~is_hot | (F.col("least") < 2), none)
@@ -114,13 +110,18 @@ def _may_meet(a: str, b: str, t: Fraction) -> Column:
     return key & roles & _above(F.least(sa, sb, placed, signed.cast("int")), sa, sb, t)
 
 
-def _near(pairs: DataFrame, left: DataFrame, right: DataFrame, t: Fraction) -> DataFrame:
-    """The ids ``a`` of candidate pairs (a, b) that are near, by the vectors of both sides."""
+def _near(a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame, t: Fraction, earlier: bool = False) -> DataFrame:
+    """Pairs ``(a, b)`` of prefix rows that are near, by the vectors of both sides, which are fetched for
+    candidates alone; with ``earlier`` only pairs in which b has the smaller id."""
+    on = _may_meet("a", "b", t)
+    if earlier:
+        on = (F.col("b.id") < F.col("a.id")) & on
+    pairs = a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     ours = left.select(F.col("id").alias("a"), F.col("vector").alias("x"))
     theirs = right.select(F.col("id").alias("b"), F.col("vector").alias("y"))
     overlap = F.size(F.array_intersect("x", "y"))
     met = pairs.join(ours, "a").join(theirs, "b")
-    return met.where(_above(overlap, F.size("x"), F.size("y"), t)).select(F.col("a").alias("id")).distinct()
+    return met.where(_above(overlap, F.size("x"), F.size("y"), t)).select("a", "b")
 
 
 def _heads(prefix: DataFrame) -> DataFrame:
@@ -138,34 +139,37 @@ def near_existing(items: DataFrame, existing: DataFrame, threshold: float = 0.92
     t = Fraction(str(threshold))
     items = items.where(F.size("vector") > 0).select("id", "vector")
     existing = existing.where(F.size("vector") > 0).select("vector").distinct()
-    existing = cut_lineage(existing.withColumn("id", F.md5(F.array_join(F.col("vector").cast("array<string>"), ","))))
+    existing = cut_lineage(existing.withColumn("id", F.monotonically_increasing_id()))
     ranks = _feature_ranks(existing, 1)
     left = cut_lineage(prefixes(items, ranks, t, hot))
-    right = cut_lineage(prefixes(existing, ranks, t, hot))
-
-    def near(a, b):
-        pairs = a.alias("a").join(b.alias("b"), _may_meet("a", "b", t)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-        return _near(pairs, items, existing, t)
-
+    right = prefixes(existing, ranks, t, hot)
+    near = lambda a, b: _near(a, b, items, existing, t).select(F.col("a").alias("id")).distinct()
     soon = cut_lineage(near(left, _heads(right)))
     return soon.union(near(left.join(soon, "id", "left_anti"), right))
 
 
-def greedy_rounds(undecided: DataFrame, near_earlier, drop) -> list[DataFrame]:
-    """The ids dropped in each round of first-come suppression, until no row is undecided.
+def greedy_rounds(undecided: DataFrame, near_earlier) -> list[DataFrame]:
+    """The ids dropped in each round of first-come suppression over rows ``(id, …)``, until none is undecided.
 
-    ``near_earlier(a, b)`` gives the ids of ``a`` that an earlier row of ``b`` is near to; ``drop(rows,
-    ids)`` takes rows away. Rows without an undecided earlier neighbour stay, and the rows near
-    them go.
+    ``near_earlier(a, b)`` gives pairs ``(a, b)``, at least one for every row of ``a`` that an earlier row of
+    ``b`` is near to. Rows without an undecided earlier neighbour stay, and the rows near them go:
+    first those whose known neighbour stays, then those that have another one there.
     """
+    less = lambda rows, ids: rows.join(ids, "id", "left_anti")
     dropped = []
     while not undecided.isEmpty():
-        held = cut_lineage(near_earlier(undecided, undecided))
-        stays = drop(undecided, held)
-        rest = undecided.join(held, "id", "left_semi")
-        gone = cut_lineage(near_earlier(rest, stays))
+        pairs = cut_lineage(near_earlier(undecided, undecided))
+        held = pairs.select(F.col("a").alias("id")).distinct()
+        kept = undecided.select("id").distinct().join(held, "id", "left_anti")
+        gone = cut_lineage(pairs.join(kept.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct())
         dropped.append(gone)
-        undecided = cut_lineage(drop(rest, gone))
+        rest = cut_lineage(less(undecided.join(held, "id", "left_semi"), gone))
+        if rest.isEmpty():
+            break
+        stays = less(undecided, held)
+        gone = cut_lineage(near_earlier(rest, stays).select(F.col("a").alias("id")).distinct())
+        dropped.append(gone)
+        undecided = cut_lineage(less(rest, gone))
     return dropped
 
 
@@ -193,14 +197,10 @@ def greedy_keep(items: DataFrame, threshold: float = 0.92, hot: int = HOT) -> Da
     first = cut_lineage(sets.groupBy("vector").agg(F.min("id").alias("id")))
     undecided = cut_lineage(prefixes(first, _feature_ranks(first, 2), t, hot))
 
-    def near(a, b):
-        on = (F.col("b.id") < F.col("a.id")) & _may_meet("a", "b", t)
-        pairs = a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-        return _near(pairs, first, first, t)
-
     def near_earlier(a, b):
-        soon = cut_lineage(near(a, _heads(b)))
-        return soon.union(near(a.join(soon, "id", "left_anti"), b))
+        soon = cut_lineage(_near(a, _heads(b), first, first, t, earlier=True))
+        others = a.join(soon.select(F.col("a").alias("id")), "id", "left_anti")
+        return soon.union(_near(others, b, first, first, t, earlier=True))
 
-    dropped = greedy_rounds(undecided, near_earlier, lambda rows, ids: rows.join(ids, "id", "left_anti"))
+    dropped = greedy_rounds(undecided, near_earlier)
     return decided(sets, first, dropped).unionByName(blank)

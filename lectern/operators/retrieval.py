@@ -122,11 +122,13 @@ def keyword_index(kb: DataFrame, path: str | None = None) -> WordIndex:
 
 
 def knowledge_keyword_matches(kb: DataFrame, asks: DataFrame, limit: int = 3, index: WordIndex | None = None) -> DataFrame:
-    """Best ``limit`` rows by the number of distinct words shared with the question, from the inverted index
-    of the base, which is made here if none is given."""
-    queries = asks.select(F.col("ask_id").alias("query_id"), word_set(F.col("question")).alias("vector"))
-    found = (index or keyword_index(kb)).top_k(queries, Search("overlap", limit, positive=True))
-    return _attach_kb(found, kb)
+    """Best ``limit`` rows by the number of distinct words shared with the question. With ``index``, as made by
+    :func:`keyword_index`, only postings of the asks' words are read."""
+    vector, search = word_set(F.col("question")).alias("vector"), Search("overlap", limit, positive=True)
+    queries = asks.select(F.col("ask_id").alias("query_id"), vector)
+    if index is not None:
+        return _attach_kb(index.top_k(queries, search), kb)
+    return _attach_kb(top_k(kb.select(F.col("id").alias("corpus_id"), vector), queries, search), kb)
 
 
 def with_user(requests: DataFrame, users: DataFrame) -> DataFrame:

@@ -458,8 +458,7 @@ def _build():
                CASE WHEN error_code IS NULL THEN least(length(full_text), 300000)::VARCHAR END AS char_count,
                coalesce(error_code IS NULL AND length(full_text) > 300000, false) AS truncated, error_code FROM b""")
     _add("pdf_ingest", ["docs"], f"""WITH {pages}, {UPLOADS},
-        timed AS (SELECT *, CASE WHEN document_id % 39 = 0 THEN 200 WHEN document_id % 65 = 0 THEN 149 ELSE 1 END AS times FROM paged
-                  WHERE document_id % 39 = 0 OR document_id % 65 <> 0 OR page_no = 1),
+        timed AS (SELECT *, CASE WHEN document_id % 39 = 0 THEN 200 WHEN document_id % 65 = 0 THEN 149 ELSE 1 END AS times FROM paged),
         more AS (SELECT document_id, page_text, (page_no - 1) * times + unnest(range(1, times + 1)) AS page_no FROM timed),
         a AS (SELECT document_id, max(page_no) AS page_count,
                 string_agg({NL} || {NL} || '[Page ' || page_no::VARCHAR || ']' || {NL} || {NL} || page_text, '' ORDER BY page_no)
@@ -528,7 +527,40 @@ def _build():
                  WHEN 'blank_text' THEN 'Uploaded text file is empty.' END AS error,
             count(*) AS n_files, (sum(CASE WHEN error_code IS NULL THEN coalesce(n, 0) END)::BIGINT)::VARCHAR AS n_chunks
         FROM extracted LEFT JOIN counted USING (id) GROUP BY ALL""")
-    ORACLE["vector_topk_indexed"] = ORACLE["vector_topk"]
+    _add("kb_edit_buckets", ["kb", "kb_edits", "fires"], f"""WITH l AS ({last.format(k='id', v='v_kb_edits')})
+        SELECT k.id, coalesce(l.question, k.question) AS question, coalesce(l.answer, k.corrected_answer) AS corrected_answer
+        FROM v_kb k LEFT JOIN l ON l.id = k.id WHERE k.id NOT IN (SELECT kb_id * 3 FROM v_fires)""")
+    _add("kb_append", ["kb"], """SELECT question, 2 * count(*) AS n_rows, count(*) + count(usage_count) AS n_counted FROM v_kb GROUP BY question""")
+    _add("docx_ingest", ["docs"], f"""WITH made AS (
+            SELECT id, CASE WHEN id % 97 = 1 AND id % 7 <> 0 THEN 'too_complex' WHEN id % 7 = 0 THEN 'unsupported' WHEN id % 7 = 2 THEN 'corrupt'
+                       WHEN id % 7 = 3 OR body = '' THEN 'blank_docx' END AS error_code, body[1:300000] AS body
+            FROM (SELECT id, array_to_string(list_filter(string_split(content, {NL}), lambda x: {_trim('x')} <> ''), {NL} || {NL}) AS body FROM v_docs) t)
+        SELECT id, CASE WHEN id % 7 = 0 THEN 'unknown' ELSE 'docx' END AS file_type, error_code,
+               CASE error_code WHEN 'unsupported' THEN '415' WHEN 'too_complex' THEN '422' WHEN 'corrupt' THEN '422' WHEN 'blank_docx' THEN '422' END AS http_status,
+               CASE WHEN error_code IS NULL THEN length(body)::VARCHAR END AS char_count, CASE WHEN error_code IS NULL THEN md5(body) END AS text_md5 FROM made""")
+    uploads = f"""parts AS (
+            SELECT id // 100 AS part, string_agg(CASE WHEN id // 100 % 5 = 4 THEN ' ' ELSE content END || {NL}, '' ORDER BY id) AS whole FROM v_docs GROUP BY ALL),
+        kinds AS (SELECT part AS id, CASE part % 5 WHEN 3 THEN 'pdf_unavailable' WHEN 4 THEN 'blank_text' END AS code, whole[1:300000] AS content FROM parts),
+        fine AS (SELECT id, content FROM kinds WHERE code IS NULL), {CHUNKS.replace('v_docs', 'fine')}"""
+    _add("stream_uploads", ["docs"], f"""WITH {uploads}, told AS (
+            SELECT document_id AS part, count(*) AS n, md5(string_agg(chunk_text, '|' ORDER BY chunk_index)) AS m, sum(len({_set('chunk_text')})) AS w
+            FROM chunks GROUP BY document_id)
+        SELECT k.id AS part, CASE WHEN k.id % 5 = 3 THEN 'pdf' ELSE 'text' END AS file_type, CASE WHEN code IS NULL THEN length(content)::VARCHAR END AS char_count,
+               code AS rejected_as, n::VARCHAR AS n_chunks, m AS chunks_md5, w::BIGINT::VARCHAR AS n_words FROM kinds k LEFT JOIN told ON told.part = k.id""")
+    replayed = f"""{AUTO},
+        base AS (SELECT id, question, created_s, coalesce(usage_count, 0) AS used FROM v_kb
+                 UNION ALL SELECT id + 10000000, question, ts_s, 1 FROM v_chat WHERE id IN (SELECT id FROM kept)),
+        lq AS (SELECT id AS ask, ts_s, {_set('question')} AS w FROM v_chat), lb AS (SELECT id AS row, created_s, {_set('question')} AS w FROM base),
+        lqx AS (SELECT ask, ts_s, len(w) AS size, unnest(w) AS word FROM lq), lbx AS (SELECT row, created_s, len(w) AS size, unnest(w) AS word FROM lb),
+        met AS (SELECT ask, row, count(*)::DOUBLE / sqrt(a.size::DOUBLE * b.size::DOUBLE) AS sim FROM lqx a JOIN lbx b USING (word)
+                WHERE created_s < ts_s GROUP BY ask, row, a.size, b.size),
+        hits AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY sim DESC, row) AS rank FROM met QUALIFY rank <= 3)"""
+    _add("replay_matches", ["chat", "kb"], f"""WITH RECURSIVE {replayed}
+        SELECT ask AS ask_id, rank, row AS kb_id, sim AS relevance_score FROM hits WHERE sim >= 0.5""")
+    _add("replay_usage", ["chat", "kb"], f"""WITH RECURSIVE {replayed}
+        SELECT id, question, (used + (SELECT count(*) FROM hits h WHERE h.row = base.id AND sim >= 0.5))::BIGINT AS usage_count FROM base""")
+    for indexed, plain in (("vector_topk_indexed", "vector_topk"), ("kb_keyword_indexed", "kb_keyword_topk"), ("retrieve_chunks_indexed", "retrieve_chunks")):
+        ORACLE[indexed] = ORACLE[plain]
 
 
 _build()

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from typing import Callable
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import markers, text
 from lectern.functions.vectors import word_set
 from lectern.operators import (
-    changes, chunking, context, dense, feedback, knowledge, neardup, retrieval, transcripts,
+    changes, chunking, context, dense, feedback, knowledge, neardup, replay, retrieval, transcripts,
 )
 from lectern.plans.views import Tables
 from lectern.session import scratch_path
@@ -190,11 +195,41 @@ def kb_asof_replay(t):
     return found.select("ask_id", "rank", "kb_id", "relevance_score")
 
 
+def _replayed(t):
+    return replay.replay(_chat(t), _kb(t), save_id=F.col("chat_history_id") + 10_000_000)
+
+
+@query
+def replay_matches(t):
+    """What each question of the log found when it was asked, saves of earlier questions included."""
+    return _replayed(t)[0].select("ask_id", "rank", "kb_id", "relevance_score")
+
+
+@query
+def replay_usage(t):
+    """The base after the log, with usage counts that follow from the matches."""
+    return _replayed(t)[1].select("id", "question", "usage_count")
+
+
 @query
 def kb_keyword_topk(t):
     return retrieval.knowledge_keyword_matches(_kb(t), _asks(t)).select("ask_id", "rank", "kb_id", "relevance_score")
 
 
+@query
+def kb_keyword_indexed(t):
+    """As kb_keyword_topk, from an inverted index of the base."""
+    found = retrieval.knowledge_keyword_matches(_kb(t), _asks(t), index=retrieval.keyword_index(t.kb))
+    return found.select("ask_id", "rank", "kb_id", "relevance_score")
+
+
+@query
+def retrieve_chunks_indexed(t):
+    """As retrieve_chunks, from an inverted index of the chunks."""
+    chunks = _chunks(t)
+    return retrieval.relevant_chunks(chunks, _asks(t), k=4, index=retrieval.chunk_index(chunks))
+
+
 @query
 def history_latest20(t):
     requests = _routed(t).select(F.col("ask_id").alias("request_id"), "token")
@@ -447,6 +482,30 @@ def kb_edit_missing(t):
     return changes.edit_knowledge(t.kb, t.kb_edits)[1]
 
 
+@query
+def kb_edit_buckets(t):
+    """The same edits, then deletes, on a table cut by key: only buckets that change are written."""
+    path, kb = scratch_path(t.spark, "kb-buckets"), t.kb
+    tables.write_buckets(kb, path, "id", 16)
+    edit = lambda rows, edits: changes.edit_knowledge(rows, edits)[0]
+    tables.change_buckets(t.spark, path, kb.schema, "id", 16, t.kb_edits, edit)
+    gone = t.fires.select((F.col("kb_id") * 3).alias("id")).distinct()
+    tables.change_buckets(t.spark, path, kb.schema, "id", 16, gone, lambda rows, ids: changes.delete_knowledge(rows, ids)[0])
+    return tables.read_buckets(t.spark, path, kb.schema).select("id", "question", "corrected_answer")
+
+
+@query
+def kb_append(t):
+    """Bulk rows appended to the stored base."""
+    path, columns = scratch_path(t.spark, "kb"), ("question", "corrected_answer", "usage_count")
+    tables.append(t.kb.select(*columns), path)
+    item = F.struct("question", F.col("corrected_answer").alias("answer"), F.col("context_text").alias("source"))
+    loaded = knowledge.bulk_load(t.kb.select(F.col("id").alias("request_id"), F.array(item).alias("items")))
+    tables.append(loaded.select(*columns), path)
+    stored = tables.scan(t.spark, path, "question", "usage_count")
+    return stored.groupBy("question").agg(F.count("*").alias("n_rows"), F.count("usage_count").alias("n_counted"))
+
+
 @query
 def kb_delete(t):
     gone = t.fires.select((F.col("kb_id") * 3).alias("id")).distinct()
@@ -620,12 +679,41 @@ def extract_text(t):
     return _as_text(got, "char_count", "truncated", "http_status")
 
 
+_DOCX = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{}</w:body></w:document>'
+
+
+@F.pandas_udf(T.BinaryType())
+def _word_file(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    """Word files made of texts, a paragraph a line: some without a document part, with too many parts, broken, or blank."""
+    def made(i, text):
+        body = "".join(f"<w:p><w:r><w:t>{escape('  ' if i % 7 == 3 else line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("[Content_Types].xml", "<Types/>")
+            if i % 7:
+                archive.writestr("word/document.xml", "<w:document" if i % 7 == 2 else _DOCX.format(body))
+            for k in range(files.MAX_ZIP_ENTRIES if i % 97 == 1 else 0):
+                archive.writestr(f"part{k}", b"")
+        return out.getvalue()
+
+    return pd.Series([made(i, t) for i, t in zip(ids, texts, strict=True)])
+
+
+@query
+def docx_ingest(t):
+    """Word files through the container gate and text extraction."""
+    made = t.docs.select(F.col("id").cast("string").alias("path"), F.concat("id", F.lit(".docx")).alias("filename"), _word_file("id", "content").alias("content"))
+    got = files.extract(made.withColumn("size_bytes", F.octet_length("content").cast("bigint")))
+    return _as_text(got.select(
+        F.col("path").cast("bigint").alias("id"), "file_type", "error_code", "http_status", "char_count", F.md5("text").alias("text_md5")), "char_count", "http_status")
+
+
 @query
 def pdf_ingest(t):
     """PDF uploads with their page texts: some of too many pages, some of too many characters."""
     i = F.col("document_id")
     times = F.when(i % 39 == 0, 200).when(i % 65 == 0, 149).otherwise(1)
-    pages = chunking.text_pages(t.docs.where("id % 13 = 0")).where((i % 39 == 0) | (i % 65 != 0) | (F.col("page_no") == 1))
+    pages = chunking.text_pages(t.docs)
     pages = pages.select("document_id", "page_no", "page_text", times.alias("times"), F.explode(F.sequence(F.lit(1), times)).alias("k"))
     pages = pages.withColumn("page_no", (F.col("page_no") - 1) * F.col("times") + F.col("k"))
     blank = (i + F.col("page_no")) % 5 == 0
@@ -709,23 +797,37 @@ def stream_ingest(t):
     return t.spark.read.parquet(f"{out}/rows").select("document_id", "chunk_index", "chunk_text")
 
 
-def _thirds(rows, part):
-    ends = [float("-inf"), *rows.approxQuantile("id", [0.33, 0.66], 0.01), float("inf")]
-    return ends[part], ends[part + 1]
-
-
 @query
 def stream_learning(t):
     out = scratch_path(t.spark, "learn")
     rows = _chat(t)
-    for part in range(3):  # one batch each, in order of id
-        low, high = (F.lit(f"{x}").cast("double") for x in _thirds(rows, part))
-        rows.where((F.col("id") > low) & (F.col("id") <= high)).coalesce(1).write.mode("append").parquet(f"{out}/chat")
-    chat = jobs.table_stream(t.spark, f"{out}/chat", files_per_batch=1)
-    _finish(jobs.learn(chat, _kb(t), f"{out}/rows", f"{out}/state"))
+    low, high = rows.approxQuantile("id", [0.33, 0.66], 0.01) or [0.0, 0.0]
+    i = F.col("id")
+    for part in (i.isNull() | (i <= low), (i > low) & (i <= high), i > high):  # what arrives before each run is one batch
+        rows.where(part).write.mode("append").parquet(f"{out}/chat")
+        _finish(jobs.learn(jobs.table_stream(t.spark, f"{out}/chat"), _kb(t), f"{out}/rows", f"{out}/state"))
     return t.spark.read.parquet(f"{out}/rows").select("chat_history_id", "question", "corrected_answer")
 
 
+@query
+def stream_uploads(t):
+    """Files of a hundred documents each, some marked PDF and some blank, as a stream of uploads: what became of each."""
+    out = scratch_path(t.spark, "uploads")
+    part = F.floor(F.col("id") / 100)
+    line = F.when((part % 5 == 3) & (F.col("id") % 100 == 0), F.concat(F.lit("%PDF-"), "content")).when(part % 5 == 4, " ").otherwise(F.col("content"))
+    lines = t.docs.select(part.alias("part"), "id", line.alias("line"))
+    lines.repartition("part").sortWithinPartitions("part", "id").select("part", "line").write.partitionBy("part").text(f"{out}/in")
+    _finish(jobs.ingest_files(jobs.file_stream(t.spark, f"{out}/in", "*.txt"), f"{out}/store", f"{out}/state"))
+    stored = lambda name: t.spark.read.parquet(f"{out}/store/{name}")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda c: c["chunk_text"]), "|")
+    chunks = stored("chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.md5(text).alias("chunks_md5"), F.sum(F.size("vector")).alias("n_words"))
+    rejected = stored("rejected").select("path", F.col("error_code").alias("rejected_as"))
+    found = stored("files").join(rejected, "path", "left").join(chunks, F.md5("path") == F.col("document_id"), "left")
+    return _as_text(found.select(
+        F.regexp_extract("path", r"part=([0-9]+)", 1).cast("bigint").alias("part"), "file_type", "char_count", "rejected_as", "n_chunks", "chunks_md5", "n_words"),
+        "char_count", "n_chunks", "n_words")
+
+
 @query
 def stream_rating_stats(t):
     out = scratch_path(t.spark, "ratings")

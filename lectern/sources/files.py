@@ -59,12 +59,14 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, max_byte
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    found = reader.load(path)
+    return limited(reader.load(path).withColumnRenamed("length", "size_bytes"), max_bytes)
+
+
+def limited(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """``files(path, size_bytes, content)`` as ``path, filename, size_bytes, content``, without the content of those too large."""
     name = F.regexp_extract("path", r"[^/]*$", 0).alias("filename")
-    small = found.where(F.col("length") <= max_bytes).select("path", name, F.col("length").alias("size_bytes"), "content")
-    large = found.where(F.col("length") > max_bytes).select(
-        "path", name, F.col("length").alias("size_bytes"), F.lit(None).cast("binary").alias("content")
-    )
+    small = files.where(F.col("size_bytes") <= max_bytes).select("path", name, "size_bytes", "content")
+    large = files.where(F.col("size_bytes") > max_bytes).select("path", name, "size_bytes", F.lit(None).cast("binary").alias("content"))
     return small.unionByName(large)
 
 

@@ -5,7 +5,7 @@ from decimal import ROUND_HALF_EVEN, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import changes, feedback, knowledge
+from lectern.operators import changes, feedback, knowledge, replay
 from lectern.operators.embedding import DenseWordSets
 from lectern.sources import tables
 
@@ -99,3 +99,38 @@ def test_schema_evolution_guard_and_append(spark, tmp_path):
     for _ in range(2):
         tables.append(old, str(tmp_path / "t"))
     assert tables.scan(spark, str(tmp_path / "t"), "id").count() == 2
+
+
+def test_only_changed_buckets_are_written(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    kb = spark.createDataFrame([(i, f"q{i}", f"a{i}") for i in range(200)], "id BIGINT, question STRING, corrected_answer STRING")
+    tables.write_buckets(kb, path, "id", 16, spread=2)
+    names = lambda: {f.relative_to(tmp_path) for f in (tmp_path / "kb").rglob("*.parquet")}
+    rows = lambda: {r["id"]: (r["question"], r["corrected_answer"]) for r in tables.read_buckets(spark, path, kb.schema).collect()}
+    edits = spark.createDataFrame([(5, "new", "a", 1, 1), (5, "newer", "b", 2, 2), (900, "none", "x", 1, 3)], "id BIGINT, question STRING, answer STRING, ts INT, seq INT")
+    edit = lambda rows, log: changes.edit_knowledge(rows, log)[0]
+    old = names()
+    touched = tables.change_buckets(spark, path, kb.schema, "id", 16, edits, edit)
+    want = {i: (f"q{i}", f"a{i}") for i in range(200)} | {5: ("newer", "b")}
+    assert rows() == want and len(touched) in (1, 2)
+    untouched = {n for n in old if int(n.parts[1].split("=")[1]) not in touched}
+    assert untouched <= names() and not (old - untouched) & names() and len(untouched) >= 14
+    assert tables.change_buckets(spark, path, kb.schema, "id", 16, edits, edit) == touched and rows() == want
+    gone = kb.where(tables.bucket_of("id", 16) == touched[0]).select("id")  # a bucket loses all its rows
+    tables.change_buckets(spark, path, kb.schema, "id", 16, gone, lambda rows, ids: changes.delete_knowledge(rows, ids)[0])
+    left = {r["id"] for r in gone.collect()}
+    assert rows() == {i: r for i, r in want.items() if i not in left}
+    assert tables.change_buckets(spark, path, kb.schema, "id", 16, gone.limit(0), edit) == []
+
+
+def test_replay_sees_earlier_saves_only(spark):
+    long = "An answer of more than eighty characters, which the quality gate therefore lets through to the base."
+    log = spark.createDataFrame(
+        [(1, "what does the lease say", long, 10), (2, "what does the lease say", long, 20), (3, "what does the lease say", "short", 20),
+         (4, "how long is the notice period", "short", 30), (5, "how long is the notice period", long, 40), (6, "how long is the notice period", long, 50)],
+        "id BIGINT, question STRING, answer STRING, s INT").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    kb = spark.createDataFrame([(100, "how long is the notice", "three months", 2, 0)], "id BIGINT, question STRING, corrected_answer STRING, usage_count INT, s INT")
+    kb = kb.withColumn("created_at", F.timestamp_seconds("s")).drop("s")
+    found, base = replay.replay(log, kb, save_id=F.col("chat_history_id") + 1000)
+    assert sorted((r["ask_id"], r["kb_id"]) for r in found.collect()) == [(2, 1001), (3, 1001), (4, 100), (5, 100), (6, 100), (6, 1005)]
+    assert {r["id"]: r["usage_count"] for r in base.collect()} == {100: 5, 1001: 3, 1005: 2}
