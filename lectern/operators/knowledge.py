@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,22 +52,26 @@ def quality_gate(chat: DataFrame, min_chars: int = 80) -> DataFrame:
 
 
 def auto_save(
-    chat: DataFrame, kb: DataFrame, threshold: float = 0.92, source: str = "auto-query", vector: str | None = None
+    chat: DataFrame, kb: DataFrame, threshold: float = 0.92, source: str = "auto-query", vector: str | None = None,
+    known: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """New knowledge-base rows from answered questions, in order of id: good answers to
     questions with no near duplicate in the base or among the rows saved before them.
 
     Questions are compared as word sets, or by ``vector``, a column of dense vectors that ``chat`` and ``kb``
-    both have, which the new rows then keep."""
+    both have, which the new rows then keep. ``known``, if given, finds the ids of the ``(id, vector)`` rows that
+    the base holds already, in place of a comparison with ``kb``."""
     good = chat.where(gate_reason(F.col("answer")).isNull())
     compared = F.col(vector) if vector else word_set(F.col("question"))
     asked = cut_lineage(good.select("id", compared.alias("vector")))
-    known = kb.select(compared.alias("vector"))
-    if vector:
-        index = DenseIndex.build(known.where(usable("vector")).distinct().withColumn("id", F.xxhash64("vector")))
-        near, keep = dense_near_existing(asked, index, threshold), dense_greedy_keep
+    if known is not None:
+        near = known(asked)
+    elif vector:
+        base = kb.select(compared.alias("vector")).where(usable("vector")).distinct()
+        near = dense_near_existing(asked, DenseIndex.build(base.withColumn("id", F.xxhash64("vector"))), threshold)
     else:
-        near, keep = near_existing(asked, known, threshold), greedy_keep
+        near = near_existing(asked, kb.select(compared.alias("vector")), threshold)
+    keep = dense_greedy_keep if vector else greedy_keep
     fresh = asked.join(near, "id", "left_anti")
     saved = keep(fresh, threshold).where("kept").select("id")
     given = [F.col(vector).alias("vector")] if vector else []

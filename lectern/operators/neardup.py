@@ -110,13 +110,16 @@ def _may_meet(a: str, b: str, t: Fraction) -> Column:
     return key & roles & _above(F.least(sa, sb, placed, signed.cast("int")), sa, sb, t)
 
 
-def _near(a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame, t: Fraction, earlier: bool = False) -> DataFrame:
-    """Pairs ``(a, b)`` of prefix rows that are near, by the vectors of both sides, which are fetched for
-    candidates alone; with ``earlier`` only pairs in which b has the smaller id."""
+def _candidates(a: DataFrame, b: DataFrame, t: Fraction, earlier: bool = False) -> DataFrame:
+    """Pairs ``(a, b)`` of prefix rows that no bound rules out; with ``earlier`` only pairs in which b has the smaller id."""
     on = _may_meet("a", "b", t)
     if earlier:
         on = (F.col("b.id") < F.col("a.id")) & on
-    pairs = a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return a.alias("a").join(b.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs ``(a, b)`` that are near, by the vectors of both sides, which are fetched for these alone."""
     ours = left.select(F.col("id").alias("a"), F.col("vector").alias("x"))
     theirs = right.select(F.col("id").alias("b"), F.col("vector").alias("y"))
     overlap = F.size(F.array_intersect("x", "y"))
@@ -143,7 +146,7 @@ def near_existing(items: DataFrame, existing: DataFrame, threshold: float = 0.92
     ranks = _feature_ranks(existing, 1)
     left = cut_lineage(prefixes(items, ranks, t, hot))
     right = prefixes(existing, ranks, t, hot)
-    near = lambda a, b: _near(a, b, items, existing, t).select(F.col("a").alias("id")).distinct()
+    near = lambda a, b: _verified(_candidates(a, b, t), items, existing, t).select(F.col("a").alias("id")).distinct()
     soon = cut_lineage(near(left, _heads(right)))
     return soon.union(near(left.join(soon, "id", "left_anti"), right))
 
@@ -198,9 +201,9 @@ def greedy_keep(items: DataFrame, threshold: float = 0.92, hot: int = HOT) -> Da
     undecided = cut_lineage(prefixes(first, _feature_ranks(first, 2), t, hot))
 
     def near_earlier(a, b):
-        soon = cut_lineage(_near(a, _heads(b), first, first, t, earlier=True))
+        soon = cut_lineage(_verified(_candidates(a, _heads(b), t, earlier=True), first, first, t))
         others = a.join(soon.select(F.col("a").alias("id")), "id", "left_anti")
-        return soon.union(_near(others, b, first, first, t, earlier=True))
+        return soon.union(_verified(_candidates(others, b, t, earlier=True), first, first, t))
 
     dropped = greedy_rounds(undecided, near_earlier)
     return decided(sets, first, dropped).unionByName(blank)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.errors import AnalysisException
 
 from lectern.functions.vectors import word_set
 from lectern.operators.chunking import chunk_documents
 from lectern.operators.knowledge import auto_save
+from lectern.operators.prefix_index import PrefixIndex
 from lectern.session import folders, remove_folder
 from lectern.sources.files import extract, limited, to_documents
 
@@ -77,29 +77,20 @@ def ingest_files(uploads: DataFrame, root: str, checkpoint: str, embedder=None)
     )
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def learn(chat: DataFrame, kb: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def learn(chat: DataFrame, kb: DataFrame, root: str, checkpoint: str, index_path: str | None = None) -> StreamingQuery:
     """Answered questions to new knowledge-base rows under ``root``.
 
-    Each batch sees the base and the rows of the batches before it. It overwrites its own
-    ``batch_id`` folder, so running a batch again leaves the same rows.
+    The base is indexed once, under ``index_path``, and each batch adds the rows it saves: a batch is compared with the
+    base and the batches before it by way of the index, of which it reads the buckets it needs. Rows and index parts of a batch
+    stand in its own ``batch_id`` folders, so running a batch again leaves the same rows.
     """
+    spark = chat.sparkSession
+    index = PrefixIndex.open(spark, index_path or f"{root.rstrip('/')}-index", kb.select(word_set(F.col("question")).alias("vector")))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        known = kb.select("question")
-        before = _read_or_none(batch.sparkSession, root)
-        if before is not None:
-            before = before.where(F.col("batch_id") < batch_id)
-            known = known.unionByName(before.select("question"))
-        auto_save(batch, known).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+        out = f"{root}/batch_id={batch_id}"
+        auto_save(batch, kb, known=lambda asked: index.near(asked, batch_id)).write.mode("overwrite").parquet(out)
+        index.extend(spark.read.parquet(out).select(word_set(F.col("question")).alias("vector")), batch_id)
 
     return (
         chat.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import dense, neardup, retrieval
+from lectern.operators import dense, neardup
+from lectern.operators.prefix_index import BUCKETS, PrefixIndex
 
 
 def sets_frame(spark, rows):
@@ -142,3 +143,33 @@ def test_dense_greedy_equals_replay(spark, spread, threshold):
             kept.append(i)
     assert sorted(r["id"] for r in got if r["kept"]) == kept + [i for i, _ in ODD]
     assert len(kept) < 390
+
+
+@pytest.mark.parametrize("hot", [2_000, 3])
+def test_stored_prefixes_equal_brute_force(spark, tmp_path, hot):
+    """Base and two batches, words the base never had among them; only buckets needed are there to be read."""
+    rng = random.Random(7)
+    base, one, two, asked = mixed_sets(4), mixed_sets(5), mixed_sets(6), mixed_sets(8)
+    for rows in (one, two, asked):
+        for i in list(rows)[:60]:
+            rows[i] = {10**12 + k for k in range(rng.randint(8, 14))} | ({rng.getrandbits(40)} if rng.random() < 0.3 else set())
+    path = str(tmp_path / "index")
+    index = PrefixIndex.open(spark, path, sets_frame(spark, base).select("vector"), hot=hot)
+    index.extend(sets_frame(spark, one), 0)
+    index.extend(sets_frame(spark, two), 1)
+    items = sets_frame(spark, asked)
+    want = lambda *old: {i for i, s in asked.items() if s and any(o and near(s, o, 0.92) for rows in old for o in rows.values())}
+    got = lambda before: {r["id"] for r in index.near(items, before).collect()}
+    assert got(None) == want(base, one, two) and got(1) == want(base, one) and got(0) == want(base)
+    assert want(base) < want(base, one, two)
+    index.extend(sets_frame(spark, two), 1)  # the batch is run again
+    again = PrefixIndex.open(spark, path, sets_frame(spark, {}).select("vector"), hot=hot)
+    assert {r["id"] for r in again.near(items).collect()} == got(None)
+    few = sets_frame(spark, {i: asked[i] for i in list(asked)[:2]})
+    needed = {r[0] for r in index._prefixes(few.where(F.size("vector") > 0)).select(F.pmod(F.xxhash64("feature"), F.lit(BUCKETS))).distinct().collect()}
+    before = {r["id"] for r in index.near(few).collect()}
+    for folder in (tmp_path / "index" / "prefix").glob("*/bucket=*"):
+        if int(folder.name.split("=")[1]) not in needed:
+            for file in folder.iterdir():
+                file.write_bytes(b"")  # unreadable, so that reading it would fail
+    assert {r["id"] for r in index.near(few).collect()} == before and len(needed) < BUCKETS
