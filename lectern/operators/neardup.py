@@ -19,14 +19,18 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.session import cut_lineage
 
 HEADS = 8
 HOT = 2_000
+SLOTS = 1 << 20
 
 
 def _above(dot: Column, a: Column, b: Column, t: Fraction) -> Column:
@@ -35,68 +39,75 @@ def _above(dot: Column, a: Column, b: Column, t: Fraction) -> Column:
     return left > a.cast("bigint") * b * (t.numerator**2)
 
 
-def _at_least(size: Column, ratio: Fraction) -> Column:
-    """The smallest whole overlap strictly above ratio · size."""
-    return F.floor(size * ratio.numerator / ratio.denominator + F.lit(1e-9)).cast("int") + 1
+def feature_counts(items: DataFrame) -> np.ndarray:
+    """How many items have a feature of each of ``SLOTS`` classes of features, by the low bits of their hash. The table has one
+    size whatever the vocabulary; that rare features share a slot costs candidates, never results."""
+    slot = F.col("feature").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    got = items.select(F.explode("vector").alias("feature")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()  # at most SLOTS rows
+    counts = np.zeros(SLOTS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return counts
 
 
-def _feature_ranks(items: DataFrame, least: int) -> DataFrame:
-    """How many items have each feature that at least ``least`` have. The table grows with the
-    vocabulary, so it is joined on the feature."""
-    return (
-        items.select(F.explode("vector").alias("feature"))
-        .groupBy("feature").count()
-        .where(F.col("count") >= least)
-    )
+def prefixes(items: DataFrame, counts: np.ndarray, t: Fraction, hot: int = HOT, least: int = 0) -> DataFrame:
+    """``items(id, vector)`` to one row per key: ``(id, feature, second, size, pos, small, sig0, sig1)``. Narrow.
 
-
-def _signature(vector: Column, half: int) -> Column:
-    """One half of 128 parities: each feature counts in one bit of one half, by seven bits of its hash."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
-    mine = F.filter(vector, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half)
-    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(bit(h)))
-
-
-def prefixes(items: DataFrame, ranks: DataFrame, t: Fraction, hot: int = HOT) -> DataFrame:
-    """``items(id, vector)`` to one row per key: ``(id, feature, second, size, pos, small, sig0, sig1)``.
-
-    ``small`` marks the features that suffice when the item is the smaller of a pair. Features
-    without a rank have no partner: they come first in the order and take up their place in the
-    prefix, but no row is made for them. A feature that over ``hot`` items have is keyed with each
-    later one of the prefix and one more; sets so small that an overlap of one may do for a
-    partner are keyed by the feature alone too (``second`` NULL).
+    Features are ordered by their slot's count, then hash; any order that is the same for all items will do, and rare
+    features first leaves the fewest candidates. ``small`` marks the features that suffice when the item is the
+    smaller of a pair. Features of slots below ``least`` have no partner: they take up their place in the prefix, but no
+    row is made for them. A feature whose slot counts over ``hot`` items is keyed with each later one of the prefix and one more; sets so
+    small that an overlap of one may do for a partner are keyed by the feature alone too (``second`` NULL).
     """
-    vector = F.col("vector")
-    sized = items.select("id", F.size("vector").alias("size"), _signature(vector, 0).alias("sig0"), _signature(vector, 1).alias("sig1"), "vector")
-    size, entry = F.col("size"), F.struct(F.col("count").alias("n"), F.col("feature").alias("f"))
-    ordered = (
-        sized.select("id", "size", "sig0", "sig1", F.explode("vector").alias("feature")).join(ranks, "feature")
-        .groupBy("id", "size", "sig0", "sig1").agg(F.sort_array(F.collect_list(entry)).alias("features"))
-    )
-    least = _at_least(size, t * t)
-    before = size - F.size("features")  # features without a rank
-    as_large = size - least + 1
-    as_small = size - _at_least(size, t) + 1
-    alone = (size <= F.lit(float(1 / t) ** 4 + 1e-6)) | (least < 2)
-    rows = (
-        ordered.withColumns({"least": least, "as_large": as_large, "as_small": as_small, "alone": alone, "before": before})
-        .where(F.col("as_large") > F.col("before"))
-        .withColumn("ends", F.slice("features", F.lit(1), F.col("as_large") - F.col("before") + 1))
-        .select("*", F.posexplode(F.slice("features", F.lit(1), F.col("as_large") - F.col("before"))).alias("at", "e"))
-        .withColumn("pos", F.col("before") + F.col("at"))
-    )
-    is_hot = F.col("e.n") > hot
-    later = F.transform(F.slice("ends", F.col("at") + 2, F.size("ends")), lambda x: x["f"])
-    none = F.array(F.lit(None).cast("bigint"))
-    seconds = (
-        F.when(~is_hot | (F.col("least") < 2), none)
-        .when(F.col("alone"), F.concat(none, later))
-        .otherwise(later)
-    )
-    return rows.select(
-        "id", F.col("e.f").alias("feature"), F.explode(seconds).alias("second"), "size", "pos",
-        (F.col("pos") < F.col("as_small")).alias("small"), "sig0", "sig1",
-    )
+    shared = items.sparkSession.sparkContext.broadcast(counts)
+    schema = T.StructType([items.schema["id"], *T.StructType.fromDDL(_KEYS).fields])
+
+    def task(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from _prefix_rows(batch, shared.value, t, hot, least)
+
+    return items.where(F.size("vector") > 0).select("id", "vector").mapInArrow(task, schema)
+
+
+_KEYS = "feature BIGINT, second BIGINT, size INT, pos INT, small BOOLEAN, sig0 BIGINT, sig1 BIGINT"
+
+
+def _prefix_rows(batch: pa.RecordBatch, counts: np.ndarray, t: Fraction, hot: int, least: int):
+    sets = batch.column(1)
+    flat = sets.flatten().to_numpy(zero_copy_only=False)
+    size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner, starts = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    n = counts[flat & (SLOTS - 1)]
+    order = np.lexsort((flat, n, owner))
+    flat, n = flat[order], n[order]
+    pos = np.arange(len(flat)) - starts[owner]
+
+    # The least overlap with the smallest partner, and with one of equal size, in whole numbers.
+    kinds, kind = np.unique(size, return_inverse=True)
+    low, high = (np.array([int(k * r) + 1 for k in kinds.tolist()])[kind] for r in (t * t, t))
+    as_large, as_small = size - low + 1, size - high + 1
+    keep = (pos < as_large[owner]) & (n >= least)
+    paired = keep & (n > hot) & (low >= 2)[owner]
+    alone = keep & (~paired | (size <= float(1 / t) ** 4 + 1e-6)[owner])
+
+    bit = np.uint64(1) << (flat & 63).astype(np.uint64)
+    first_half = (flat >> 6) & 1 == 0
+    signatures = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64) for half in (first_half, ~first_half)]
+
+    at, second = [np.flatnonzero(alone)], [np.zeros(int(alone.sum()), np.int64)]
+    for i in np.flatnonzero(paired).tolist():
+        later = flat[i + 1:min(starts[owner[i]] + as_large[owner[i]] + 1, starts[owner[i]] + size[owner[i]])]
+        at.append(np.full(len(later), i))
+        second.append(later)
+    none = np.arange(sum(map(len, at))) < len(at[0])
+    at, second = np.concatenate(at), np.concatenate(second)
+    own = owner[at]
+    columns = [
+        batch.column(0).take(pa.array(own)), pa.array(flat[at]), pa.array(second, pa.int64(), mask=none), pa.array(size[own].astype(np.int32)),
+        pa.array(pos[at].astype(np.int32)), pa.array(pos[at] < as_small[own]), *(pa.array(s[own]) for s in signatures)]
+    rows = pa.RecordBatch.from_arrays(columns, names=["id", *(c.split()[0] for c in _KEYS.split(", "))])
+    for k in range(0, rows.num_rows, 100_000):
+        yield rows.slice(k, 100_000)
 
 
 def _may_meet(a: str, b: str, t: Fraction) -> Column:
@@ -143,9 +154,9 @@ def near_existing(items: DataFrame, existing: DataFrame, threshold: float = 0.92
     items = items.where(F.size("vector") > 0).select("id", "vector")
     existing = existing.where(F.size("vector") > 0).select("vector").distinct()
     existing = cut_lineage(existing.withColumn("id", F.monotonically_increasing_id()))
-    ranks = _feature_ranks(existing, 1)
-    left = cut_lineage(prefixes(items, ranks, t, hot))
-    right = prefixes(existing, ranks, t, hot)
+    counts = feature_counts(existing)
+    left = cut_lineage(prefixes(items, counts, t, hot, least=1))
+    right = cut_lineage(prefixes(existing, counts, t, hot, least=1))
     near = lambda a, b: _verified(_candidates(a, b, t), items, existing, t).select(F.col("a").alias("id")).distinct()
     soon = cut_lineage(near(left, _heads(right)))
     return soon.union(near(left.join(soon, "id", "left_anti"), right))
@@ -198,7 +209,7 @@ def greedy_keep(items: DataFrame, threshold: float = 0.92, hot: int = HOT) -> Da
     blank = items.where(F.size("vector") == 0).select("id", F.lit(True).alias("kept"))
     sets = items.where(F.size("vector") > 0)
     first = cut_lineage(sets.groupBy("vector").agg(F.min("id").alias("id")))
-    undecided = cut_lineage(prefixes(first, _feature_ranks(first, 2), t, hot))
+    undecided = cut_lineage(prefixes(first, feature_counts(first), t, hot, least=2))
 
     def near_earlier(a, b):
         soon = cut_lineage(_verified(_candidates(a, _heads(b), t, earlier=True), first, first, t))

@@ -1,8 +1,8 @@
 """A stored index of word sets for duplicate checks that go on batch after batch.
 
-The order of features, their counts in the base, is fixed when the index is made, so prefixes written then and
-later agree; features the base lacks come first, as the rarest. Prefix rows are cut by feature, sets by id, and
-both by batch: a check reads only the buckets that hold a feature of its own prefixes, then only the sets of the candidates.
+The order of features, the counts of their slots in the base, is fixed when the index is made, so prefixes written
+then and later agree; features the base lacks come first, as the rarest. Prefix rows are cut by feature, sets by id, and
+both by batch: a check reads the slot counts, a table of bounded size, and only the buckets that hold a feature of its own prefixes, then only the sets of the candidates.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.neardup import HOT, _candidates, _feature_ranks, _heads, _verified, prefixes
+from lectern.operators.neardup import HOT, SLOTS, _candidates, _heads, _verified, feature_counts, prefixes
 from lectern.session import cut_lineage, folders
 
 BUCKETS = 64
@@ -31,7 +33,7 @@ def _touched(df: DataFrame, column: str) -> list[int]:
 
 @dataclass(frozen=True)
 class PrefixIndex:
-    """``order(feature, count)``, ``prefix`` rows and ``sets(id, vector)`` under ``path``, all cut by bucket."""
+    """``order(slot, n)``, ``prefix`` rows and ``sets(id, vector)`` under ``path``, all cut by bucket."""
 
     spark: SparkSession
     path: str
@@ -44,8 +46,9 @@ class PrefixIndex:
         index = PrefixIndex(spark, path, str(threshold), hot)
         if "_SUCCESS" not in folders(spark, f"{path}/prefix/batch_id={BASE}"):
             sets = cut_lineage(base.where(F.size("vector") > 0).select("vector").distinct())
-            counts = _feature_ranks(sets, 1).select("feature", "count", _bucket("feature").alias("bucket"))
-            counts.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/order")
+            counts = feature_counts(sets)
+            held = np.flatnonzero(counts)
+            spark.createDataFrame(pa.table({"slot": held, "n": counts[held]})).coalesce(1).write.mode("overwrite").parquet(f"{path}/order")
             index.extend(sets, BASE)
         return index
 
@@ -54,10 +57,10 @@ class PrefixIndex:
 
     def _prefixes(self, items: DataFrame) -> DataFrame:
         """Prefix rows of ``items(id, vector)`` in the order of the index."""
-        own = items.select(F.explode("vector").alias("feature")).distinct()
-        order = self._read("order", "feature BIGINT, count BIGINT, bucket INT", _touched(own, "feature"))
-        ranks = own.join(order.drop("bucket"), "feature", "left").select("feature", F.coalesce("count", F.lit(0)).alias("count"))
-        return prefixes(items, ranks, Fraction(self.threshold), self.hot)
+        order = self.spark.read.schema("slot BIGINT, n BIGINT").parquet(f"{self.path}/order").toArrow()  # at most SLOTS rows
+        counts = np.zeros(SLOTS, np.int64)
+        counts[order.column("slot").to_numpy()] = order.column("n").to_numpy()
+        return prefixes(items, counts, Fraction(self.threshold), self.hot)
 
     def extend(self, sets: DataFrame, batch_id: int) -> None:
         """Adds ``sets(vector)`` as those of a batch; a second run of the batch replaces what the first wrote."""

@@ -18,7 +18,7 @@ from lectern.operators import (
     changes, chunking, context, dense, feedback, knowledge, neardup, replay, retrieval, transcripts,
 )
 from lectern.plans.views import Tables
-from lectern.session import scratch_path
+from lectern.session import cut_lineage, scratch_path
 from lectern.sources import files, tables
 from lectern.streaming import jobs
 
@@ -72,6 +72,11 @@ def _chunks(t):
     return chunking.chunk_documents(t.docs)
 
 
+def _stored_chunks(t):
+    """Chunks as a stored table, for queries that read them more than once."""
+    return cut_lineage(_chunks(t))
+
+
 def _files(t):
     """Documents as uploaded bytes, some empty, binary, PDF-like or blank."""
     body = F.encode("content", "UTF-8")
@@ -262,7 +267,7 @@ def summary_intent(t):
 
 @query
 def context_cascade(t):
-    found = context.select_context(_routed(t), t.docs, _chunks(t))
+    found = context.select_context(_routed(t), t.docs, _stored_chunks(t))
     return found.select(
         "ask_id", "prompt_text", F.size("context_chunks").alias("n_chunks"), "best_similarity", "context_source"
     )
@@ -270,13 +275,13 @@ def context_cascade(t):
 
 @query
 def prompt_assembly(t):
-    made = context.build_prompts(_routed(t), t.docs, _chunks(t), _kb(t))
+    made = context.build_prompts(_routed(t), t.docs, _stored_chunks(t), _kb(t))
     return made.select("ask_id", F.array_join(F.col("kb_ids").cast("array<string>"), ",").alias("kb_ids"), "prompt")
 
 
 @query
 def context_record(t):
-    made = context.context_records(context.select_context(_routed(t), t.docs, _chunks(t)))
+    made = context.context_records(context.select_context(_routed(t), t.docs, _stored_chunks(t)))
     got = lambda p: F.get_json_object("context_json", p)
     return made.select(
         "ask_id", got("$.context_chunks[0]").alias("first_chunk"), got("$.context_source").alias("context_source"),
@@ -625,7 +630,7 @@ def text_pages(t):
 
 @query
 def page_assembly(t):
-    pages = chunking.text_pages(t.docs)
+    pages = cut_lineage(chunking.text_pages(t.docs))
     blank = (F.col("document_id") + F.col("page_no")) % 5 == 0
     made = chunking.assemble_pages(pages.withColumn("page_text", F.when(blank, " ").otherwise(F.col("page_text"))))
     return _as_text(made, "char_count")

@@ -60,7 +60,7 @@ def test_near_existing_with_split_features(spark, threshold, hot):
 
 def test_prefix_rows_hold_no_vectors(spark):
     items = sets_frame(spark, mixed_sets(3))
-    made = neardup.prefixes(items, neardup._feature_ranks(items, 2), neardup.Fraction("0.92"))
+    made = neardup.prefixes(items, neardup.feature_counts(items), neardup.Fraction("0.92"), least=2)
     assert set(made.columns) == {"id", "feature", "second", "size", "pos", "small", "sig0", "sig1"}
     assert made.count() < items.select(F.explode("vector")).count()
 
