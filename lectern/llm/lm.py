@@ -1,14 +1,23 @@
 """Log-bilinear language model, trained with noise-contrastive estimation.
 
 Words are counted over the whole corpus. The most frequent ones are classes of their own, other
-frequent ones (the head, at most ``HEAD`` words, broadcast) form classes by rank, all further and
-unknown words are one class, the tail. The neural part predicts the class from the two classes
-before it: a bilinear score of a position-weighted sum of context vectors with the target vector,
-plus a bias. Every task runs noise-contrastive estimation in numpy over all training texts it
-holds, and parameters are averaged, in a few rounds over disjoint slices of the corpus. For
-scoring, batched matrix products over all pairs of context classes give log-probabilities that
-are normalised over the classes; a word's share of its class comes from the counts, with absolute
-discounting that leaves the tail a part for unknown words. Tail counts are joined, never broadcast.
+frequent ones (the head, broadcast, whose size grows slowly with the corpus) form classes by rank,
+all further and unknown words are one class, the tail. Two nets make the probability of a head word:
+
+* ``Bilinear`` predicts the class from the two classes before it: a bilinear score of a
+  position-weighted sum of context vectors with the target vector, plus a bias.
+* ``Members`` predicts the word within its class from the word before it: every head word has a
+  target vector, the ``WORD_CONTEXTS`` most frequent words have context vectors of their own, other
+  words that of their class. A word's weight is its share of the class's counts times the
+  exponential of the bilinear score.
+
+Every task runs noise-contrastive estimation of both in numpy over all training texts it holds, and
+parameters are averaged, in a few rounds over disjoint slices of the corpus; a word's vectors are
+averaged over the tasks that met it, by how often they did. So scores depend a little on how the
+input is split. For scoring, batched matrix products over all contexts give log-probabilities that
+are normalised over the classes, and over the words of each class; in the tail a word's share comes
+from the counts, with absolute discounting that leaves a part for unknown words. Tail counts are
+joined, never broadcast.
 """
 
 from __future__ import annotations
@@ -25,13 +34,20 @@ from pyspark.sql import functions as F
 from lectern.llm.common import id_and_text, id_bucket, schema_of, stored, text_slices, words
 
 HEAD = 200_000
+HEAD_TOKENS = 20_000_000
 OWN = 200
+WORD_CONTEXTS = 2048
 PER_OCTAVE = 4
 WORD_BYTES = 64
 DIM = 16
 NOISE = 64
 BATCH = 4096
 RATE = 0.08
+WORD_RATE = 0.3
+WORD_PRIOR = 1.0
+WORD_BATCH = 8192
+WORD_BLOCK = 4096
+SCORE_BYTES = 2 << 20
 SLICES = 8
 ROUNDS = ((0, 1), (1, 4), (4, 8))
 END = b" "  # no word holds a blank
@@ -62,6 +78,11 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def head_size(total: int) -> int:
+    """Words of the head: ``HEAD``, and from ``HEAD_TOKENS`` tokens on the sixth root of the growth more."""
+    return int(HEAD * max(1.0, total / HEAD_TOKENS) ** (1 / 6))
+
+
 class Vocabulary:
     """The head: for each word its place; for each place class, count and log10 share of its class."""
 
@@ -145,12 +166,108 @@ class Bilinear:
 
     def table(self) -> np.ndarray:
         """log10 probability of each class after each pair of context classes (far * (n + 1) + near), normalised."""
-        rows = []
-        for far in self.r:
+        rows = np.empty((len(self.r), len(self.r), len(self.b)), np.float32)
+        for i, far in enumerate(self.r):
             s = ((self.r * self.w[0] + far * self.w[1]) @ self.q.T + self.b).astype(np.float64)
             s -= s.max(1, keepdims=True)
-            rows.append((s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10))
-        return np.concatenate(rows).astype(np.float32)
+            rows[i] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
+        return rows.reshape(-1, len(self.b))
+
+
+class Members:
+    """Words within their classes: target vectors of all head words, then context vectors, in one matrix.
+
+    Contexts are the ``own`` first words of the head, then the classes, the tail and the place before a text.
+    """
+
+    def __init__(self, classes: np.ndarray, share: np.ndarray, n_classes: int, own: int):
+        self.words, self.own = len(classes), min(own, len(classes))
+        self.contexts = self.own + n_classes + 1
+        self.first = np.searchsorted(classes, np.arange(n_classes + 1))  # classes are runs of ranks
+        self.classes, self.share = classes, 10.0 ** share
+        self.weights = np.zeros((self.words + self.contexts, DIM), np.float32)
+        self.weights[self.words:] = np.random.default_rng(5).normal(0, 0.3, (self.contexts, DIM))
+
+    def shared(self) -> np.ndarray:
+        """Classes of more than one word."""
+        return np.flatnonzero(np.diff(self.first) > 1)
+
+    def context(self, place: np.ndarray, cls: np.ndarray, lengths: np.ndarray, before: int) -> np.ndarray:
+        """For each token the context that the token before it makes."""
+        made = np.where((place >= 0) & (place < self.own), place, self.own + cls)
+        made = np.r_[self.own + before, made[:-1]]
+        made[np.cumsum(lengths) - lengths] = self.own + before
+        return made
+
+    def inside(self, place: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Numbers of the tokens that share their class with other words."""
+        return np.flatnonzero((place >= 0) & (np.diff(self.first) > 1)[cls])
+
+    def train(self, context: np.ndarray, place: np.ndarray, cls: np.ndarray, rng, square: np.ndarray) -> None:
+        """One pass of noise-contrastive estimation, class by class, with noise from the class's shares."""
+        chosen = self.inside(place, cls)
+        chosen = chosen[np.argsort(cls[chosen], kind="stable")]
+        cuts = np.searchsorted(cls[chosen], self.shared())
+        log_noise = np.float32(np.log(NOISE))
+        for k, a, b in zip(self.shared().tolist(), cuts, [*cuts[1:], len(chosen)], strict=True):
+            first, last = self.first[k], self.first[k + 1]
+            cumulative = np.cumsum(self.share[first:last]) if b > a else None
+            for at in range(a, b, WORD_BATCH):
+                part = chosen[at:min(at + WORD_BATCH, b)]
+                h, t = context[part] + self.words, place[part]
+                z = first + np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), last - first - 1)
+                p, ut, uz = self.weights[h], self.weights[t], self.weights[z]
+                gt = 1 / (1 + np.exp(np.clip((p * ut).sum(1) - log_noise, -30, 30)))
+                gz = -1 / (1 + np.exp(-np.clip(p @ uz.T - log_noise, -30, 30)))
+                self._step(np.r_[t, z], np.concatenate([gt[:, None] * p, gz.T @ p]), square)
+                self._step(h, gt[:, None] * ut + gz @ uz, square)
+
+    def _step(self, rows: np.ndarray, values: np.ndarray, square: np.ndarray) -> None:
+        """AdaGrad with one scale per row; the prior keeps rows with little evidence near their start."""
+        rows, at = np.unique(rows, return_inverse=True)
+        g = _scatter(at, values, len(rows))
+        square[rows] += (g * g).mean(1)
+        self.weights[rows] += np.float32(WORD_RATE) * g / np.sqrt(np.float32(WORD_PRIOR) + square[rows])[:, None]
+
+    def normalisers(self, contexts: np.ndarray) -> np.ndarray:
+        """log10 of the sum over each class's words, for each of ``contexts``; 0 for classes of one word."""
+        out = np.zeros((len(contexts), len(self.first) - 1), np.float32)
+        p = self.weights[self.words + contexts]
+        for k in self.shared():
+            first, last = self.first[k], self.first[k + 1]
+            s = p @ self.weights[first:last].T
+            top = s.max(1, keepdims=True)
+            out[:, k] = (np.log(np.exp(s - top) @ self.share[first:last]) + top[:, 0]) / np.log(10)
+        return out
+
+    def scores(self, context: np.ndarray, place: np.ndarray, cls: np.ndarray, normalisers: np.ndarray) -> np.ndarray:
+        """log10 of what the context makes of each token's share of its class; 0 for words alone in theirs."""
+        out = np.zeros(len(place))
+        chosen = self.inside(place, cls)
+        for at in range(0, len(chosen), WORD_BATCH):
+            part = chosen[at:at + WORD_BATCH]
+            s = (self.weights[self.words + context[part]] * self.weights[place[part]]).sum(1, dtype=np.float64)
+            out[part] = s / np.log(10) - normalisers[context[part], cls[part]]
+        return out
+
+
+def _averaged(parts: DataFrame) -> DataFrame:
+    """(block, vectors): averages, by weight, of the vectors that tasks give for some rows of a block."""
+    def task(batches):
+        held: dict = {}
+        for batch in batches:
+            for block, rows, weights, vectors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if block not in held:  # blocks of one matrix, dealt over the tasks
+                    held[block] = np.zeros((WORD_BLOCK, DIM + 1))
+                weight = np.frombuffer(weights, np.int32).astype(np.float64)[:, None]
+                given = np.frombuffer(vectors, np.float16).reshape(-1, DIM).astype(np.float64)
+                held[block][np.frombuffer(rows, np.int16)] += np.concatenate([given * weight, weight], axis=1)
+        for block, sums in held.items():
+            rows = np.flatnonzero(sums[:, DIM])
+            mean = (sums[rows, :DIM] / sums[rows, DIM:]).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "rows": [rows.astype(np.int16).tobytes()], "vectors": [mean.tobytes()]})
+
+    return parts.repartition("block").mapInArrow(task, "block int, rows binary, vectors binary")
 
 
 def _classes(texts: list, places: dict, classes: np.ndarray, tail: int):
@@ -187,54 +304,95 @@ def _held(shared, make):
     return _HELD["made"]
 
 
+_BLOCK = (("block", pa.int32()), ("rows", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()))
+
+
 class LanguageModel:
-    """A trained model: its vocabulary, parameters and the stored table of counts."""
+    """A trained model: its vocabulary, both nets, the normalisers of the second and the stored table of counts."""
 
-    def __init__(self, vocabulary: Vocabulary, net: Bilinear, counts: DataFrame):
-        self.vocabulary, self.net, self.counts = vocabulary, net, counts
+    def __init__(self, vocabulary: Vocabulary, net: Bilinear, members: Members, normalisers: np.ndarray, counts: DataFrame):
+        self.vocabulary, self.net, self.members, self.normalisers, self.counts = vocabulary, net, members, normalisers, counts
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> LanguageModel:
-    """A model of all rows of ``docs``; a null text counts as empty."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int | None = None) -> LanguageModel:
+    """A model of all rows of ``docs``; a null text counts as empty. ``head``: ``head_size`` of the tokens."""
     rows = id_and_text(docs, id_col, text_col)
     spark = docs.sparkSession
     counts = stored(token_counts(rows), "token-counts")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = (counts.where((F.col("c") >= 2) & (F.length("token") <= WORD_BYTES) | (F.col("token") == END))
-           .orderBy(F.desc(F.col("token") == END), F.desc("c"), "token").limit(head))
+           .orderBy(F.desc(F.col("token") == END), F.desc("c"), "token").limit(head or head_size(total)))
     top = top.toArrow()  # at most ``head`` words of at most WORD_BYTES bytes
     tokens, numbers = top.column("token").to_pylist(), top.column("c").to_pylist()
     ones, twos = counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     vocabulary = Vocabulary(tokens, numbers, total, types, ones, twos)
     net = Bilinear(vocabulary.n, vocabulary.mass)
-    places = spark.sparkContext.broadcast({"run": hashlib.md5(repr((total, types, tokens[:50])).encode()).hexdigest(), "tokens": vocabulary.tokens, "classes": vocabulary.classes})
+    members = Members(vocabulary.classes, vocabulary.share, vocabulary.n, WORD_CONTEXTS)
+    own_contexts = members.own
+    run = hashlib.md5(repr((total, types, vocabulary.counts.sum())).encode())
+    run.update(b"\0".join(vocabulary.tokens))
+    places = spark.sparkContext.broadcast({"run": run.hexdigest(), "tokens": vocabulary.tokens, "classes": vocabulary.classes, "share": vocabulary.share})
     tail = vocabulary.tail
     for first, last in ROUNDS:
         start, mass = net.flat(), vocabulary.mass
+        begun = spark.sparkContext.broadcast(members.weights)
 
-        def task(batches, start=start, mass=mass):
+        def task(batches, start=start, mass=mass, begun=begun):
             known = _held(places, lambda v: {t: i for i, t in enumerate(v["tokens"])})
             own, rng, square, seen = Bilinear(tail + 1, mass).load(start), np.random.default_rng(11), {}, 0
-            for _, texts in text_slices(batches):
-                _, cls, lengths, _ = _classes(texts, known, places.value["classes"], tail)
+            inner = Members(places.value["classes"], places.value["share"], tail + 1, own_contexts)
+            inner.weights[:] = begun.value
+            squares, met = np.zeros(len(inner.weights), np.float32), np.zeros(len(inner.weights), np.int64)
+            for _, texts in text_slices(batches, SCORE_BYTES):
+                place, cls, lengths, _ = _classes(texts, known, places.value["classes"], tail)
                 near, far = _context(cls, lengths, tail + 1)
                 own.train(near, far, cls, rng, square)
+                context = inner.context(place, cls, lengths, tail + 1)
+                inner.train(context, place, cls, rng, squares)
+                chosen = inner.inside(place, cls)
+                met += np.bincount(np.r_[place[chosen], context[chosen] + inner.words], minlength=len(met))
                 seen += len(cls)
             if seen:
                 flat = own.flat()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))],
-                    names=["i", "v", "w"])
+                yield pa.RecordBatch.from_pydict({
+                    "i": pa.array(np.arange(len(flat), dtype=np.int32)), "v": flat * seen, "w": np.full(len(flat), float(seen)),
+                    **{c: pa.nulls(len(flat), t) for c, t in _BLOCK}})
+            for block in range(0, len(met), WORD_BLOCK):
+                here = np.flatnonzero(met[block:block + WORD_BLOCK])
+                if len(here):
+                    packed = [here.astype(np.int16), np.minimum(met[block + here], 2 ** 31 - 1).astype(np.int32), inner.weights[block + here].astype(np.float16)]
+                    yield pa.RecordBatch.from_pydict({
+                        "i": pa.nulls(1, pa.int32()), "v": pa.nulls(1, pa.float64()), "w": pa.nulls(1, pa.float64()),
+                        "block": pa.array([block // WORD_BLOCK], pa.int32()),
+                        **{c: pa.array([x.tobytes()], t) for (c, t), x in zip(_BLOCK[1:], packed, strict=True)}})
 
         part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).between(first, last - 1))
-        mixed = part.mapInArrow(task, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect()
+        trained = stored(part.mapInArrow(task, "i int, v double, w double, block int, rows binary, weights binary, vectors binary"), "net-parts")
+        mixed = trained.where("i IS NOT NULL").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect()
         if mixed:
             flat = np.empty(len(start))
             for r in mixed:
                 flat[r["i"]] = r["v"]
             net.load(flat)
+        for r in _averaged(trained.where("block IS NOT NULL").select(*[c for c, _ in _BLOCK])).collect():  # one matrix
+            at = r["block"] * WORD_BLOCK + np.frombuffer(r["rows"], np.int16).astype(np.int64)
+            members.weights[at] = np.frombuffer(r["vectors"], np.float32).reshape(-1, DIM)
+        begun.unpersist()
+    begun = spark.sparkContext.broadcast(members.weights)
+
+    def sums(batches):
+        inner = Members(places.value["classes"], places.value["share"], tail + 1, own_contexts)
+        inner.weights[:] = begun.value
+        for batch in batches:
+            for i in batch.column(0).to_numpy():
+                yield pa.RecordBatch.from_pydict({"id": [i], "sums": [inner.normalisers(np.array([i])).tobytes()]})
+
+    normalisers = np.zeros((members.contexts, vocabulary.n), np.float32)
+    for r in spark.range(0, members.contexts, 1, 16).mapInArrow(sums, "id long, sums binary").collect():  # contexts x classes
+        normalisers[r["id"]] = np.frombuffer(r["sums"], np.float32)
+    begun.unpersist()
     places.unpersist()
-    return LanguageModel(vocabulary, net, counts)
+    return LanguageModel(vocabulary, net, members, normalisers, counts)
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,26 +405,29 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     v, net = model.vocabulary, model.net
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast({
-        "run": hashlib.md5(net.flat().tobytes()).hexdigest(), "tokens": v.tokens, "counts": v.counts, "share": v.share, "classes": v.classes,
-        "n": v.n, "net": (net.r, net.q, net.w, net.b)})
+        "run": hashlib.md5(net.flat().tobytes() + model.members.weights.tobytes()).hexdigest(), "tokens": v.tokens, "counts": v.counts, "share": v.share, "classes": v.classes,
+        "n": v.n, "own": model.members.own, "net": (net.r, net.q, net.w, net.b), "members": model.members.weights, "normalisers": model.normalisers})
     denominator = v.total + 0.5 * (v.types + 1)
 
     def prepare(x):
         net = Bilinear.__new__(Bilinear)
         net.r, net.q, net.w, net.b = x["net"]
-        return {t: i for i, t in enumerate(x["tokens"])}, net.table()
+        inner = Members(x["classes"], x["share"], x["n"], x["own"])
+        inner.weights = x["members"]
+        return {t: i for i, t in enumerate(x["tokens"])}, net.table(), inner
 
     def task(batches):
-        places, table = _held(sent, prepare)
+        places, table, inner = _held(sent, prepare)
         x = sent.value
         before, tail = x["n"], x["n"] - 1
         base_of = np.r_[np.log10((x["counts"] + 0.5) / denominator), 0.0]
         share_of = np.r_[x["share"], 0.0]
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, SCORE_BYTES):
             place, cls, lengths, flat = _classes(texts, places, x["classes"], tail)
             near, far = _context(cls, lengths, before)
             starts = np.cumsum(lengths) - lengths
             neural = table[far * (before + 1) + near, cls].astype(np.float64) + share_of[place]
+            neural += inner.scores(inner.context(place, cls, lengths, before), place, cls, x["normalisers"])
             sums = [np.add.reduceat(y, starts) for y in (base_of[place], neural, (place >= 0).astype(np.int64))]
             keys = [int.from_bytes(hashlib.md5(t or b"").digest()[:8], "little", signed=True) for t in texts]
             names = ids.to_pylist()
