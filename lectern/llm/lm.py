@@ -28,6 +28,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,22 +253,40 @@ class Members:
 
 
 def _averaged(parts: DataFrame) -> DataFrame:
-    """(block, vectors): averages, by weight, of the vectors that tasks give for some rows of a block."""
-    def task(batches):
-        held: dict = {}
-        for batch in batches:
-            for block, rows, weights, vectors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if block not in held:  # blocks of one matrix, dealt over the tasks
-                    held[block] = np.zeros((WORD_BLOCK, DIM + 1))
-                weight = np.frombuffer(weights, np.int32).astype(np.float64)[:, None]
-                given = np.frombuffer(vectors, np.float16).reshape(-1, DIM).astype(np.float64)
-                held[block][np.frombuffer(rows, np.int16)] += np.concatenate([given * weight, weight], axis=1)
-        for block, sums in held.items():
-            rows = np.flatnonzero(sums[:, DIM])
-            mean = (sums[rows, :DIM] / sums[rows, DIM:]).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "rows": [rows.astype(np.int16).tobytes()], "vectors": [mean.tobytes()]})
+    """(block, rows, vectors): averages, by weight, of the vectors that tasks give for some rows of a block.
 
-    return parts.repartition("block").mapInArrow(task, "block int, rows binary, vectors binary")
+    A block has a row from each task, so groups of about the root of the number of tasks are summed
+    first, then the sums of the groups.
+    """
+    def summed(last: bool):
+        def close(name, sums):
+            rows = np.flatnonzero(sums[:, DIM])
+            mean, weight = (sums[rows, :DIM] / sums[rows, DIM:]).astype(np.float32), sums[rows, DIM]
+            return pa.RecordBatch.from_pydict({
+                "block": pa.array([name[0]], pa.int32()), "part": pa.array([name[1]], pa.int32()),
+                **{c: pa.array([x.tobytes()], t) for (c, t), x in zip(_BLOCK[2:], (rows.astype(np.int16), weight, mean), strict=True)}})
+
+        def task(batches):
+            name, sums = None, None  # rows come sorted: one block is held at a time
+            for batch in batches:
+                for block, part, rows, weights, vectors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    here = block, 0 if last else part
+                    if here != name:
+                        if name:
+                            yield close(name, sums)
+                        name, sums = here, np.zeros((WORD_BLOCK, DIM + 1))
+                    at, weight = np.frombuffer(rows, np.int16), np.frombuffer(weights, np.float64)[:, None]
+                    given = np.frombuffer(vectors, np.float32 if last else np.float16).reshape(-1, DIM)
+                    sums[at] += np.concatenate([given * weight, weight], axis=1)
+            if name:
+                yield close(name, sums)
+        return task
+
+    schema = "block int, part int, rows binary, weights binary, vectors binary"
+    groups = parts.select("part").distinct().count()
+    near = parts.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(max(1, int(groups ** 0.5)))).cast("int"))
+    near = near.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(summed(False), schema)
+    return near.repartition("block").sortWithinPartitions("block").mapInArrow(summed(True), schema)
 
 
 def _classes(texts: list, places: dict, classes: np.ndarray, tail: int):
@@ -304,7 +323,7 @@ def _held(shared, make):
     return _HELD["made"]
 
 
-_BLOCK = (("block", pa.int32()), ("rows", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()))
+_BLOCK = (("block", pa.int32()), ("part", pa.int32()), ("rows", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()))
 
 
 class LanguageModel:
@@ -360,14 +379,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: i
             for block in range(0, len(met), WORD_BLOCK):
                 here = np.flatnonzero(met[block:block + WORD_BLOCK])
                 if len(here):
-                    packed = [here.astype(np.int16), np.minimum(met[block + here], 2 ** 31 - 1).astype(np.int32), inner.weights[block + here].astype(np.float16)]
+                    packed = [here.astype(np.int16), met[block + here].astype(np.float64), inner.weights[block + here].astype(np.float16)]
                     yield pa.RecordBatch.from_pydict({
                         "i": pa.nulls(1, pa.int32()), "v": pa.nulls(1, pa.float64()), "w": pa.nulls(1, pa.float64()),
-                        "block": pa.array([block // WORD_BLOCK], pa.int32()),
-                        **{c: pa.array([x.tobytes()], t) for (c, t), x in zip(_BLOCK[1:], packed, strict=True)}})
+                        "block": pa.array([block // WORD_BLOCK], pa.int32()), "part": pa.array([TaskContext.get().partitionId()], pa.int32()),
+                        **{c: pa.array([x.tobytes()], t) for (c, t), x in zip(_BLOCK[2:], packed, strict=True)}})
 
         part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).between(first, last - 1))
-        trained = stored(part.mapInArrow(task, "i int, v double, w double, block int, rows binary, weights binary, vectors binary"), "net-parts")
+        trained = stored(part.mapInArrow(task, "i int, v double, w double, block int, part int, rows binary, weights binary, vectors binary"), "net-parts")
         mixed = trained.where("i IS NOT NULL").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect()
         if mixed:
             flat = np.empty(len(start))

@@ -356,6 +356,25 @@ def test_language_model_words_follow_their_context():
     assert np.allclose(weight.sum(1), 10.0 ** z[:, 1], rtol=1e-3)
 
 
+def test_vectors_of_tasks_are_averaged_by_weight(spark):
+    rng = np.random.default_rng(4)
+    rows, sums, weights = [], np.zeros((3, 50, lm.DIM)), np.zeros((3, 50))
+    for part in range(30):
+        for block in range(3):
+            at = np.flatnonzero(rng.random(50) < 0.3)
+            w, x = rng.integers(1, 9, len(at)).astype(float), rng.normal(size=(len(at), lm.DIM)).astype(np.float16)
+            rows.append((block, part, *[bytearray(y.tobytes()) for y in (at.astype(np.int16), w, x)]))
+            sums[block][at] += x * w[:, None]
+            weights[block][at] += w
+    got = lm._averaged(spark.createDataFrame(rows, "block int, part int, rows binary, weights binary, vectors binary")).collect()
+    assert sorted(r["block"] for r in got) == [0, 1, 2]
+    for r in got:
+        at = np.frombuffer(r["rows"], np.int16)
+        assert at.tolist() == np.flatnonzero(weights[r["block"]]).tolist()
+        want = sums[r["block"]][at] / weights[r["block"]][at][:, None]
+        assert np.allclose(np.frombuffer(r["vectors"], np.float32).reshape(-1, lm.DIM), want, atol=1e-5)
+
+
 def test_language_model_head_grows():
     assert lm.head_size(0) == lm.head_size(lm.HEAD_TOKENS) == lm.HEAD
     assert lm.head_size(64 * lm.HEAD_TOKENS) == pytest.approx(2 * lm.HEAD, abs=1)
