@@ -256,7 +256,8 @@ def _averaged(parts: DataFrame) -> DataFrame:
     """(block, rows, vectors): averages, by weight, of the vectors that tasks give for some rows of a block.
 
     A block has a row from each task, so groups of about the root of the number of tasks are summed
-    first, then the sums of the groups.
+    first, then the sums of the groups. Partitions are set by the number of blocks: merged ones would
+    make large batches.
     """
     def summed(last: bool):
         def close(name, sums):
@@ -269,7 +270,9 @@ def _averaged(parts: DataFrame) -> DataFrame:
         def task(batches):
             name, sums = None, None  # rows come sorted: one block is held at a time
             for batch in batches:
-                for block, part, rows, weights, vectors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for i in range(batch.num_rows):  # buffers of the batch, not copies
+                    block, part = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                    rows, weights, vectors = (batch.column(j)[i].as_buffer() for j in (2, 3, 4))
                     here = block, 0 if last else part
                     if here != name:
                         if name:
@@ -283,10 +286,11 @@ def _averaged(parts: DataFrame) -> DataFrame:
         return task
 
     schema = "block int, part int, rows binary, weights binary, vectors binary"
-    groups = parts.select("part").distinct().count()
-    near = parts.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(max(1, int(groups ** 0.5)))).cast("int"))
-    near = near.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(summed(False), schema)
-    return near.repartition("block").sortWithinPartitions("block").mapInArrow(summed(True), schema)
+    tasks, blocks = parts.agg(F.count_distinct("part"), F.count_distinct("block")).first()
+    groups, blocks = max(1, int(tasks ** 0.5)), max(1, blocks)
+    near = parts.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int"))
+    near = near.repartition(blocks * max(1, groups // 8), "block", "part").sortWithinPartitions("block", "part").mapInArrow(summed(False), schema)
+    return near.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(summed(True), schema)
 
 
 def _classes(texts: list, places: dict, classes: np.ndarray, tail: int):
