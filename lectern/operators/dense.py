@@ -8,6 +8,8 @@ bound rules nothing out and every block is visited: results are exact whatever t
 
 Queries meet blocks on an equality join, in cells with a bounded share of either side. A cell
 gives out only what may still count: the best k that reach the query's k-th score so far, or the ids found near.
+Duplicate checks put neighbouring blocks together, so that a vector is sent once for some hundred thousand
+others, and send directions in single precision; pairs too close to the threshold for that are compared in full.
 """
 
 from __future__ import annotations
@@ -21,14 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.operators.neardup import HEADS, decided, greedy_rounds
-from lectern.operators.topk import _OUT, Search, _Best, _Block, _dense_rows, _numbers, _with_vectors
+from lectern.operators.topk import _OUT, Search, _Best, _Block, _dense_rows, _lists, _numbers, _with_vectors
 from lectern.session import cut_lineage, scratch_path
 
 CELL_ROWS = 20_000
+NEAR_BLOCKS = 8
 MOST_CENTRES = 1_024
 SAMPLE_PER_CENTRE = 16
 SPREAD = 8
 SLACK = 1e-6
+ANGLE_SLACK = 1e-3
+PAIRS_IN_FLIGHT = 4_000_000
+NO_ROW = np.iinfo(np.int64).max
 
 
 def usable(vector: str):
@@ -86,6 +92,18 @@ class Blocks:
         nearest = np.maximum(_angles(_units(queries), self.centres) - self.radii - SLACK, 0)
         return (np.cos(nearest) >= np.reshape(least, (-1, 1)) - SLACK) & (self.sizes > 0)
 
+    def groups(self, most: int) -> np.ndarray:
+        """The group of each block: blocks in the order of their centres along the direction in which these differ most,
+        put together up to ``most`` rows."""
+        spread = self.centres - self.centres.mean(axis=0)
+        along = spread @ np.linalg.svd(spread, full_matrices=False)[2][0]
+        group, number, held = np.zeros(len(self.sizes), np.int64), 0, 0
+        for b in np.argsort(along, kind="stable").tolist():
+            if held and held + self.sizes[b] > most:
+                number, held = number + 1, 0
+            group[b], held = number, held + int(self.sizes[b])
+        return group
+
 
 @dataclass(frozen=True)
 class DenseIndex:
@@ -133,13 +151,13 @@ class DenseIndex:
             sizes[r["block"]], radii[r["block"]] = r["n"], r["radius"]
         return DenseIndex(held.drop("angle"), Blocks(middle, radii, sizes), cell_rows)
 
-    def _cells(self, rows: DataFrame, visits: DataFrame, run, out: str) -> DataFrame:
-        """``run(rows, queries)`` on Arrow tables for every cell: a block's rows and the queries that visit it,
-        both cut into shares of bounded size."""
-        asked = visits.groupBy("block").count().collect() if self.blocks.sizes.any() else []  # a row for each block
+    def _cells(self, rows: DataFrame, visits: DataFrame, run, out: str, sizes: np.ndarray, share_rows: int) -> DataFrame:
+        """``run(rows, queries)`` on Arrow tables for every cell: the rows of a block, or group of blocks, and the queries
+        that visit it, both cut into shares of ``share_rows`` or fewer. ``sizes`` has the rows of each."""
+        asked = visits.groupBy("block").count().collect() if sizes.any() else []  # a row for each block
         if not asked:
             return rows.sparkSession.createDataFrame([], out)
-        split = [(r["block"], int(-(-self.blocks.sizes[r["block"]] // self.cell_rows)), -(-r["count"] // self.cell_rows)) for r in asked]
+        split = [(r["block"], int(-(-sizes[r["block"]] // share_rows)), -(-r["count"] // share_rows)) for r in asked]
         plan = lambda: F.broadcast(rows.sparkSession.createDataFrame(split, "block INT, subs INT, chunks INT"))
         share = lambda own: F.pmod(F.xxhash64("id", "part"), F.col(own)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -169,7 +187,8 @@ class DenseIndex:
             return _best_of_cell(rows, queries, search)
 
         first = cut_lineage(self.visits(asked, k))
-        found = cut_lineage(self._cells(self.rows, first, best, _OUT))
+        cells = lambda visits: self._cells(self.rows, visits, best, _OUT, blocks.sizes, self.cell_rows)
+        found = cut_lineage(cells(first))
         worst = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
         open_ = asked.join(worst, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
 
@@ -183,36 +202,63 @@ class DenseIndex:
         more = cut_lineage(_visiting(open_.select("id", "part", "vector", "least"), further))
         if counts is not None:
             counts["visits"], counts["pairs"] = first.count() + more.count(), asked.count() * int((blocks.sizes > 0).sum())
-        return _ranked(found.unionByName(self._cells(self.rows, more, best, _OUT)), k)
+        return _ranked(found.unionByName(cells(more)), k)
 
     def near(self, items: DataFrame, rows: DataFrame, threshold: float, earlier: bool = False) -> DataFrame:
         """``(a, b)`` once for every row ``a`` of ``items(id, part, vector)`` that one of the index's ``rows`` is above
         the threshold to, ``b`` the one of lowest id; with ``earlier`` only rows of smaller id count."""
+        blocks, most = self.blocks, self.cell_rows * NEAR_BLOCKS
+        groups = blocks.groups(most)
+
         def flag(rows: pa.Table, items: pa.Table) -> pa.Table:
-            a, b = _near_in_cell(rows, items, threshold, earlier)
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            return _near_in_cell(rows, items, blocks, threshold, earlier)
+
+        def grouped(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    own = batch.column("block").to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id"), batch.column("part"), _directions(batch), pa.array(own.astype(np.int32)), pa.array(groups[own].astype(np.int32))],
+                        names=["id", "part", "unit", "own", "block"])
 
-        blocks = self.blocks
         visits = _visiting(
             items.select("id", "part", "vector", F.lit(threshold).alias("least")),
-            lambda q, least: [np.flatnonzero(m) for m in blocks.open_blocks(q, least)])
-        return self._cells(rows, cut_lineage(visits), flag, "a BIGINT, b BIGINT").groupBy("a").agg(F.min("b").alias("b"))
-
+            lambda q, least: [np.unique(groups[m]) for m in blocks.open_blocks(q, least)] if blocks.sizes.any() else [groups[:0]] * len(q),
+            units=True)
+        placed = rows.select("id", "part", "vector", "block").mapInArrow(grouped, "id BIGINT, part BIGINT, unit ARRAY<FLOAT>, own INT, block INT")
+        sizes = np.bincount(groups, weights=blocks.sizes).astype(np.int64)
+        found = cut_lineage(self._cells(placed, cut_lineage(visits), flag, "a BIGINT, b BIGINT, sure BOOLEAN", sizes, most))
+        near, close = found.where("sure").select("a", "b"), found.where("NOT sure").select("a", "b")
+        if not close.isEmpty():
+            near = near.unionByName(_above_in_full(close, items, rows, threshold))
+        return near.groupBy("a").agg(F.min("b").alias("b"))
+
+
+def _visiting(queries: DataFrame, choose, units: bool = False) -> DataFrame:
+    """``(id, part, vector, least)`` once for every block that ``choose(vectors, least)`` names; with ``units`` the direction
+    in single precision in place of the vector."""
+    schema = "id BIGINT, part BIGINT, " + ("unit ARRAY<FLOAT>, " if units else "vector ARRAY<DOUBLE>, least DOUBLE, ") + "block INT"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-def _visiting(queries: DataFrame, choose) -> DataFrame:
-    """``(id, part, vector, least)`` once for every block that ``choose(vectors, least)`` names."""
     def task(batches):
         for batch in batches:
             if batch.num_rows:
                 blocks = choose(_dense_rows(batch), batch.column("least").to_numpy(zero_copy_only=False))
                 owner = np.repeat(np.arange(batch.num_rows), [len(b) for b in blocks])
                 block = np.concatenate([np.zeros(0, np.int64), *blocks]).astype(np.int32)
+                if units:
+                    batch = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("part"), _directions(batch)], names=names[:-1])
                 for at in range(0, len(owner), 10_000):
                     part = batch.take(pa.array(owner[at:at + 10_000]))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(block[at:at + 10_000])], names=["id", "part", "vector", "least", "block"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(block[at:at + 10_000])], names=names)
 
-    return queries.select("id", "part", "vector", "least").mapInArrow(
-        task, "id BIGINT, part BIGINT, vector ARRAY<DOUBLE>, least DOUBLE, block INT")
+    return queries.select("id", "part", "vector", "least").mapInArrow(task, schema)
+
+
+def _directions(batch) -> pa.ListArray:
+    """The vectors of a batch at length one, in single precision."""
+    unit = _units(_dense_rows(batch)).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * unit.shape[1]), pa.array(unit.reshape(-1)))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -231,40 +277,78 @@ def _best_of_cell(rows: pa.Table, queries: pa.Table, search: Search) -> pa.Table
     return pa.Table.from_batches([best.result()])
 
 
-def _near_in_cell(rows: pa.Table, items: pa.Table, threshold: float, earlier: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the items that a row is above the threshold to, and of the first such row. Some leading dimensions come
-    first: their product and those of the rests' lengths bound the cosine, and only pairs the bound leaves are compared in full."""
+def _unit_rows(data: pa.Table) -> np.ndarray:
+    values, lengths = _lists(data, "unit", np.float32)
+    return values.reshape(len(lengths), -1)
+
+
+def _near_in_cell(rows: pa.Table, items: pa.Table, blocks: Blocks, threshold: float, earlier: bool) -> pa.Table:
+    """``(a, b, sure)``: the items ``a`` that a row is above the threshold to, with the first such row, and the pairs with earlier rows
+    that single precision leaves open. Some leading dimensions come first: their product and those of the rests' lengths
+    bound the cosine, and only pairs the bound leaves are compared in full."""
+    out = lambda a, b, sure: pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
     if not rows.num_rows or not items.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(_numbers(rows, "id"), kind="stable")
-    a, b = _dense_rows(items), _dense_rows(rows)[order]
+        return out([], [], [])
+    a, b = _unit_rows(items), _unit_rows(rows)
     if a.shape[1] != b.shape[1]:
         raise ValueError("vectors differ in dimension")
-    norm_a, norm_b = (np.sqrt((x**2).sum(axis=1)) for x in (a, b))
-    ids, others = _numbers(items, "id"), _numbers(rows, "id")[order]
-    lead = max(1, a.shape[1] // 4)
-    rest_a, rest_b = (np.sqrt((x[:, lead:] ** 2).sum(axis=1)) / n for x, n in ((a, norm_a), (b, norm_b)))
-    head_b = b[:, :lead] / norm_b[:, None]
-    found = np.full(len(a), len(b))
-    step = max(1, 4_000_000 // len(b))
-    for at in range(0, len(a), step):
-        part = slice(at, at + step)
-        head_a = a[part, :lead] / norm_a[part, None]
-        may = head_a @ head_b.T + np.multiply.outer(rest_a[part], rest_b) >= threshold - SLACK
-        if earlier:
-            may &= others[None, :] < ids[part, None]
-        row, other = np.nonzero(may)
-        if len(row) * 4 < may.size:
-            for k in range(0, len(row), 500_000):
-                r, o = row[k:k + 500_000], other[k:k + 500_000]
-                above = np.einsum("ij,ij->i", a[part][r], b[o]) / (norm_a[part][r] * norm_b[o]) > threshold
-                np.minimum.at(found, at + r[above], o[above])
-        else:
-            cosine = (a[part] @ b.T) / np.multiply.outer(norm_a[part], norm_b)
-            hit = (cosine > threshold) & may
-            found[part] = np.where(hit.any(axis=1), hit.argmax(axis=1), len(b))
-    near = found < len(b)
-    return ids[near], others[found[near]]
+    ids, others, own = _numbers(items, "id"), _numbers(rows, "id"), _numbers(rows, "own")
+    by_id, by_block = np.argsort(ids, kind="stable"), np.lexsort((others, own))
+    lead, doubt = max(1, a.shape[1] // 4), (a.shape[1] + 16) * 2.0**-23
+    found, open_a, open_b = np.full(len(a), NO_ROW), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    bounds = np.flatnonzero(np.diff(own[by_block], prepend=-1))
+    for first, last in zip(bounds, np.append(bounds[1:], len(own)), strict=True):
+        here = by_block[first:last]
+        block, there, y = own[here[0]], others[here], b[here]
+        lead_y = _leading(y, lead)
+        angle = np.arccos(np.clip(a @ blocks.centres[block].astype(np.float32), -1, 1)) - blocks.radii[block] - ANGLE_SLACK
+        visiting = by_id[(np.cos(np.maximum(angle, 0)) >= threshold - ANGLE_SLACK)[by_id]]
+        step = max(1, PAIRS_IN_FLIGHT // len(here))
+        for at in range(0, len(visiting), step):
+            part = visiting[at:at + step]
+            until = np.searchsorted(there, ids[part[-1]]) if earlier else len(there)
+            x = a[part]
+            may = _leading(x, lead) @ lead_y[:until].T >= threshold - doubt
+            n = np.count_nonzero(may)
+            if n * 4 < may.size:
+                pairs = np.divmod(np.flatnonzero(may), max(until, 1))
+                cosine = np.concatenate([np.zeros(0, np.float32), *(
+                    np.einsum("ij,ij->i", x[pairs[0][k:k + 100_000]], y[pairs[1][k:k + 100_000]]) for k in range(0, n, 100_000))])
+            else:
+                cosine = x @ y[:until].T
+                pairs = np.nonzero(cosine >= threshold - doubt)
+                cosine = cosine[pairs]
+            row, other = part[pairs[0]], there[pairs[1]]
+            met = other < ids[row] if earlier else np.ones(len(row), bool)
+            sure = met & (cosine > threshold + doubt)
+            np.minimum.at(found, row[sure], other[sure])
+            doubtful = met & ~sure & (cosine >= threshold - doubt)
+            open_a.append(row[doubtful])
+            open_b.append(other[doubtful])
+    open_a, open_b = np.concatenate(open_a), np.concatenate(open_b)
+    still = open_b < found[open_a]
+    near = found < NO_ROW
+    a, b = np.concatenate([ids[near], ids[open_a[still]]]), np.concatenate([found[near], open_b[still]])
+    return out(a, b, np.arange(len(a)) < near.sum())
+
+
+def _leading(units: np.ndarray, lead: int) -> np.ndarray:
+    """The leading dimensions and the length of the rest: products of these are no less than the cosine."""
+    rest = np.sqrt((units[:, lead:] ** 2).sum(axis=1, keepdims=True))
+    return np.concatenate([units[:, :lead], rest], axis=1)
+
+
+def _above_in_full(pairs: DataFrame, items: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose cosine is above the threshold in double precision."""
+    ours, theirs = items.select(F.col("id").alias("a"), F.col("vector").alias("x")), rows.select(F.col("id").alias("b"), F.col("vector").alias("y"))
+
+    def above(batches):
+        for batch in batches:
+            x, y = (_dense_rows(batch.select([c]).rename_columns(["vector"])) for c in "xy")
+            cosine = np.einsum("ij,ij->i", x, y) / (np.sqrt((x**2).sum(axis=1)) * np.sqrt((y**2).sum(axis=1)))
+            yield batch.select(["a", "b"]).filter(pa.array(cosine > threshold))
+
+    return pairs.join(ours, "a").join(theirs, "b").mapInArrow(above, "a BIGINT, b BIGINT")
 
 
 def _firsts(rows: DataFrame) -> DataFrame:

@@ -145,6 +145,23 @@ def test_dense_greedy_equals_replay(spark, spread, threshold):
     assert len(kept) < 390
 
 
+def test_dense_near_in_groups_of_blocks():
+    """Blocks are put together for duplicate checks, and pairs at the threshold are left to double precision."""
+    import pyarrow as pa
+
+    sizes = np.array([30, 50, 0, 90, 20, 10])
+    group = dense.Blocks(np.eye(6), np.zeros(6), sizes).groups(100)
+    assert np.bincount(group, weights=sizes).max() <= 100 and len(set(group.tolist())) < 5
+    angle = np.array([0.5, 0.5 + 1e-9, 0.5 - 1e-9, 0.2, 0.9])
+    unit = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).reshape(-1)))
+    flat = np.stack([np.cos(angle), np.sin(angle), 0 * angle, 0 * angle], axis=1)
+    rows = pa.table({"id": np.arange(5), "part": np.zeros(5, np.int64), "unit": unit(flat), "own": np.zeros(5, np.int32)})
+    items = pa.table({"id": [9], "part": [0], "unit": unit(np.array([[1.0, 0, 0, 0]]))})
+    blocks = dense.Blocks(np.array([[1.0, 0, 0, 0]]), np.array([1.0]), np.array([5]))
+    got = dense._near_in_cell(rows, items, blocks, np.cos(0.5), False).to_pylist()
+    assert [(r["b"], r["sure"]) for r in got] == [(3, True), (0, False), (1, False), (2, False)]
+
+
 @pytest.mark.parametrize("hot", [2_000, 3])
 def test_stored_prefixes_equal_brute_force(spark, tmp_path, hot):
     """Base and two batches, words the base never had among them; only buckets needed are there to be read."""
