@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.session import cut_lineage
+from lectern.session import cut_by, cut_lineage
 
 HEADS = 8
 HOT = 2_000
@@ -208,8 +208,8 @@ def greedy_keep(items: DataFrame, threshold: float = 0.92, hot: int = HOT) -> Da
     items = items.select("id", "vector")
     blank = items.where(F.size("vector") == 0).select("id", F.lit(True).alias("kept"))
     sets = items.where(F.size("vector") > 0)
-    first = cut_lineage(sets.groupBy("vector").agg(F.min("id").alias("id")))
-    undecided = cut_lineage(prefixes(first, feature_counts(first), t, hot, least=2))
+    first = cut_by(sets.groupBy("vector").agg(F.min("id").alias("id")), "id")
+    undecided = cut_by(prefixes(first, feature_counts(first), t, hot, least=2), "id")
 
     def near_earlier(a, b):
         soon = cut_lineage(_verified(_candidates(a, _heads(b), t, earlier=True), first, first, t))

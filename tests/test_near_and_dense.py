@@ -58,6 +58,18 @@ def test_near_existing_with_split_features(spark, threshold, hot):
     assert got == {i for i, s in new.items() if s and any(o and near(s, o, threshold) for o in old.values())}
 
 
+def test_sets_stay_where_they_lie(spark):
+    """Joins on the key that rows were dealt out by shuffle their other side alone."""
+    from lectern.session import cut_by
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    sets = cut_by(sets_frame(spark, mixed_sets(3)), "id")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a BIGINT, b BIGINT").hint("merge")
+    plan = pairs.join(sets.withColumnRenamed("id", "a"), "a")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_prefix_rows_hold_no_vectors(spark):
     items = sets_frame(spark, mixed_sets(3))
     made = neardup.prefixes(items, neardup.feature_counts(items), neardup.Fraction("0.92"), least=2)
