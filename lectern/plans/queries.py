@@ -18,7 +18,7 @@ from lectern.operators import (
     changes, chunking, context, dense, feedback, knowledge, neardup, replay, retrieval, transcripts,
 )
 from lectern.plans.views import Tables
-from lectern.session import cut_lineage, scratch_path
+from lectern.session import cut_lineage, scratch_path, short_listings
 from lectern.sources import files, tables
 from lectern.streaming import jobs
 
@@ -822,7 +822,8 @@ def stream_uploads(t):
     line = F.when((part % 5 == 3) & (F.col("id") % 100 == 0), F.concat(F.lit("%PDF-"), "content")).when(part % 5 == 4, " ").otherwise(F.col("content"))
     lines = t.docs.select(part.alias("part"), "id", line.alias("line"))
     lines.repartition("part").sortWithinPartitions("part", "id").select("part", "line").write.partitionBy("part").text(f"{out}/in")
-    _finish(jobs.ingest_files(jobs.file_stream(t.spark, f"{out}/in", "*.txt"), f"{out}/store", f"{out}/state"))
+    with short_listings(t.spark):  # a folder for each file
+        _finish(jobs.ingest_files(jobs.file_stream(t.spark, f"{out}/in", "*.txt"), f"{out}/store", f"{out}/state"))
     stored = lambda name: t.spark.read.parquet(f"{out}/store/{name}")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda c: c["chunk_text"]), "|")
     chunks = stored("chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.md5(text).alias("chunks_md5"), F.sum(F.size("vector")).alias("n_words"))

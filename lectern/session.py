@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +71,18 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+@contextmanager
+def short_listings(spark: SparkSession):
+    """Where many folders are listed, a task lists a share of them: by itself Spark starts a task for each, up to ten thousand."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder on whatever file system it lies; nothing happens if it is not there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -54,7 +54,7 @@ def ingest_files(uploads: DataFrame, root: str, checkpoint: str, embedder=None)
     Every batch writes ``files``, one row per file with its text or the reason it was turned away, then, from
     what was written, ``documents``, ``chunks`` with their vectors, and ``rejected``. Each goes to the batch's own folder,
     which a second run of the batch overwrites with the same rows. Files over the size limit are told apart
-    before they are read.
+    before they are read. Files in many folders are best listed under :func:`lectern.session.short_listings`.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import chunking, knowledge
 from lectern.operators.embedding import DenseWordSets
-from lectern.session import folders, remove_folder
+from lectern.session import folders, remove_folder, short_listings
 from lectern.sources import files
 from lectern.streaming import jobs
 
@@ -120,3 +120,11 @@ def test_file_stream_equals_batch_on_all_kinds(spark, tmp_path):
     (folder / "z.txt").write_bytes(b"late words")
     done(jobs.ingest_files(stream(), root, state, DenseWordSets(8)))
     assert spark.read.parquet(f"{root}/documents").count() == batch.where("error_code IS NULL").count() + 1
+
+
+def test_many_folders_are_listed_in_few_tasks(spark):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with short_listings(spark):
+        assert int(spark.conf.get(name)) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == before
