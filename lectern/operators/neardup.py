@@ -13,6 +13,10 @@ id, feature, size, place in the order, and a 128-bit signature. Three bounds lea
 Vectors are fetched for the pairs left, and only there. A feature that many prefixes hold is split:
 such rows meet on pairs of features, as sets that overlap in two features share two in a prefix
 longer by one.
+
+Where all rows of a table are compared among themselves (:func:`greedy_keep`), what is written to disk
+is kept to a few times the sets: they are stored once, a prefix row is a key, an id and two numbers,
+sets must share several features of their prefixes, and a sketch of 1,024 parities is compared before vectors are.
 """
 
 from __future__ import annotations
@@ -26,11 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.session import cut_by, cut_lineage
+from lectern.session import brief_shuffles, cut_by, cut_lineage, remove_folder, scratch_path
 
 HEADS = 8
 HOT = 2_000
+CROWDED = 20_000
+MATCHES = 3
+SKETCH = 1_024
 SLOTS = 1 << 20
+FEW_IDS = 1_000_000
+FEW_PAIRS = 10_000
 
 
 def _above(dot: Column, a: Column, b: Column, t: Fraction) -> Column:
@@ -162,6 +171,13 @@ def near_existing(items: DataFrame, existing: DataFrame, threshold: float = 0.92
     return soon.union(near(left.join(soon, "id", "left_anti"), right))
 
 
+def among(rows: DataFrame, ids: DataFrame, how: str, on: list[str] | str = "id", most: int | None = None) -> DataFrame:
+    """``rows`` with an id among ``ids`` (``left_semi``) or without one (``left_anti``). A bounded number of ids is broadcast, so that
+    the rows stay where they lie; ``most``, if known, is a number that the ids do not exceed."""
+    few = (ids.count() if most is None else most) <= FEW_IDS
+    return rows.join(F.broadcast(ids) if few else ids, on, how)
+
+
 def greedy_rounds(undecided: DataFrame, near_earlier) -> list[DataFrame]:
     """The ids dropped in each round of first-come suppression over rows ``(id, …)``, until none is undecided.
 
@@ -169,21 +185,23 @@ def greedy_rounds(undecided: DataFrame, near_earlier) -> list[DataFrame]:
     ``b`` is near to. Rows without an undecided earlier neighbour stay, and the rows near them go:
     first those whose known neighbour stays, then those that have another one there.
     """
-    less = lambda rows, ids: rows.join(ids, "id", "left_anti")
     dropped = []
     while not undecided.isEmpty():
         pairs = cut_lineage(near_earlier(undecided, undecided))
-        held = pairs.select(F.col("a").alias("id")).distinct()
-        kept = undecided.select("id").distinct().join(held, "id", "left_anti")
-        gone = cut_lineage(pairs.join(kept.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct())
+        held = cut_lineage(pairs.select(F.col("a").alias("id")).distinct())
+        n = held.count()
+        if not n:
+            break
+        gone = cut_lineage(pairs.join(held.withColumnRenamed("id", "b"), "b", "left_anti").select(F.col("a").alias("id")).distinct())
         dropped.append(gone)
-        rest = cut_lineage(less(undecided.join(held, "id", "left_semi"), gone))
-        if rest.isEmpty():
+        still = cut_lineage(held.join(gone, "id", "left_anti"))
+        if still.isEmpty():
             break
-        stays = less(undecided, held)
+        rest = cut_lineage(among(undecided, still, "left_semi", most=n))
+        stays = among(undecided, held, "left_anti", most=n)
         gone = cut_lineage(near_earlier(rest, stays).select(F.col("a").alias("id")).distinct())
         dropped.append(gone)
-        undecided = cut_lineage(less(rest, gone))
+        undecided = cut_lineage(among(rest, gone, "left_anti", most=n))
     return dropped
 
 
@@ -196,25 +214,162 @@ def decided(ids: DataFrame, firsts: DataFrame, dropped: list[DataFrame]) -> Data
     return ids.select("id").join(stayed, "id", "left").select("id", F.coalesce("stayed", F.lit(False)).alias("kept"))
 
 
-def greedy_keep(items: DataFrame, threshold: float = 0.92, hot: int = HOT) -> DataFrame:
+def greedy_keep(items: DataFrame, threshold: float = 0.92, hot: int = CROWDED) -> DataFrame:
     """First-come duplicate suppression over ``items(id, vector)``: an item stays unless an
     earlier item that stayed is above the threshold. Returns ``(id, kept)``.
 
-    Equal vectors collapse first, so a group of copies costs one row. A row is first tested against
-    the earliest few rows of each of its keys, which settles nearly all rows of a large group of
-    near copies, so the pairs of a group are never listed.
+    Equal vectors collapse first, by two hashes and their size, so a group of copies costs one row. A row is first tested
+    against the earliest few rows of each of its keys, which settles nearly all rows of a large group of
+    near copies, so the pairs of a group are never listed. A feature of more than ``hot`` items is keyed in pairs: that
+    spares comparisons, but a long prefix then makes rows with the square of its length.
     """
     t = Fraction(str(threshold))
-    items = items.select("id", "vector")
-    blank = items.where(F.size("vector") == 0).select("id", F.lit(True).alias("kept"))
-    sets = items.where(F.size("vector") > 0)
-    first = cut_by(sets.groupBy("vector").agg(F.min("id").alias("id")), "id")
-    undecided = cut_by(prefixes(first, feature_counts(first), t, hot, least=2), "id")
-
-    def near_earlier(a, b):
-        soon = cut_lineage(_verified(_candidates(a, _heads(b), t, earlier=True), first, first, t))
-        others = a.join(soon.select(F.col("a").alias("id")), "id", "left_anti")
-        return soon.union(_verified(_candidates(others, b, t, earlier=True), first, first, t))
-
-    dropped = greedy_rounds(undecided, near_earlier)
-    return decided(sets, first, dropped).unionByName(blank)
+    spark = items.sparkSession
+    with brief_shuffles(spark):
+        path, stored = _stored(items.select("id", "vector"))
+        print_of = F.xxhash64("vector")
+        sizes = cut_lineage(stored.select("id", F.size("vector").alias("size"), print_of.alias("print"), F.xxhash64(F.lit(1), F.col("vector")).alias("check")))
+        sets = sizes.where("size > 0")
+        groups = cut_lineage(sets.groupBy("size", "print", "check").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+        known = groups.where("n > 1").withColumnRenamed("id", "first")
+        copies = cut_lineage(sets.join(known, ["size", "print", "check"]).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "print"))
+        more = copies.count()
+        first = among(stored.where(F.size("vector") > 0).withColumn("print", print_of), copies, "left_anti", ["id", "print"], more).select("id", "vector")
+        if more > FEW_IDS:  # what is read often has no copies then
+            whole = path
+            path, first = _stored(first)
+            remove_folder(spark, whole)
+        undecided = cut_by(_keyed(first, feature_counts(first), t, hot), "key")
+        sketches = cut_by(_sketches(first), "id")
+
+        def near_earlier(a, b):
+            soon, n = _checked(_sharing(a, _earliest(b), t), sketches, first, t)
+            others = among(a, soon.select(F.col("a").alias("id")).distinct(), "left_anti", most=n) if n else a
+            return soon.union(_checked(_sharing(others, b, t), sketches, first, t)[0])
+
+        dropped = greedy_rounds(undecided, near_earlier)
+        remove_folder(spark, path)
+    blank = sizes.where("size = 0").select("id", F.lit(True).alias("kept"))
+    return decided(sets, groups, dropped).unionByName(blank)
+
+
+def _stored(items: DataFrame) -> tuple[str, DataFrame]:
+    """Items in a folder of their own, and what is read from there."""
+    path = scratch_path(items.sparkSession, "sets")
+    items.write.option("compression", "zstd").parquet(path)
+    return path, items.sparkSession.read.schema(items.schema).parquet(path)
+
+
+def _keyed(items: DataFrame, counts: np.ndarray, t: Fraction, hot: int) -> DataFrame:
+    """``items(id, vector)`` to one row per key, ``(key, id, size, pos)``, from a prefix longer by ``MATCHES - 1``. Narrow.
+
+    The order, features without a partner and features that are split are those of :func:`prefixes`; a key is a feature, or a
+    hash of two, for which ``pos`` is -1. That unlike features share a key costs candidates, never results."""
+    shared = items.sparkSession.sparkContext.broadcast(counts)
+    schema = T.StructType([T.StructField("key", T.LongType()), items.schema["id"], *T.StructType.fromDDL("size INT, pos INT").fields])
+
+    def task(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from _keys(batch, shared.value, t, hot)
+
+    return items.mapInArrow(task, schema)
+
+
+def _keys(batch: pa.RecordBatch, counts: np.ndarray, t: Fraction, hot: int):
+    flat, size, owner, starts = _flat(batch.column(1))
+    n = counts[flat & (SLOTS - 1)]
+    order = np.lexsort((flat, n, owner))
+    flat, n = flat[order], n[order]
+    pos = np.arange(len(flat)) - starts[owner]
+    low = _least_overlap(size, t)
+    ends = np.minimum(size - low + MATCHES, size)
+    keep = (pos < ends[owner]) & (n >= 2)
+    paired = keep & (n > hot) & (low >= 2)[owner]
+    alone = np.flatnonzero(keep & (~paired | (size <= float(1 / t) ** 4 + 1e-6)[owner]))
+    at = np.flatnonzero(paired)
+    fan = (starts + ends)[owner[at]] - at - 1  # the features behind it in the prefix
+    left = np.repeat(at, fan)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(fan) - fan, fan)
+    mixed = flat.view(np.uint64)[left] * np.uint64(0x9E3779B97F4A7C15) + flat.view(np.uint64)[right] * np.uint64(0xC2B2AE3D27D4EB4F)
+    own = owner[np.concatenate([alone, left])]
+    columns = [
+        pa.array(np.concatenate([flat[alone], mixed.view(np.int64)])), batch.column(0).take(pa.array(own)), pa.array(size[own].astype(np.int32)),
+        pa.array(np.concatenate([pos[alone], np.full(len(left), -1)]).astype(np.int32))]
+    rows = pa.RecordBatch.from_arrays(columns, names=["key", "id", "size", "pos"])
+    for k in range(0, rows.num_rows, 100_000):
+        yield rows.slice(k, 100_000)
+
+
+def _flat(sets: pa.Array):
+    """Features, and of each set its size, of each feature its set, and where the features of a set begin."""
+    size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return sets.flatten().to_numpy(zero_copy_only=False), size, np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+
+
+def _least_overlap(size: np.ndarray, t: Fraction) -> np.ndarray:
+    """The least overlap of a set with the smallest partner, in whole numbers."""
+    kinds, kind = np.unique(size, return_inverse=True)
+    return np.array([int(k * t * t) + 1 for k in kinds.tolist()])[kind]
+
+
+def _earliest(keyed: DataFrame) -> DataFrame:
+    """The earliest few rows of each key, where the rows lie."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    return keyed.withColumn("place", place).where(F.col("place") <= HEADS).drop("place")
+
+
+def _sharing(a: DataFrame, b: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs ``(a, b)`` of keyed rows in which b has the smaller id, that share as many features early in their order as near
+    sets do. Of the first ``MATCHES`` that near sets share, all further ones stand behind them; one may be split and so have no key
+    of its own, where two are they share the key of both."""
+    sa, sb = F.col("a.size"), F.col("b.size")
+    behind = lambda s: F.col(f"{s}.size") - F.col(f"{s}.pos") + (MATCHES - 1)
+    may = _above(F.least(sa, sb, behind("a"), behind("b")), sa, sb, t)
+    sure = (F.col("a.pos") < 0) | _above(F.lit(MATCHES - 1), sa, sb, t)
+    met = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("b.id") < F.col("a.id")) & may)
+    pairs = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("n"), F.max(sure).alias("sure"))
+    return pairs.where(F.col("sure") | (F.col("n") >= MATCHES - 1)).select("a", "b")
+
+
+def _sketches(items: DataFrame) -> DataFrame:
+    """``items(id, vector)`` to ``(id, size, sketch)``: ``SKETCH`` bits, each the parity of the features that fall on it. Narrow."""
+    schema = T.StructType([items.schema["id"], *T.StructType.fromDDL("size INT, sketch ARRAY<BIGINT>").fields])
+
+    def task(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2_000):
+                part = batch.slice(k, 2_000)
+                flat, size, owner, _ = _flat(part.column(1))
+                odd = np.bincount(owner * SKETCH + (flat & (SKETCH - 1)), minlength=len(size) * SKETCH) & 1
+                longs = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                each = np.arange(len(size) + 1, dtype=np.int32) * (SKETCH // 64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(each), pa.array(longs))], names=["id", "size", "sketch"])
+
+    return items.mapInArrow(task, schema)
+
+
+def _checked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, t: Fraction) -> tuple[DataFrame, int]:
+    """Pairs that are near, and a number that they do not exceed: if there are many, of each ``a`` the one with the earliest ``b`` that
+    the sketches allow, or else all others. Bits of two sketches that differ are features that only one set has; vectors are
+    fetched for the pairs left."""
+    side = lambda s: sketches.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    sa, sb = F.col("size_a"), F.col("size_b")
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, bits: n + bits)
+    allowed = _above(F.floor((sa + sb - apart) / 2).cast("int"), sa, sb, t)
+    pairs = cut_lineage(pairs.join(side("a"), "a").join(side("b"), "b").where(allowed).select("a", "b"))
+    n = pairs.count()
+
+    def near(pairs):
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        vectors = among(sets, ids, "left_semi", most=2 * n)
+        vectors = vectors if n <= FEW_PAIRS else cut_lineage(vectors)
+        return cut_lineage(_verified(pairs, vectors, vectors, t))
+
+    if n <= FEW_PAIRS:
+        return (near(pairs) if n else pairs), n
+    earliest = cut_lineage(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    found = near(earliest)
+    others = pairs.join(found.select("a").distinct(), "a", "left_anti").join(earliest, ["a", "b"], "left_anti")
+    return found.union(near(cut_lineage(others))), n

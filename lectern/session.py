@@ -71,6 +71,21 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Shuffle files of steps planned in here go when their step is done, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 @contextmanager
 def short_listings(spark: SparkSession):
     """Where many folders are listed, a task lists a share of them: by itself Spark starts a task for each, up to ten thousand."""

@@ -1,5 +1,6 @@
 """Duplicate checks over word sets with every bound in play, and the dense index, against plain numpy."""
 
+import os
 import random
 
 import numpy as np
@@ -77,6 +78,29 @@ def test_prefix_rows_hold_no_vectors(spark):
     assert made.count() < items.select(F.explode("vector")).count()
 
 
+def test_greedy_writes_little_to_shuffles_and_nothing_stays(spark, monkeypatch):
+    """Rows of the duplicate check hold no signatures, are not keyed in pairs at some thousand items, and sets are kept once."""
+    items = sets_frame(spark, {i: {1000 * i + j for j in range(200)} | set(range(-40, 0)) for i in range(30)})
+    counts = neardup.feature_counts(items)
+    counts[counts >= 30] = 3_000  # words of some thousand items
+    made = neardup._keyed(items, counts, neardup.Fraction("0.92"), neardup.CROWDED)
+    assert made.columns == ["key", "id", "size", "pos"] and made.where("pos < 0").isEmpty()
+    paths = []
+    path_of = neardup.scratch_path
+    monkeypatch.setattr(neardup, "scratch_path", lambda *a: paths.append(path_of(*a)) or paths[-1])
+    assert neardup.greedy_keep(items).where("kept").count() == 30
+    assert len(paths) == 1 and not os.path.exists(paths[0])
+
+
+@pytest.mark.parametrize("threshold, hot", [(0.92, 2), (0.92, 20_000), (0.6, 5), (0.3, 3)])
+def test_greedy_in_two_waves_and_without_broadcasts(spark, monkeypatch, threshold, hot):
+    monkeypatch.setattr(neardup, "FEW_PAIRS", 3)
+    monkeypatch.setattr(neardup, "FEW_IDS", 2)
+    rows = mixed_sets(int(threshold * 50) + hot)
+    got = neardup.greedy_keep(sets_frame(spark, rows), threshold, hot)
+    assert sorted(r["id"] for r in got.where("kept").collect()) == replay(rows, threshold)
+
+
 # dense
 
 
