@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.session import brief_shuffles, cut_by, cut_lineage, remove_folder, scratch_path
+from lectern.session import brief_shuffles, cut_by, cut_lineage, remove_folder, stored
 
 HEADS = 8
 HOT = 2_000
@@ -226,18 +226,18 @@ def greedy_keep(items: DataFrame, threshold: float = 0.92, hot: int = CROWDED) -
     t = Fraction(str(threshold))
     spark = items.sparkSession
     with brief_shuffles(spark):
-        path, stored = _stored(items.select("id", "vector"))
+        path, given = stored(items.select("id", "vector"), "sets")
         print_of = F.xxhash64("vector")
-        sizes = cut_lineage(stored.select("id", F.size("vector").alias("size"), print_of.alias("print"), F.xxhash64(F.lit(1), F.col("vector")).alias("check")))
+        sizes = cut_lineage(given.select("id", F.size("vector").alias("size"), print_of.alias("print"), F.xxhash64(F.lit(1), F.col("vector")).alias("check")))
         sets = sizes.where("size > 0")
         groups = cut_lineage(sets.groupBy("size", "print", "check").agg(F.min("id").alias("id"), F.count("*").alias("n")))
         known = groups.where("n > 1").withColumnRenamed("id", "first")
         copies = cut_lineage(sets.join(known, ["size", "print", "check"]).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "print"))
         more = copies.count()
-        first = among(stored.where(F.size("vector") > 0).withColumn("print", print_of), copies, "left_anti", ["id", "print"], more).select("id", "vector")
+        first = among(given.where(F.size("vector") > 0).withColumn("print", print_of), copies, "left_anti", ["id", "print"], more).select("id", "vector")
         if more > FEW_IDS:  # what is read often has no copies then
             whole = path
-            path, first = _stored(first)
+            path, first = stored(first, "sets")
             remove_folder(spark, whole)
         undecided = cut_by(_keyed(first, feature_counts(first), t, hot), "key")
         sketches = cut_by(_sketches(first), "id")
@@ -253,13 +253,6 @@ def greedy_keep(items: DataFrame, threshold: float = 0.92, hot: int = CROWDED) -
     return decided(sets, groups, dropped).unionByName(blank)
 
 
-def _stored(items: DataFrame) -> tuple[str, DataFrame]:
-    """Items in a folder of their own, and what is read from there."""
-    path = scratch_path(items.sparkSession, "sets")
-    items.write.option("compression", "zstd").parquet(path)
-    return path, items.sparkSession.read.schema(items.schema).parquet(path)
-
-
 def _keyed(items: DataFrame, counts: np.ndarray, t: Fraction, hot: int) -> DataFrame:
     """``items(id, vector)`` to one row per key, ``(key, id, size, pos)``, from a prefix longer by ``MATCHES - 1``. Narrow.
 

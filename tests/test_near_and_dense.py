@@ -86,8 +86,8 @@ def test_greedy_writes_little_to_shuffles_and_nothing_stays(spark, monkeypatch):
     made = neardup._keyed(items, counts, neardup.Fraction("0.92"), neardup.CROWDED)
     assert made.columns == ["key", "id", "size", "pos"] and made.where("pos < 0").isEmpty()
     paths = []
-    path_of = neardup.scratch_path
-    monkeypatch.setattr(neardup, "scratch_path", lambda *a: paths.append(path_of(*a)) or paths[-1])
+    stored = neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda *a: paths.append((made := stored(*a))[0]) or made)
     assert neardup.greedy_keep(items).where("kept").count() == 30
     assert len(paths) == 1 and not os.path.exists(paths[0])
 
